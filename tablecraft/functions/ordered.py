@@ -6,9 +6,8 @@ run inside each bucket in parallel, and a small table with one row per bucket
 supplies what came before. Cut points only decide how even the buckets are:
 results are exact for any cut points.
 
-Callers hand over rows that are already grouped by value, so a value that
-repeats any number of times is one row, and a group holding most of the table
-is still spread over all buckets.
+Values are grouped before they are ranked, so one that repeats any number of
+times is one row, and a group holding most of the table is spread over all buckets.
 """
 
 from __future__ import annotations
@@ -27,19 +26,28 @@ from tablecraft.functions.columns import dtype_of, ref
 MAX_BUCKETS = 10_000
 #: Cut points for values without a numeric scale (evaluated by comparisons).
 TEXT_CUTS = 127
+#: Share of the rows that cut points are estimated from.
+CUT_SHARE = 0.02
+#: Rows of a per-group table that may be held by the driver and broadcast.
+HELD_ROWS = 20_000
 
 
 def default_buckets(df: DataFrame) -> int:
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(32, min(MAX_BUCKETS, 4 * shuffle))
+    return max(128, min(MAX_BUCKETS, 4 * shuffle))
 
 
 def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list:
-    """Ordered inner bucket borders of a column (one job, bounded result)."""
+    """Ordered inner bucket borders of a column (one job, bounded result).
+
+    They are estimated from a share of the rows, as for any range partitioning.
+    A small table may get few borders or none, and then needs none.
+    """
     if isinstance(dtype_of(df, value), T.NumericType):
         count = buckets or default_buckets(df)
         shares = [i / count for i in range(1, count)]
-        found = df.approxQuantile(value, shares, 1.0 / (4 * count))
+        seen = df.select(ref(value).alias("value")).sample(CUT_SHARE, seed=7)
+        found = seen.approxQuantile("value", shares, 1.0 / (4 * count))
         return sorted({c for c in found if math.isfinite(c)})
     column = ref(value)
     spread = F.pmod(F.xxhash64(column), F.lit(1 << 20))
@@ -77,29 +85,29 @@ def with_bucket(df: DataFrame, value: str, cuts: Sequence, out: str = "__bucket"
     return binner.transform(df).withColumn(out, F.col(out).cast("int"))
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[f"__r_{name}"])
-    return condition
-
+def hold(df: DataFrame, limit: int = HELD_ROWS) -> DataFrame | None:
+    """The table as a driver-side one if it has at most ``limit`` rows, else None."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    return df.sparkSession.createDataFrame(rows, df.schema)
 
-def _renamed(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.withColumnsRenamed({name: f"__r_{name}" for name in names})
 
-
-def join_buckets(rows: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_buckets(
+    rows: DataFrame, small: DataFrame, keys: Sequence[str], bounded: bool
+) -> DataFrame:
     """Join rows with per-(keys, bucket) facts; NULL keys match each other.
 
-    Without keys the right side has at most ``MAX_BUCKETS + 1`` rows and is
-    broadcast. With keys its size depends on the data, so the choice is left to
-    Spark's size check; a shuffled join is spread by bucket, so a hot key is too.
+    ``bounded`` says that the facts have a known small size and are broadcast:
+    one row per bucket, or a table from :func:`hold`. Otherwise both sides are
+    shuffled by keys and bucket, which spreads a hot key.
     """
     names = [*keys, "__bucket"]
-    right = _renamed(small, names)
-    if not keys:
-        right = F.broadcast(right)
-    joined = rows.join(right, _same(rows, right, names), "inner")
+    right = small.withColumnsRenamed({name: f"__r_{name}" for name in names})
+    condition = rows["__bucket"] == right["__r___bucket"]
+    for key in keys:
+        condition = condition & rows[key].eqNullSafe(right[f"__r_{key}"])
+    joined = rows.join(F.broadcast(right) if bounded else right, condition, "inner")
     return joined.drop(*[f"__r_{n}" for n in names])
 
 
@@ -110,25 +118,27 @@ def running_totals(
     descending: bool = False,
     cuts: Sequence | None = None,
 ) -> DataFrame:
-    """Add ``cum_<t>`` for every total: its sum up to and including this row.
+    """Add per total ``cum_<t>``, its sum up to and including this row, and ``all_<t>``.
 
     ``df`` has one row per distinct, non-null ``value``.
     """
     cuts = cut_points(df, value) if cuts is None else cuts
     rows = with_bucket(df, value, cuts)
     order = F.desc if descending else F.asc
+    # One row per bucket, so ranking the buckets in one task is cheap.
     before = Window.orderBy(order("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("__bucket").agg(*[F.sum(t).alias(f"__o_{t}") for t in totals])
+    offsets = rows.groupBy("__bucket").agg(*[F.sum(t).alias(f"all_{t}") for t in totals])
     offsets = offsets.select(
         "__bucket",
-        *[F.coalesce(F.sum(f"__o_{t}").over(before), F.lit(0)).alias(f"__o_{t}") for t in totals],
+        *[F.coalesce(F.sum(f"all_{t}").over(before), F.lit(0)).alias(f"__o_{t}") for t in totals],
+        *[F.sum(f"all_{t}").over(Window.partitionBy()).alias(f"all_{t}") for t in totals],
     )
     inside = (
         Window.partitionBy("__bucket")
         .orderBy(order(value))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = join_buckets(rows, offsets, [])
+    joined = join_buckets(rows, offsets, [], bounded=True)
     out = joined.withColumns(
         {f"cum_{t}": F.sum(t).over(inside) + F.col(f"__o_{t}") for t in totals}
     )
@@ -158,26 +168,24 @@ def quantiles(
     names: Sequence[str],
     keys: Sequence[str] = (),
     discrete: bool = False,
-    counted: DataFrame | None = None,
-    cuts: Sequence | None = None,
 ) -> DataFrame:
     """Exact quantiles of ``value`` per group: ``keys..., n, names...``.
 
     Linear interpolation between neighbours, or with ``discrete`` the lowest
     value whose cumulative share reaches the probability, in its own type.
-    NULLs are ignored; NaN must have been turned into NULL. ``counted``
-    (``keys, value, n``) may be passed when the caller already has it.
+    NULLs are ignored; NaN must have been turned into NULL.
+
+    Rows are first only counted per group and bucket. Those counts tell which
+    buckets hold the wanted ranks, and only these few are sorted. With more
+    groups than the driver may hold, the same is done by shuffled joins.
     """
     keys = list(keys)
-    if counted is None:
-        source = df.select(*keys, value).where(F.col(value).isNotNull())
-        cuts = cut_points(source, value) if cuts is None else cuts
-        counted = source.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    rows = counted if "__bucket" in counted.columns else with_bucket(counted, value, cuts)
+    source = df.select(*keys, value).where(F.col(value).isNotNull())
+    source = with_bucket(source, value, cut_points(source, value))
 
     group = Window.partitionBy(*keys)
     before = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = rows.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__in"))
+    buckets = source.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__in"))
     buckets = buckets.withColumns(
         {
             "__before": F.coalesce(F.sum("__in").over(before), F.lit(0)),
@@ -192,14 +200,21 @@ def quantiles(
             lambda t: (t["rank"] >= F.col("__before"))
             & (t["rank"] < F.col("__before") + F.col("__in")),
         ),
-    ).where(F.size("__want") > 0)
+    )
+    wanted = wanted.where(F.size("__want") > 0).drop("__in")
+    held = hold(wanted)
+    bounded = held is not None
+    if held is not None:
+        wanted = held
+        source = join_buckets(source, wanted.select(*keys, "__bucket"), keys, bounded)
+    counted = source.groupBy(*keys, "__bucket", value).agg(F.count(F.lit(1)).alias("n"))
 
     inside = (
         Window.partitionBy(*keys, "__bucket")
         .orderBy(value)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    candidates = join_buckets(rows, wanted.drop("__in"), keys).withColumn(
+    candidates = join_buckets(counted, wanted, keys, bounded).withColumn(
         "__end", F.sum("n").over(inside) + F.col("__before")
     )
     hits = candidates.select(
@@ -213,13 +228,11 @@ def quantiles(
             )
         ).alias("__hit"),
     )
-    sides = []
-    for i in range(len(probabilities)):
-        for side in ("lo", "hi"):
-            name = f"{side}{i}"
-            sides.append(
-                F.max(F.when(F.col("__hit.side") == name, F.col(value))).alias(f"__{name}")
-            )
+    sides = [
+        F.max(F.when(F.col("__hit.side") == f"{side}{i}", F.col(value))).alias(f"__{side}{i}")
+        for i in range(len(probabilities))
+        for side in ("lo", "hi")
+    ]
     picked = hits.groupBy(*keys).agg(F.max("__total").alias("n"), *sides)
     results = []
     for i, (p, name) in enumerate(zip(probabilities, names)):

@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecraft.functions.columns import dtype_of, present
+from tablecraft.functions.columns import dtype_of, present, ref
 
 #: Columns aggregated together; wider tables take one scan per block of this
 #: size, which keeps the generated aggregation code within the JVM's limits.
@@ -69,21 +69,25 @@ def melt(df: DataFrame, cols: Sequence[str], dropna: bool = True) -> tuple[DataF
         slot = by_type.setdefault(dtype.simpleString(), f"v{len(by_type)}")
         slots[name] = slot
         types[slot] = dtype
-    packed = [
-        F.struct(
+    if len(types) == 1:
+        plain = df.select(*[present(df, name).alias(name) for name in cols])
+        long = plain.unpivot([], [ref(name) for name in cols], "column", "v0")
+    else:
+        packed = df.select(
             *[
-                (present(df, name) if slots[name] == slot else F.lit(None).cast(dtype)).alias(slot)
-                for slot, dtype in types.items()
+                F.struct(
+                    F.lit(name).alias("column"),
+                    *[
+                        (
+                            present(df, name) if slots[name] == slot else F.lit(None).cast(dtype)
+                        ).alias(slot)
+                        for slot, dtype in types.items()
+                    ],
+                ).alias(f"p{i}")
+                for i, name in enumerate(cols)
             ]
-        ).alias(f"p{i}")
-        for i, name in enumerate(cols)
-    ]
-    labels = F.create_map(*[part for i, name in enumerate(cols) for part in (F.lit(f"p{i}"), F.lit(name))])
-    long = (
-        df.select(*packed)
-        .unpivot([], [f"p{i}" for i in range(len(cols))], "packed", "value")
-        .select(labels[F.col("packed")].alias("column"), *[F.col(f"value.{s}").alias(s) for s in types])
-    )
+        )
+        long = packed.unpivot([], packed.columns, "place", "row").select("row.*")
     if dropna:
         long = long.where(reduce(or_, [F.col(slot).isNotNull() for slot in types]))
     return long, slots

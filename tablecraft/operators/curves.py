@@ -10,35 +10,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecraft.functions.columns import present, ratio, require_columns
-from tablecraft.functions.ordered import join_buckets, running_totals
+from tablecraft.functions.ordered import (
+    cut_points,
+    join_buckets,
+    running_totals,
+    with_bucket,
+)
 
 
-def _steps(scored: DataFrame, score_col: str, positive: float) -> DataFrame:
-    """Per distinct score: positives, negatives and both totals down to it."""
+def _counted(scored: DataFrame, score_col: str, positive: float) -> tuple[DataFrame, list]:
+    """Positives and negatives per distinct score, and cut points of the scores."""
     require_columns(scored, ["label"])
     require_columns(scored, [score_col], kinds=["numeric"])
+    score = present(scored, score_col).cast("double").alias("threshold")
+    cuts = cut_points(scored.select(score).dropna(), "threshold")
     hit = F.col("label").cast("double") == F.lit(float(positive))
-    rows = scored.select(
-        present(scored, score_col).cast("double").alias("threshold"), hit.alias("hit")
-    ).dropna()
-    steps = rows.groupBy("threshold").agg(
-        F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fp")
+    counted = (
+        scored.select(score, hit.alias("hit"))
+        .dropna()
+        .groupBy("threshold")
+        .agg(F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fp"))
     )
-    return running_totals(steps, "threshold", ["tp", "fp"], descending=True)
-
+    return counted, cuts
 
-def _ends(steps: DataFrame) -> DataFrame:
-    """One row with the numbers of positives and negatives in the table."""
-    return steps.agg(
-        F.coalesce(F.sum("tp"), F.lit(0)).alias("positives"),
-        F.coalesce(F.sum("fp"), F.lit(0)).alias("negatives"),
-    )
 
-
-def _with_ends(steps: DataFrame) -> DataFrame:
-    # A one-row table joined on a constant key: its size does not depend on the data.
-    ends = _ends(steps).withColumn("__end", F.lit(0))
-    return steps.withColumn("__end", F.lit(0)).join(F.broadcast(ends), "__end").drop("__end")
+def _steps(scored: DataFrame, score_col: str, positive: float) -> DataFrame:
+    """Counts per distinct score with their totals down to it and over the table."""
+    counted, cuts = _counted(scored, score_col, positive)
+    return running_totals(counted, "threshold", ["tp", "fp"], descending=True, cuts=cuts)
 
 
 def _corners(steps: DataFrame) -> DataFrame:
@@ -55,7 +54,7 @@ def _corners(steps: DataFrame) -> DataFrame:
         "__bucket",
         F.lead(F.struct("__head.tp", "__head.fp")).over(along).alias("__next_bucket"),
     )
-    joined = join_buckets(steps, heads, [])
+    joined = join_buckets(steps, heads, [], bounded=True)
     following = F.coalesce(F.lead(step).over(inside), F.col("__next_bucket"))
     marked = joined.withColumn("__next", following)
     turns = (F.col("__next.tp") != F.col("tp")) | (F.col("__next.fp") != F.col("fp"))
@@ -70,11 +69,10 @@ def roc(
     Without positives (negatives) the rate is NULL.
     """
     steps = _steps(scored, score_col, positive)
-    complete = _with_ends(steps)
-    points = (_corners(complete) if drop_collinear else complete).select(
+    points = (_corners(steps) if drop_collinear else steps).select(
         "threshold",
-        ratio(F.col("cum_fp"), F.col("negatives")).alias("fpr"),
-        ratio(F.col("cum_tp"), F.col("positives")).alias("tpr"),
+        ratio(F.col("cum_fp"), F.col("all_fp")).alias("fpr"),
+        ratio(F.col("cum_tp"), F.col("all_tp")).alias("tpr"),
     )
     start = scored.sparkSession.createDataFrame(
         [(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double"
@@ -89,9 +87,9 @@ def pr(
 
     ``end_point`` adds the conventional end (recall 0, precision 1).
     """
-    points = _with_ends(_steps(scored, score_col, positive)).select(
+    points = _steps(scored, score_col, positive).select(
         "threshold",
-        ratio(F.col("cum_tp"), F.col("positives")).alias("recall"),
+        ratio(F.col("cum_tp"), F.col("all_tp")).alias("recall"),
         ratio(F.col("cum_tp"), F.col("cum_tp") + F.col("cum_fp")).alias("precision"),
     )
     if not end_point:
@@ -103,10 +101,26 @@ def pr(
 
 
 def auc(scored: DataFrame, score_col: str = "score", positive: float = 1.0) -> DataFrame:
-    """One row: exact area under the ROC curve, ties counted half; NULL for one class only."""
-    steps = _steps(scored, score_col, positive)
-    area = F.sum(
-        F.col("fp").cast("double") * (F.col("cum_tp").cast("double") - F.col("tp").cast("double") / 2)
+    """One row: exact area under the ROC curve, ties counted half; NULL for one class only.
+
+    Each bucket gives its own area and its counts; what lies above a bucket only
+    adds a rectangle, so the buckets are put together from one row each.
+    """
+    counted, cuts = _counted(scored, score_col, positive)
+    rows = with_bucket(counted, "threshold", cuts)
+    inside = (
+        Window.partitionBy("__bucket")
+        .orderBy(F.desc("threshold"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    height = F.sum("tp").over(inside).cast("double") - F.col("tp").cast("double") / 2
+    buckets = (
+        rows.withColumn("area", F.col("fp").cast("double") * height)
+        .groupBy("__bucket")
+        .agg(*[F.sum(c).alias(c) for c in ("area", "tp", "fp")])
     )
+    above = Window.orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("tp").over(above), F.lit(0)).cast("double")
+    whole = buckets.withColumn("area", F.col("area") + F.col("fp").cast("double") * offset)
     product = F.sum("tp").cast("double") * F.sum("fp").cast("double")
-    return steps.agg(ratio(area, product).alias("auc"))
+    return whole.agg(ratio(F.sum("area"), product).alias("auc"))

@@ -87,7 +87,9 @@ def _index_by_join(df: DataFrame, name: str, out: str) -> DataFrame:
     values = df.select(present(df, name).alias("__value")).where(F.col("__value").isNotNull())
     counted = values.groupBy("__value").agg(F.count(F.lit(1)).alias("__n"))
     sizes = counted.agg(F.count(F.lit(1)).alias("labels"), F.sum("__n").alias("rows")).first()
-    ranked = running_totals(counted.withColumn("__one", F.lit(1)), "__value", ["__one"])
+    # Derived from the count so that all uses share one shuffle of the counts.
+    ones = counted.withColumn("__one", F.least(F.col("__n"), F.lit(1)))
+    ranked = running_totals(ones, "__value", ["__one"])
     index = ranked.select(
         "__value", "__n", (F.col("cum___one") - 1).cast("double").alias("__index")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecraft.functions.columns import numeric_columns, present, ref, require_columns
-from tablecraft.functions.ordered import cut_points, join_buckets, quantiles, with_bucket
+from tablecraft.functions.ordered import hold, quantiles
 
 #: Pairs of columns per scan in the correlation matrix.
 PAIRS_PER_PASS = 60
@@ -58,32 +58,21 @@ def mean_by_groups(
     )
 
 
-def _boxes(df: DataFrame, x: str, y: str):
-    """Distinct (x, y) with counts and buckets, and quartiles with fences per x."""
-    pairs = df.select(
-        present(df, x).alias("x"), present(df, y).cast("double").alias("y")
-    ).dropna()
-    cuts = cut_points(pairs, "y")
-    counted = with_bucket(
-        pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), "y", cuts
-    )
-    quartiles = quantiles(
-        pairs, "y", [0.25, 0.5, 0.75], ["q1", "median", "q3"], keys=["x"], counted=counted
-    )
-    reach = F.lit(WHISKER) * (F.col("q3") - F.col("q1"))
-    fenced = quartiles.withColumns(
-        {"fence_low": F.col("q1") - reach, "fence_high": F.col("q3") + reach}
-    )
-    return counted, fenced, cuts
+def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    require_columns(df, [x])
+    require_columns(df, [y], kinds=["numeric"])
+    return df.select(present(df, x).alias("x"), present(df, y).cast("double").alias("y")).dropna()
 
 
-def _fences_by_bucket(counted: DataFrame, fenced: DataFrame) -> DataFrame:
-    """One row per (x, bucket) in use, so that joins on it spread a hot ``x``."""
-    used = counted.groupBy(F.col("x"), F.col("__bucket")).agg(F.count(F.lit(1)).alias("__rows"))
-    limits = fenced.select(F.col("x").alias("__x"), "fence_low", "fence_high")
-    return used.join(limits, F.col("x") == F.col("__x")).select(
-        "x", "__bucket", "fence_low", "fence_high"
+def _fenced(pairs: DataFrame) -> tuple[DataFrame, bool]:
+    """Quartiles and fences per ``x``, and whether that table is held and broadcast."""
+    found = quantiles(pairs, "y", [0.25, 0.5, 0.75], ["q1", "median", "q3"], keys=["x"])
+    reach = F.lit(WHISKER) * (F.col("q3") - F.col("q1"))
+    fenced = found.withColumns(
+        {"fence_low": F.col("q1") - reach, "fence_high": F.col("q3") + reach}
     )
+    held = hold(fenced)
+    return (fenced, False) if held is None else (F.broadcast(held), True)
 
 
 def box_stats(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -91,17 +80,25 @@ def box_stats(df: DataFrame, x: str, y: str) -> DataFrame:
 
     Whiskers end at the outermost values within 1.5 interquartile ranges.
     """
-    require_columns(df, [x])
-    require_columns(df, [y], kinds=["numeric"])
-    counted, fenced, _ = _boxes(df, x, y)
-    joined = join_buckets(counted, _fences_by_bucket(counted, fenced), ["x"])
+    pairs = _pairs(df, x, y)
+    fenced, held = _fenced(pairs)
+    # Unless the fences are broadcast, repeated values are combined before the
+    # shuffle; Spark's adaptive join then splits the partition of a hot x.
+    rows = pairs.withColumn("n", F.lit(1)) if held else pairs.groupBy("x", "y").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    limits = fenced.select(F.col("x").alias("__x"), "fence_low", "fence_high")
     inside = F.col("y").between(F.col("fence_low"), F.col("fence_high"))
-    ends = joined.groupBy(F.col("x").alias("__x")).agg(
-        F.min(F.when(inside, F.col("y"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("y"))).alias("whisker_high"),
-        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("n"))).alias("n_outliers"),
+    ends = (
+        rows.join(limits, F.col("x") == F.col("__x"))
+        .groupBy("__x")
+        .agg(
+            F.min(F.when(inside, F.col("y"))).alias("whisker_low"),
+            F.max(F.when(inside, F.col("y"))).alias("whisker_high"),
+            F.sum(F.when(inside, F.lit(0)).otherwise(F.col("n"))).cast("long").alias("n_outliers"),
+        )
     )
-    return fenced.join(ends, F.col("x") == F.col("__x")).select(
+    return ends.join(fenced, F.col("x") == F.col("__x")).select(
         "x", F.col("n").alias("count"), "q1", "median", "q3",
         "whisker_low", "whisker_high", "n_outliers",
     )
@@ -109,17 +106,14 @@ def box_stats(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def outliers(df: DataFrame, x: str, y: str) -> DataFrame:
     """The rows of ``df`` whose ``y`` lies beyond the whiskers of its ``x``."""
-    require_columns(df, [x])
-    require_columns(df, [y], kinds=["numeric"])
-    counted, fenced, cuts = _boxes(df, x, y)
-    limits = _fences_by_bucket(counted, fenced).select(
-        F.col("x").alias("__lx"), F.col("__bucket").alias("__lb"), "fence_low", "fence_high"
+    fenced, _ = _fenced(_pairs(df, x, y))
+    limits = fenced.select(
+        F.col("x").alias("__x"), F.col("fence_low").alias("__lo"), F.col("fence_high").alias("__hi")
     )
-    rows = df.withColumn("__y", present(df, y).cast("double")).where(F.col("__y").isNotNull())
-    rows = with_bucket(rows, "__y", cuts)
-    joined = rows.join(limits, (ref(x) == F.col("__lx")) & (F.col("__bucket") == F.col("__lb")))
-    beyond = (F.col("__y") < F.col("fence_low")) | (F.col("__y") > F.col("fence_high"))
-    return joined.where(beyond).select(*map(ref, df.columns))
+    value = present(df, y).cast("double")
+    beyond = (value < F.col("__lo")) | (value > F.col("__hi"))
+    joined = df.join(limits, (ref(x) == F.col("__x")) & beyond)
+    return joined.select(*map(ref, df.columns))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
