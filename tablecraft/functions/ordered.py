@@ -82,7 +82,8 @@ def with_bucket(df: DataFrame, value: str, cuts: Sequence, out: str = "__bucket"
     binner = Bucketizer(
         splits=[-math.inf, *cuts, math.inf], inputCol=value, outputCol=out, handleInvalid="keep"
     )
-    return binner.transform(df).withColumn(out, F.col(out).cast("int"))
+    # Values are never missing here; saying so keeps joins from testing the bucket again.
+    return binner.transform(df).withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(0)))
 
 
 def hold(df: DataFrame, limit: int = HELD_ROWS) -> DataFrame | None:
