@@ -142,6 +142,18 @@ def histogram_all(spark, sf):
     return distributions.histogram(table(spark, sf, "lineitem")).select("column", "bin", "count")
 
 
+@query("histogram_gaps", "WITH " + GAPS + """,
+s AS (SELECT min(c_acctbal) AS lo, (max(c_acctbal) - min(c_acctbal)) / 30 AS w FROM gaps),
+counted AS (
+  SELECT CAST(least(floor((c_acctbal - lo) / w), 29) AS INTEGER) AS bin, count(*) AS count
+  FROM gaps, s WHERE c_acctbal IS NOT NULL GROUP BY 1)
+SELECT 'c_acctbal' AS "column", CAST(b.bin AS INTEGER) AS bin, coalesce(c.count, 0) AS count
+FROM (SELECT unnest(range(30)) AS bin) b LEFT JOIN counted c ON c.bin = b.bin""")
+def histogram_gaps(spark, sf):
+    found = distributions.histogram(gaps(spark, sf), ["c_acctbal"])
+    return found.select("column", "bin", "count")
+
+
 @query("kde", """
 WITH s AS (SELECT min(value) AS lo, (max(value) - min(value)) / 199 AS step, count(value) AS n,
                   stddev_samp(value) * pow(count(value), -0.2::DOUBLE) AS h FROM events),

@@ -9,9 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL text, also when it holds dots or backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(value: str | float) -> str:
+    """A string or double as SQL text."""
+    if isinstance(value, float):
+        return f"{value!r}D"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def ref(name: str) -> Column:
-    """Column by its exact name, also when the name holds dots or backticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """Column by its exact name."""
+    return F.col(quoted(name))
 
 
 def kind(dtype: T.DataType) -> str:
@@ -69,11 +81,25 @@ def is_fractional(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.DoubleType, T.FloatType))
 
 
+def present_sql(df: DataFrame, names: Iterable[str]) -> dict[str, str]:
+    """Per column, SQL text of its value with NaN turned into NULL.
+
+    Expressions over many columns are written as SQL text: a wide table would
+    otherwise need a call into the JVM for every part of every expression.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    found = {}
+    for name in names:
+        text = quoted(name)
+        if is_fractional(types[name]):
+            text = f"nanvl({text}, CAST(NULL AS {types[name].simpleString()}))"
+        found[name] = text
+    return found
+
+
 def present(df: DataFrame, name: str) -> Column:
     """The column with NaN turned into NULL, so that one null test finds both."""
-    column = ref(name)
-    dtype = dtype_of(df, name)
-    return F.nanvl(column, F.lit(None).cast(dtype)) if is_fractional(dtype) else column
+    return F.expr(present_sql(df, [name])[name])
 
 
 def ratio(part: Column, whole: Column, empty: float | None = None) -> Column:

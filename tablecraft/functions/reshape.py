@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecraft.functions.columns import dtype_of, present, ref
+from tablecraft.functions.columns import literal, present_sql, quoted, ref
 
 #: Columns aggregated together; wider tables take one scan per block of this
 #: size, which keeps the generated aggregation code within the JVM's limits.
@@ -18,40 +18,31 @@ COLUMNS_PER_PASS = 200
 
 def per_column(
     df: DataFrame,
-    stats: Mapping[str, Mapping[str, Column]],
+    stats: Mapping[str, Mapping[str, str]],
     schema: str,
     block: int = COLUMNS_PER_PASS,
 ) -> DataFrame:
     """Evaluate aggregates for many columns and return one row per column.
 
-    ``stats`` maps column name -> statistic name -> aggregate expression; all
+    ``stats`` maps column name -> statistic name -> aggregate as SQL text; all
     columns share the same statistic names. One global aggregate (partial on
     the executors, one row per task shuffled) answers a whole block. ``schema``
-    describes the result and fixes its types, also when ``stats`` is empty.
+    describes the result when there are no columns.
     """
     names = list(stats)
     if not names:
         return df.sparkSession.createDataFrame([], schema)
     parts = []
     for start in range(0, len(names), block):
-        chunk = names[start : start + block]
-        wide = df.agg(
-            *[
-                expression.alias(f"c{i}_{stat}")
-                for i, name in enumerate(chunk)
-                for stat, expression in stats[name].items()
-            ]
+        chunk = list(enumerate(names[start : start + block]))
+        wide = df.selectExpr(
+            *[f"{text} AS c{i}_{stat}" for i, name in chunk for stat, text in stats[name].items()]
         )
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("column"),
-                    *[F.col(f"c{i}_{stat}").alias(stat) for stat in stats[name]],
-                )
-                for i, name in enumerate(chunk)
-            ]
-        )
-        parts.append(wide.select(F.inline(rows)))
+        rows = []
+        for i, name in chunk:
+            fields = ", ".join(f"c{i}_{stat} AS `{stat}`" for stat in stats[name])
+            rows.append(f"struct({literal(name)} AS `column`, {fields})")
+        parts.append(wide.selectExpr(f"inline(array({', '.join(rows)}))"))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -62,34 +53,26 @@ def melt(df: DataFrame, cols: Sequence[str], dropna: bool = True) -> tuple[DataF
     returned mapping tells the slot of each column. NaN counts as missing.
     """
     slots: dict[str, str] = {}
-    by_type: dict[str, str] = {}
-    types = {}
+    types: dict[str, str] = {}
+    by_name = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     for name in cols:
-        dtype = dtype_of(df, name)
-        slot = by_type.setdefault(dtype.simpleString(), f"v{len(by_type)}")
-        slots[name] = slot
-        types[slot] = dtype
+        slots[name] = types.setdefault(by_name[name], f"v{len(types)}")
+    values = present_sql(df, cols)
     if len(types) == 1:
-        plain = df.select(*[present(df, name).alias(name) for name in cols])
+        plain = df.selectExpr(*[f"{values[name]} AS {quoted(name)}" for name in cols])
         long = plain.unpivot([], [ref(name) for name in cols], "column", "v0")
     else:
-        packed = df.select(
-            *[
-                F.struct(
-                    F.lit(name).alias("column"),
-                    *[
-                        (
-                            present(df, name) if slots[name] == slot else F.lit(None).cast(dtype)
-                        ).alias(slot)
-                        for slot, dtype in types.items()
-                    ],
-                ).alias(f"p{i}")
-                for i, name in enumerate(cols)
-            ]
-        )
-        long = packed.unpivot([], packed.columns, "place", "row").select("row.*")
+        packed = []
+        for i, name in enumerate(cols):
+            fields = ", ".join(
+                f"{values[name]} AS {slot}" if slots[name] == slot else f"CAST(NULL AS {dtype}) AS {slot}"
+                for dtype, slot in types.items()
+            )
+            packed.append(f"struct({literal(name)} AS `column`, {fields}) AS p{i}")
+        rows = df.selectExpr(*packed)
+        long = rows.unpivot([], rows.columns, "place", "row").select("row.*")
     if dropna:
-        long = long.where(reduce(or_, [F.col(slot).isNotNull() for slot in types]))
+        long = long.where(reduce(or_, [F.col(slot).isNotNull() for slot in types.values()]))
     return long, slots
 
 

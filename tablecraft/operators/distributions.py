@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tablecraft.functions.columns import (
     categorical_columns,
+    literal,
     numeric_columns,
     present,
+    present_sql,
     require_columns,
 )
 from tablecraft.functions.reshape import as_text, melt
@@ -63,15 +65,12 @@ def frequencies(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def _spans(df: DataFrame, names: Sequence[str]) -> list[dict]:
     """Fitted minimum, maximum, deviation and count of each column (one job)."""
     aggregates = []
-    for i, name in enumerate(names):
-        x = present(df, name).cast("double")
+    for i, x in enumerate(present_sql(df, names).values()):
+        x = f"CAST({x} AS DOUBLE)"
         aggregates += [
-            F.min(x).alias(f"lo{i}"),
-            F.max(x).alias(f"hi{i}"),
-            F.stddev_samp(x).alias(f"sd{i}"),
-            F.count(x).alias(f"n{i}"),
+            f"min({x}) AS lo{i}", f"max({x}) AS hi{i}", f"stddev_samp({x}) AS sd{i}", f"count({x}) AS n{i}"
         ]
-    row = df.agg(*aggregates).first()
+    row = df.selectExpr(*aggregates).first()
     spans = []
     for i, name in enumerate(names):
         lo, hi, sd, n = (row[f"{stat}{i}"] for stat in ("lo", "hi", "sd", "n"))
@@ -113,11 +112,13 @@ def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 30)
     )
     if not edges:
         return frame.withColumn("count", F.lit(0).cast("long"))
-    placed = df.select(
+    # least() skips NULLs, so missing values have to be kept out of it.
+    values = present_sql(df, [name for name, _, _ in edges])
+    placed = df.selectExpr(
         *[
-            F.least(
-                F.floor((present(df, name).cast("double") - lo) / width), F.lit(bins - 1)
-            ).cast("int").alias(f"b{i}")
+            f"CAST(CASE WHEN {values[name]} IS NOT NULL THEN "
+            f"least(floor((CAST({values[name]} AS DOUBLE) - {literal(lo)}) / {literal(width)}), "
+            f"{bins - 1}) END AS INT) AS b{i}"
             for i, (name, lo, width) in enumerate(edges)
         ]
     )

@@ -60,10 +60,16 @@ def _label_texts(df: DataFrame, found: dict[str, list]) -> dict[str, list[str]]:
 
 
 def fit_labels(
-    df: DataFrame, cols: Sequence[str], outputs: Sequence[str], max_labels: int = MAX_LABELS
+    df: DataFrame,
+    cols: Sequence[str],
+    inputs: Sequence[str],
+    outputs: Sequence[str],
+    max_labels: int = MAX_LABELS,
 ) -> list[StringIndexerModel] | None:
     """One label index per column over its sorted categories; NULL and unseen values come last.
 
+    ``inputs`` are the columns to index later: the same ones or their text form.
+
     Text is sorted by code point, numbers and dates by value. None when there
     are too many labels for a driver-side list.
     """
@@ -72,8 +78,8 @@ def fit_labels(
         return None
     texts = _label_texts(df, found)
     return [
-        StringIndexerModel.from_labels(texts[c], inputCol=c, outputCol=out, handleInvalid="keep")
-        for c, out in zip(cols, outputs)
+        StringIndexerModel.from_labels(texts[c], inputCol=i, outputCol=out, handleInvalid="keep")
+        for c, i, out in zip(cols, inputs, outputs)
     ]
 
 
@@ -123,11 +129,12 @@ def label_encode(
     if not valid:
         return df
     temporary = {c: f"__index_{i}" for i, c in enumerate(valid)}
-    cleaned = df.withColumns({c: present(df, c) for c in valid})
-    indexers = fit_labels(cleaned, valid, list(temporary.values()), max_labels)
-    coded = cleaned
+    texts = {c: f"__text_{i}" for i, c in enumerate(valid)}
+    indexers = fit_labels(df, valid, list(texts.values()), list(temporary.values()), max_labels)
+    coded = df
     if indexers is not None:
-        coded = PipelineModel(stages=indexers).transform(cleaned)
+        written = {texts[c]: present(df, c).cast("string") for c in valid}
+        coded = PipelineModel(stages=indexers).transform(df.withColumns(written))
     else:
         for name, out in temporary.items():
             coded = _index_by_join(coded, name, out)
@@ -188,7 +195,7 @@ def fit_onehot_vector(
     NULL and unseen values are all zeros.
     """
     indexed = [f"__index_{i}" for i in range(len(cols))]
-    indexers = fit_labels(df, cols, indexed, max_labels)
+    indexers = fit_labels(df, cols, cols, indexed, max_labels)
     if indexers is None:
         raise ValueError(f"more than {max_labels} categories")
     wide = [f"__wide_{i}" for i in range(len(cols))]

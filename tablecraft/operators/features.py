@@ -45,8 +45,8 @@ def stages(
     """Unfitted stages ending in the column ``features``.
 
     ``encoding``: ``index`` puts the label index of a category in the vector,
-    ``onehot`` a 0/1 slot per category (all but the last real one are separable;
-    unseen categories are all zeros). ``scale`` standardises the whole vector.
+    ``onehot`` one 0/1 slot per known category (unseen ones are all zeros).
+    ``scale`` standardises the whole vector.
     """
     if encoding not in ("index", "onehot"):
         raise ValueError("encoding must be 'index' or 'onehot'")

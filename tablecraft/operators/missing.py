@@ -19,9 +19,10 @@ from pyspark.sql import types as T
 from tablecraft.functions.columns import (
     dtype_of,
     is_fractional,
+    literal,
     present,
-    ratio,
-    ref,
+    present_sql,
+    quoted,
     require_columns,
 )
 from tablecraft.functions.ordered import quantiles
@@ -40,32 +41,33 @@ REPORT_SCHEMA = "step string, column string, status string, value string"
 
 def counts(df: DataFrame) -> DataFrame:
     """Number of NULLs per column."""
-    stats = {c: {"null_count": F.count_if(ref(c).isNull())} for c in df.columns}
+    stats = {c: {"null_count": f"count_if({quoted(c)} IS NULL)"} for c in df.columns}
     return per_column(df, stats, "column string, null_count long")
 
 
+def _percent(name: str) -> str:
+    nulls = f"count_if({quoted(name)} IS NULL)"
+    return f"coalesce(try_divide(CAST({nulls} AS DOUBLE), count(1)), 0.0D) * 100.0D"
+
+
 def percentages(df: DataFrame) -> DataFrame:
     """Percentage of NULLs per column; 0.0 for an empty table."""
-    stats = {
-        c: {"null_pct": ratio(F.count_if(ref(c).isNull()), F.count(F.lit(1)), 0.0) * 100.0}
-        for c in df.columns
-    }
+    stats = {c: {"null_pct": _percent(c)} for c in df.columns}
     return per_column(df, stats, "column string, null_pct double")
 
 
 def report(df: DataFrame) -> DataFrame:
     """Per column: rows, NULLs, NaNs, NULL percentage (2 decimals) and a flag."""
     stats = {}
-    for name in df.columns:
-        nulls = F.count_if(ref(name).isNull())
-        rows = F.count(F.lit(1))
-        has_nan = is_fractional(dtype_of(df, name))
-        stats[name] = {
-            "total_rows": rows,
-            "null_count": nulls,
-            "nan_count": F.count_if(F.isnan(ref(name))) if has_nan else F.count_if(F.lit(False)),
-            "null_pct": F.round(ratio(nulls, rows, 0.0) * 100.0, 2),
-            "has_missing": nulls > 0,
+    for field in df.schema.fields:
+        column = quoted(field.name)
+        nan = f"isnan({column})" if is_fractional(field.dataType) else "false"
+        stats[field.name] = {
+            "total_rows": "count(1)",
+            "null_count": f"count_if({column} IS NULL)",
+            "nan_count": f"count_if({nan})",
+            "null_pct": f"round({_percent(field.name)}, 2)",
+            "has_missing": f"count_if({column} IS NULL) > 0",
         }
     return per_column(
         df,
@@ -126,22 +128,35 @@ def fill_mean(
     valid, ignored = require_columns(df, cols, strict, ["numeric"])
     fitted: dict[str, Any] = {}
     if valid:
-        means = [F.avg(present(df, c)).cast("double").alias(f"m{i}") for i, c in enumerate(valid)]
-        fitted = dict(zip(valid, df.agg(*means).first()))
+        means = [f"CAST(avg({x}) AS DOUBLE)" for x in present_sql(df, valid).values()]
+        fitted = dict(zip(valid, df.selectExpr(*means).first()))
     return _finish(df, "fill_mean", fitted, ignored, widen, digits=4)
 
 
 def _exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, Any]:
+    """Exact medians, all columns of a type together.
+
+    Types that a double holds without loss share one pass; long and decimal
+    values are ranked and returned in their own type.
+    """
     medians: dict[str, Any] = dict.fromkeys(cols)
     by_type: dict[str, list[str]] = {}
+    columns = {}
     for name in cols:
-        by_type.setdefault(dtype_of(df, name).simpleString(), []).append(name)
+        dtype = dtype_of(df, name)
+        own = isinstance(dtype, (T.LongType, T.DecimalType))
+        group = dtype.simpleString() if own else "double"
+        by_type.setdefault(group, []).append(name)
+        columns[name] = present(df, name).cast(group)
     for group in by_type.values():
-        long, slots = melt(df, group)
+        long, slots = melt(df.select(*[columns[c].alias(c) for c in group]), group)
         rows = quantiles(
             long, slots[group[0]], [0.5], ["median"], keys=["column"], discrete=True
         ).collect()
         medians.update({row["column"]: row["median"] for row in rows})
+    for name, value in medians.items():
+        if value is not None and isinstance(dtype_of(df, name), T.IntegralType):
+            medians[name] = int(value)
     return medians
 
 
@@ -161,7 +176,8 @@ def fill_median(
     valid, ignored = require_columns(df, cols, strict, ["numeric"])
     fitted: dict[str, Any] = {}
     if valid and relative_error > 0:
-        plain = df.select(*[present(df, c).alias(f"c{i}") for i, c in enumerate(valid)])
+        texts = present_sql(df, valid).values()
+        plain = df.selectExpr(*[f"{x} AS c{i}" for i, x in enumerate(texts)])
         found = plain.approxQuantile(plain.columns, [0.5], relative_error)
         fitted = {c: (q[0] if q else None) for c, q in zip(valid, found)}
     elif valid:
@@ -178,14 +194,9 @@ def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, Any]:
         F.count(F.lit(1)).alias("n")
     )
     best = [
-        F.min(
-            F.when(
-                F.col("column") == c, F.struct((-F.col("n")).alias("n"), F.col(slots[c]).alias("v"))
-            )
-        ).alias(f"b{i}")
-        for i, c in enumerate(cols)
+        f"min(CASE WHEN column = {literal(c)} THEN struct(-n AS n, {slots[c]} AS v) END)" for c in cols
     ]
-    row = counted.agg(*best).first()
+    row = counted.selectExpr(*best).first()
     return {c: (None if best is None else best["v"]) for c, best in zip(cols, row)}
 
 

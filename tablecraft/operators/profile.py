@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tablecraft.functions.columns import (
     categorical_columns,
     kind,
+    literal,
     numeric_columns,
-    present,
+    present_sql,
+    quoted,
     ref,
     require_columns,
 )
@@ -30,7 +32,7 @@ def shape(df: DataFrame) -> DataFrame:
 
 def schema_report(df: DataFrame) -> DataFrame:
     """One row per column: type, role, nullability and non-null count."""
-    counts = {f.name: {"non_null_count": F.count(ref(f.name))} for f in df.schema.fields}
+    counts = {c: {"non_null_count": f"count({quoted(c)})"} for c in df.columns}
     facts = df.sparkSession.createDataFrame(
         [(i, f.name, f.dataType.simpleString(), kind(f.dataType), f.nullable)
          for i, f in enumerate(df.schema.fields)],
@@ -60,19 +62,18 @@ def numeric_summary(
     names = numeric_columns(df) if cols is None else require_columns(df, cols, kinds=["numeric"])[0]
     schema = "column string, count long, mean double, stddev double, min double, max double"
     stats = {}
-    for name in names:
-        x = present(df, name)
+    for name, x in present_sql(df, names).items():
         stats[name] = {
-            "count": F.count(x),
-            "mean": F.avg(x).cast("double"),
-            "stddev": F.stddev_samp(x),
-            "min": F.min(x).cast("double"),
-            "max": F.max(x).cast("double"),
+            "count": f"count({x})",
+            "mean": f"CAST(avg({x}) AS DOUBLE)",
+            "stddev": f"stddev_samp({x})",
+            "min": f"CAST(min({x}) AS DOUBLE)",
+            "max": f"CAST(max({x}) AS DOUBLE)",
         }
         if quartiles and not exact:
             for label, p in QUARTILES.items():
-                sketch = F.percentile_approx(x.cast("double"), p, int(1 / relative_error))
-                stats[name][label] = sketch
+                accuracy = int(1 / relative_error)
+                stats[name][label] = f"percentile_approx(CAST({x} AS DOUBLE), {p}, {accuracy})"
     if quartiles and not exact:
         schema += ", q25 double, q50 double, q75 double"
     summary = per_column(df, stats, schema)
@@ -80,7 +81,8 @@ def numeric_summary(
         return summary
     if not names:
         return summary.withColumns({label: F.lit(None).cast("double") for label in QUARTILES})
-    doubles = df.select(*[present(df, name).cast("double").alias(name) for name in names])
+    values = present_sql(df, names)
+    doubles = df.selectExpr(*[f"CAST({values[n]} AS DOUBLE) AS {quoted(n)}" for n in names])
     long, slots = melt(doubles, names)
     ranks = quantiles(
         long, slots[names[0]], list(QUARTILES.values()), list(QUARTILES), keys=["column"]
@@ -101,11 +103,11 @@ def categorical_summary(
     if not top:
         stats = {
             name: {
-                "count": F.count(present(df, name)),
-                "min": F.min(present(df, name)).cast("string"),
-                "max": F.max(present(df, name)).cast("string"),
+                "count": f"count({x})",
+                "min": f"CAST(min({x}) AS STRING)",
+                "max": f"CAST(max({x}) AS STRING)",
             }
-            for name in names
+            for name, x in present_sql(df, names).items()
         }
         return per_column(df, stats, "column string, count long, min string, max string")
 
@@ -118,12 +120,12 @@ def categorical_summary(
     )
     stats = {}
     for name in names:
-        mine = F.col("column") == name
-        best = F.min(F.when(mine, F.struct((-F.col("n")).alias("n"), F.col(slots[name]).alias("v"))))
+        mine = f"column = {literal(name)}"
+        best = f"min(CASE WHEN {mine} THEN struct(-n AS n, {slots[name]} AS v) END)"
         stats[name] = {
-            "count": F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)),
-            "unique": F.count_if(mine),
-            "top": best["v"].cast("string"),
-            "freq": -best["n"],
+            "count": f"coalesce(sum(CASE WHEN {mine} THEN n END), 0L)",
+            "unique": f"count_if({mine})",
+            "top": f"CAST({best}.v AS STRING)",
+            "freq": f"-{best}.n",
         }
     return per_column(counted, stats, schema)

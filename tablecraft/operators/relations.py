@@ -9,7 +9,14 @@ from itertools import combinations_with_replacement
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecraft.functions.columns import numeric_columns, present, ref, require_columns
+from tablecraft.functions.columns import (
+    literal,
+    numeric_columns,
+    present,
+    present_sql,
+    ref,
+    require_columns,
+)
 from tablecraft.functions.ordered import hold, quantiles
 
 #: Pairs of columns per scan in the correlation matrix.
@@ -126,33 +133,23 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     pairs = list(combinations_with_replacement(names, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "x string, y string, n long, corr double")
+    values = {name: f"CAST({text} AS DOUBLE)" for name, text in present_sql(df, names).items()}
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
-        block = pairs[start : start + PAIRS_PER_PASS]
-        aggregates = []
-        for i, (a, b) in enumerate(block):
-            left = present(df, a).cast("double")
-            right = present(df, b).cast("double")
-            both = left.isNotNull() & right.isNotNull()
+        aggregates, entries = [], []
+        for i, (a, b) in enumerate(pairs[start : start + PAIRS_PER_PASS]):
+            x, y = values[a], values[b]
             aggregates += [
-                F.count_if(both).alias(f"n{i}"),
-                F.covar_pop(left, right).alias(f"c{i}"),
-                F.stddev_pop(F.when(both, left)).alias(f"l{i}"),
-                F.stddev_pop(F.when(both, right)).alias(f"r{i}"),
+                f"count_if({x} IS NOT NULL AND {y} IS NOT NULL) AS n{i}",
+                f"covar_pop({x}, {y}) AS c{i}",
+                f"stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END) AS l{i}",
+                f"stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END) AS r{i}",
             ]
-        wide = df.agg(*aggregates)
-        entries = []
-        for i, (a, b) in enumerate(block):
-            scale = F.nullif(F.col(f"l{i}") * F.col(f"r{i}"), F.lit(0.0))
-            value = (F.col(f"c{i}") / scale).alias("corr")
             for first, second in {(a, b), (b, a)}:
                 entries.append(
-                    F.struct(
-                        F.lit(first).alias("x"),
-                        F.lit(second).alias("y"),
-                        F.col(f"n{i}").alias("n"),
-                        value,
-                    )
+                    f"struct({literal(first)} AS x, {literal(second)} AS y, n{i} AS n, "
+                    f"try_divide(c{i}, l{i} * r{i}) AS corr)"
                 )
-        parts.append(wide.select(F.inline(F.array(*entries))))
+        wide = df.selectExpr(*aggregates)
+        parts.append(wide.selectExpr(f"inline(array({', '.join(entries)}))"))
     return reduce(DataFrame.unionAll, parts)

@@ -9,7 +9,7 @@ from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecraft.functions.columns import present, require_columns
+from tablecraft.functions.columns import present, present_sql, require_columns
 
 # Names of the vector columns that scaling adds.
 STANDARD_OUTPUT = "scaled_features_standard"
@@ -41,10 +41,9 @@ def standard(
         scaler = StandardScaler(withMean=True, withStd=True)
         return _as_vector(df, valid, scaler, STANDARD_OUTPUT, on_missing)
     stats = []
-    for i, name in enumerate(valid):
-        x = present(df, name).cast("double")
-        stats += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
-    fitted = df.agg(*stats).first()
+    for i, x in enumerate(present_sql(df, valid).values()):
+        stats += [f"CAST(avg({x}) AS DOUBLE) AS m{i}", f"stddev_samp({x}) AS s{i}"]
+    fitted = df.selectExpr(*stats).first()
     added = {}
     for i, name in enumerate(valid):
         x = present(df, name).cast("double")
@@ -70,10 +69,9 @@ def minmax(
     if not as_columns:
         return _as_vector(df, valid, MinMaxScaler(min=lo, max=hi), MINMAX_OUTPUT, on_missing)
     stats = []
-    for i, name in enumerate(valid):
-        x = present(df, name).cast("double")
-        stats += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
-    fitted = df.agg(*stats).first()
+    for i, x in enumerate(present_sql(df, valid).values()):
+        stats += [f"CAST(min({x}) AS DOUBLE) AS a{i}", f"CAST(max({x}) AS DOUBLE) AS b{i}"]
+    fitted = df.selectExpr(*stats).first()
     added = {}
     for i, name in enumerate(valid):
         x = present(df, name).cast("double")
