@@ -1,15 +1,22 @@
-"""Where intermediate tables may be written."""
+"""Small driver-side tables, and where intermediate tables may be written."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+def local_table(spark: SparkSession, rows: Sequence, schema: str | T.StructType) -> DataFrame:
+    """A table of a few driver-side rows, read by one task instead of one per core."""
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
@@ -30,7 +37,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def enable_checkpoints(spark: SparkSession) -> None:
-    """Let iterative learners cut their lineage; keeps a folder already set."""
+    """Let iterative learners cut their lineage; keeps a folder already set.
+
+    A cluster without the setting goes without checkpoints, as the learners allow.
+    """
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    unset = context._jsc.sc().getCheckpointDir().isEmpty()
+    known = spark.conf.get(CHECKPOINT_SETTING, None) or context.master.startswith("local")
+    if unset and known:
         context.setCheckpointDir(shared_folder(spark))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablecraft.functions.cluster import local_table
 from tablecraft.functions.columns import dtype_of, ref
 
 #: Upper bound of the bucket tables that are broadcast or ranked in one task.
@@ -91,7 +92,7 @@ def hold(df: DataFrame, limit: int = HELD_ROWS) -> DataFrame | None:
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return local_table(df.sparkSession, rows, df.schema)
 
 
 def join_buckets(

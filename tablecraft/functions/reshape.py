@@ -9,6 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablecraft.functions.cluster import local_table
 from tablecraft.functions.columns import literal, present_sql, quoted, ref
 
 #: Columns aggregated together; wider tables take one scan per block of this
@@ -31,7 +32,7 @@ def per_column(
     """
     names = list(stats)
     if not names:
-        return df.sparkSession.createDataFrame([], schema)
+        return local_table(df.sparkSession, [], schema)
     parts = []
     for start in range(0, len(names), block):
         chunk = list(enumerate(names[start : start + block]))

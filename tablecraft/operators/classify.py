@@ -18,9 +18,9 @@ from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecraft.functions.cluster import enable_checkpoints
+from tablecraft.functions.cluster import enable_checkpoints, local_table
 from tablecraft.operators.evaluate import positive_score
-from tablecraft.operators.features import stages
+from tablecraft.operators.features import fit_indexers, stages
 
 # Parameters each learner is fitted with unless told otherwise.
 DEFAULTS: dict[str, dict[str, Any]] = {
@@ -93,7 +93,9 @@ def fit(
     on_missing = "keep" if learner == "xgboost" else "skip"
     if learner in TREES:
         enable_checkpoints(train.sparkSession)
-    prepared = Pipeline(stages=stages(numeric, categorical, encoding, scale, on_missing)).fit(rows)
+    indexers = fit_indexers(rows, categorical, encoding)
+    built = stages(numeric, categorical, encoding, scale, on_missing, indexers)
+    prepared = Pipeline(stages=built).fit(rows)
     if learner in TREES and encoding == "index":
         params = {"maxBins": max(params.get("maxBins", 32), _largest_category(prepared)), **params}
     data = _spread(prepared.transform(rows).select("features", "label"), train)
@@ -188,7 +190,7 @@ def feature_importance(model: PipelineModel, df: DataFrame) -> DataFrame:
         (name, float(v), float(abs(v)) / total * 100.0 if total else 0.0)
         for name, v in zip(names, values)
     ]
-    ranked = df.sparkSession.createDataFrame(
-        rows, "feature string, importance double, importance_pct double"
+    ranked = local_table(
+        df.sparkSession, rows, "feature string, importance double, importance_pct double"
     )
     return ranked.orderBy(F.desc("importance"), "feature")

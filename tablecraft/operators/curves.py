@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablecraft.functions.cluster import local_table
 from tablecraft.functions.columns import present, ratio, require_columns
 from tablecraft.functions.ordered import (
     cut_points,
@@ -74,8 +75,10 @@ def roc(
         ratio(F.col("cum_fp"), F.col("all_fp")).alias("fpr"),
         ratio(F.col("cum_tp"), F.col("all_tp")).alias("tpr"),
     )
-    start = scored.sparkSession.createDataFrame(
-        [(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double"
+    start = local_table(
+        scored.sparkSession,
+        [(float("inf"), 0.0, 0.0)],
+        "threshold double, fpr double, tpr double",
     )
     return points.unionAll(start)
 
@@ -94,8 +97,10 @@ def pr(
     )
     if not end_point:
         return points
-    end = scored.sparkSession.createDataFrame(
-        [(None, 0.0, 1.0)], "threshold double, recall double, precision double"
+    end = local_table(
+        scored.sparkSession,
+        [(None, 0.0, 1.0)],
+        "threshold double, recall double, precision double",
     )
     return points.unionAll(end)
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablecraft.functions.cluster import local_table
 from tablecraft.functions.columns import (
     categorical_columns,
     literal,
@@ -52,9 +53,8 @@ def frequencies(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """
     names = categorical_columns(df) if cols is None else require_columns(df, cols)[0]
     if not names:
-        return df.sparkSession.createDataFrame(
-            [], "column string, value string, count long, share double"
-        )
+        schema = "column string, value string, count long, share double"
+        return local_table(df.sparkSession, [], schema)
     counted = value_counts(df, names, dropna=True, order=None)
     totals = counted.groupBy("column").agg(F.sum("count").alias("total"))
     return counted.join(F.broadcast(totals), "column").select(
@@ -101,7 +101,7 @@ def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 30)
             lo, hi = lo - 0.5, hi + 0.5
         edges.append((span["column"], lo, (hi - lo) / bins))
     frame = (
-        df.sparkSession.createDataFrame(edges, schema)
+        local_table(df.sparkSession, edges, schema)
         .withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
         .select(
             "column",
@@ -152,8 +152,10 @@ def kde(df: DataFrame, cols: Sequence[str] | None = None, grid: int = 200) -> Da
             step = (span["hi"] - span["lo"]) / (grid - 1)
             fits.append((span["column"], span["lo"], step, width, span["n"]))
     frame = (
-        df.sparkSession.createDataFrame(
-            [(c, lo, step) for c, lo, step, _, _ in fits], "column string, lo double, step double"
+        local_table(
+            df.sparkSession,
+            [(c, lo, step) for c, lo, step, _, _ in fits],
+            "column string, lo double, step double",
         )
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
         .select("column", "point", (F.col("lo") + F.col("point") * F.col("step")).alias("x"))

@@ -9,6 +9,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorSlicer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablecraft.functions.cluster import local_table
 from tablecraft.functions.columns import dtype_of, present, ref, require_columns
 from tablecraft.functions.ordered import running_totals
 from tablecraft.functions.reshape import melt
@@ -54,7 +55,7 @@ def _label_texts(df: DataFrame, found: dict[str, list]) -> dict[str, list[str]]:
         if dtype.simpleString() == "string":
             texts[name] = values
             continue
-        rows = df.sparkSession.createDataFrame([(v,) for v in values], f"v {dtype.simpleString()}")
+        rows = local_table(df.sparkSession, [(v,) for v in values], f"v {dtype.simpleString()}")
         texts[name] = [r.t for r in rows.orderBy("v").select(F.col("v").cast("string").alias("t")).collect()]
     return texts
 

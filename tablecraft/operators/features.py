@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    OneHotEncoder,
+    StandardScaler,
+    StringIndexer,
+    StringIndexerModel,
+    VectorAssembler,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecraft.functions.columns import ref, require_columns
+from tablecraft.operators import encode
 
 
 def assemble(
@@ -35,18 +42,39 @@ def with_label(df: DataFrame, label_col: str) -> DataFrame:
     return df.withColumnsRenamed({label_col: "label"}).withColumn("label", F.col("label").cast("double"))
 
 
+def _index_names(categorical: Sequence[str], encoding: str) -> list[str]:
+    suffix = "index" if encoding == "onehot" else "encoded"
+    return [f"{c}_{suffix}" for c in categorical]
+
+
+def fit_indexers(
+    df: DataFrame, categorical: Sequence[str], encoding: str = "index"
+) -> list[StringIndexerModel]:
+    """Category indexes of bounded size; refuses columns with too many categories."""
+    if not categorical:
+        return []
+    names = _index_names(categorical, encoding)
+    fitted = encode.fit_labels(df, categorical, categorical, names)
+    if fitted is None:
+        raise ValueError(f"more than {encode.MAX_LABELS} categories; such columns are not features")
+    return fitted
+
+
 def stages(
     numeric: Sequence[str],
     categorical: Sequence[str] = (),
     encoding: str = "index",
     scale: bool = False,
     on_missing: str = "skip",
+    indexers: Sequence[StringIndexerModel] | None = None,
 ) -> list:
     """Unfitted stages ending in the column ``features``.
 
     ``encoding``: ``index`` puts the label index of a category in the vector,
     ``onehot`` one 0/1 slot per known category (unseen ones are all zeros).
-    ``scale`` standardises the whole vector.
+    ``scale`` standardises the whole vector. ``indexers`` from
+    :func:`fit_indexers` replace the indexing stage, which would otherwise list
+    the categories at the driver however many there are.
     """
     if encoding not in ("index", "onehot"):
         raise ValueError("encoding must be 'index' or 'onehot'")
@@ -54,15 +82,15 @@ def stages(
     inputs = list(numeric)
     if categorical:
         onehot = encoding == "onehot"
-        indexed = [f"{c}_index" if onehot else f"{c}_encoded" for c in categorical]
-        built.append(
+        indexed = _index_names(categorical, encoding)
+        built += indexers or [
             StringIndexer(
                 inputCols=list(categorical),
                 outputCols=indexed,
                 stringOrderType="alphabetAsc",
                 handleInvalid="keep",
             )
-        )
+        ]
         if onehot:
             wide = [f"{c}_ohe" for c in categorical]
             built.append(OneHotEncoder(inputCols=indexed, outputCols=wide, dropLast=True))
@@ -115,6 +143,8 @@ def build(
         if on_missing == "keep"
         else complete_rows(df, [*numeric, *categorical], label_col)
     )
-    fitted = pipeline(numeric, categorical, encoding, scale, on_missing).fit(rows)
+    indexers = fit_indexers(rows, categorical, encoding)
+    built = stages(numeric, categorical, encoding, scale, on_missing, indexers)
+    fitted = Pipeline(stages=built).fit(rows)
     columns = [*rows.columns, "features"]
     return fitted.transform(rows).select(*map(ref, columns)), fitted

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablecraft.functions.cluster import local_table
 from tablecraft.functions.columns import (
     dtype_of,
     is_fractional,
@@ -99,7 +100,7 @@ def _report(
     rows = [(step, c, "filled", str(v)) for c, v in values.items()]
     rows += [(step, c, "no_data", None) for c in empty]
     rows += [(step, c, "ignored", None) for c in ignored]
-    return df.sparkSession.createDataFrame(rows, REPORT_SCHEMA)
+    return local_table(df.sparkSession, rows, REPORT_SCHEMA)
 
 
 def _finish(

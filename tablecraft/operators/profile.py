@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablecraft.functions.cluster import local_table
 from tablecraft.functions.columns import (
     categorical_columns,
     kind,
@@ -33,9 +34,12 @@ def shape(df: DataFrame) -> DataFrame:
 def schema_report(df: DataFrame) -> DataFrame:
     """One row per column: type, role, nullability and non-null count."""
     counts = {c: {"non_null_count": f"count({quoted(c)})"} for c in df.columns}
-    facts = df.sparkSession.createDataFrame(
-        [(i, f.name, f.dataType.simpleString(), kind(f.dataType), f.nullable)
-         for i, f in enumerate(df.schema.fields)],
+    facts = local_table(
+        df.sparkSession,
+        [
+            (i, f.name, f.dataType.simpleString(), kind(f.dataType), f.nullable)
+            for i, f in enumerate(df.schema.fields)
+        ],
         "position int, column string, dtype string, kind string, nullable boolean",
     )
     counted = per_column(df, counts, "column string, non_null_count long")
@@ -113,7 +117,7 @@ def categorical_summary(
 
     schema = "column string, count long, unique long, top string, freq long"
     if not names:
-        return df.sparkSession.createDataFrame([], schema)
+        return local_table(df.sparkSession, [], schema)
     long, slots = melt(df, names)
     counted = long.groupBy("column", *dict.fromkeys(slots.values())).agg(
         F.count(F.lit(1)).alias("n")

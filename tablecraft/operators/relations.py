@@ -9,6 +9,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablecraft.functions.cluster import local_table
 from tablecraft.functions.columns import (
     literal,
     numeric_columns,
@@ -17,7 +18,7 @@ from tablecraft.functions.columns import (
     ref,
     require_columns,
 )
-from tablecraft.functions.ordered import hold, quantiles
+from tablecraft.functions.ordered import cut_points, hold, join_buckets, quantiles, with_bucket
 
 #: Pairs of columns per scan in the correlation matrix.
 PAIRS_PER_PASS = 60
@@ -79,7 +80,23 @@ def _fenced(pairs: DataFrame) -> tuple[DataFrame, bool]:
         {"fence_low": F.col("q1") - reach, "fence_high": F.col("q3") + reach}
     )
     held = hold(fenced)
-    return (fenced, False) if held is None else (F.broadcast(held), True)
+    return (fenced, False) if held is None else (held, True)
+
+
+def _against_fences(rows: DataFrame, pairs: DataFrame, fenced: DataFrame, held: bool) -> DataFrame:
+    """Add the fences of its ``x`` to each row, which has columns ``x`` and ``y``.
+
+    A held table is broadcast. Otherwise the fences are repeated for each
+    bucket of ``y`` that an ``x`` uses, and the join runs on both, so that the
+    rows of a hot ``x`` are shuffled to many tasks.
+    """
+    limits = fenced.select(F.col("x").alias("__x"), "fence_low", "fence_high")
+    if held:
+        return rows.join(F.broadcast(limits), F.col("x") == F.col("__x")).drop("__x")
+    cuts = cut_points(pairs, "y")
+    used = with_bucket(pairs, "y", cuts).select("x", "__bucket").distinct()
+    spread = used.join(limits, F.col("x") == F.col("__x")).drop("__x")
+    return join_buckets(with_bucket(rows, "y", cuts), spread, ["x"], bounded=False)
 
 
 def box_stats(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -89,23 +106,17 @@ def box_stats(df: DataFrame, x: str, y: str) -> DataFrame:
     """
     pairs = _pairs(df, x, y)
     fenced, held = _fenced(pairs)
-    # Unless the fences are broadcast, repeated values are combined before the
-    # shuffle; Spark's adaptive join then splits the partition of a hot x.
-    rows = pairs.withColumn("n", F.lit(1)) if held else pairs.groupBy("x", "y").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    limits = fenced.select(F.col("x").alias("__x"), "fence_low", "fence_high")
     inside = F.col("y").between(F.col("fence_low"), F.col("fence_high"))
     ends = (
-        rows.join(limits, F.col("x") == F.col("__x"))
-        .groupBy("__x")
+        _against_fences(pairs, pairs, fenced, held)
+        .groupBy(F.col("x").alias("__x"))
         .agg(
             F.min(F.when(inside, F.col("y"))).alias("whisker_low"),
             F.max(F.when(inside, F.col("y"))).alias("whisker_high"),
-            F.sum(F.when(inside, F.lit(0)).otherwise(F.col("n"))).cast("long").alias("n_outliers"),
+            F.count_if(~inside).alias("n_outliers"),
         )
     )
-    return ends.join(fenced, F.col("x") == F.col("__x")).select(
+    return ends.join(F.broadcast(fenced) if held else fenced, F.col("x") == F.col("__x")).select(
         "x", F.col("n").alias("count"), "q1", "median", "q3",
         "whisker_low", "whisker_high", "n_outliers",
     )
@@ -113,14 +124,16 @@ def box_stats(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def outliers(df: DataFrame, x: str, y: str) -> DataFrame:
     """The rows of ``df`` whose ``y`` lies beyond the whiskers of its ``x``."""
-    fenced, _ = _fenced(_pairs(df, x, y))
-    limits = fenced.select(
-        F.col("x").alias("__x"), F.col("fence_low").alias("__lo"), F.col("fence_high").alias("__hi")
-    )
-    value = present(df, y).cast("double")
-    beyond = (value < F.col("__lo")) | (value > F.col("__hi"))
-    joined = df.join(limits, (ref(x) == F.col("__x")) & beyond)
-    return joined.select(*map(ref, df.columns))
+    pairs = _pairs(df, x, y)
+    fenced, held = _fenced(pairs)
+    rows = df.select(
+        F.struct(*map(ref, df.columns)).alias("__row"),
+        present(df, x).alias("x"),
+        present(df, y).cast("double").alias("y"),
+    ).dropna(subset=["x", "y"])
+    joined = _against_fences(rows, pairs, fenced, held)
+    beyond = (F.col("y") < F.col("fence_low")) | (F.col("y") > F.col("fence_high"))
+    return joined.where(beyond).select("__row.*")
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -132,7 +145,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     names = numeric_columns(df) if cols is None else require_columns(df, cols, kinds=["numeric"])[0]
     pairs = list(combinations_with_replacement(names, 2))
     if not pairs:
-        return df.sparkSession.createDataFrame([], "x string, y string, n long, corr double")
+        return local_table(df.sparkSession, [], "x string, y string, n long, corr double")
     values = {name: f"CAST({text} AS DOUBLE)" for name, text in present_sql(df, names).items()}
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):

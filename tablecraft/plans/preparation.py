@@ -9,13 +9,14 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablecraft.functions.cluster import local_table
 from tablecraft.operators import duplicates, encode, missing, scale
 from tablecraft.operators.missing import REPORT_SCHEMA, Prepared
 
 
 def _note(df: DataFrame, step: str, cols: Sequence[str] | None, status: str) -> DataFrame:
     rows = [(step, c, status, None) for c in (cols or df.columns)]
-    return df.sparkSession.createDataFrame(rows, REPORT_SCHEMA)
+    return local_table(df.sparkSession, rows, REPORT_SCHEMA)
 
 
 def _tell(step: str, counts: DataFrame) -> DataFrame:
@@ -74,5 +75,5 @@ def run(df: DataFrame, steps: Sequence[tuple[str, Mapping[str, Any]]]) -> Prepar
         df, told = STEPS[name](df, **options)
         reports.append(told.select(F.lit(number).alias("number"), *told.columns))
     if not reports:
-        return Prepared(df, df.sparkSession.createDataFrame([], f"number int, {REPORT_SCHEMA}"))
+        return Prepared(df, local_table(df.sparkSession, [], f"number int, {REPORT_SCHEMA}"))
     return Prepared(df, reduce(DataFrame.unionAll, reports))
