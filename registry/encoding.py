@@ -87,6 +87,43 @@ def build_features(spark, sf):
     return _elements(kept, "features", [f"f{i}" for i in range(6)])
 
 
+def _flags(column: str, values) -> str:
+    return ", ".join(
+        f"CAST({column} = '{v}' AS DOUBLE) AS {column}_{v}" for v in values
+    )
+
+
+FLAGS = {"l_returnflag": ["A", "N", "R"], "l_linestatus": ["F", "O"]}
+
+
+@query("staged_features", "WITH " + LINES + f"""
+SELECT l_orderkey, l_linenumber, l_quantity AS f0, l_tax AS f1,
+       {", ".join(_flags(c, v) for c, v in FLAGS.items())}
+FROM lines""")
+def staged_features(spark, sf):
+    rows = lines(spark, sf)
+    staged = features.pipeline(["l_quantity", "l_tax"], list(FLAGS), encoding="onehot")
+    made = staged.fit(rows).transform(rows).select("l_orderkey", "l_linenumber", "features")
+    names = ["f0", "f1", *[f"{c}_{v}" for c, values in FLAGS.items() for v in values]]
+    return _elements(made, "features", names)
+
+
+@query("build_features_scaled", "WITH " + LINES + """,
+coded AS (
+  SELECT l_orderkey, l_linenumber, label, l_quantity, l_discount,
+         CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS DOUBLE) AS flag
+  FROM lines)
+SELECT l_orderkey, l_linenumber, label,
+       round((l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER (), 4) + 0.0 AS f0,
+       round((l_discount - avg(l_discount) OVER ()) / stddev_samp(l_discount) OVER (), 4) + 0.0 AS f1,
+       round((flag - avg(flag) OVER ()) / stddev_samp(flag) OVER (), 4) + 0.0 AS f2
+FROM coded""")
+def build_features_scaled(spark, sf):
+    made, _ = features.build(lines(spark, sf), ["l_quantity", "l_discount"], ["l_returnflag"], scale=True)
+    kept = made.select("l_orderkey", "l_linenumber", "label", "features")
+    return rounded(_elements(kept, "features", ["f0", "f1", "f2"]), ["f0", "f1", "f2"])
+
+
 Z = "round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 4) + 0.0 AS {c}_standard"
 M = "round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), 4) + 0.0 AS {c}_minmax"
 

@@ -98,23 +98,10 @@ def fit(
     prepared = Pipeline(stages=built).fit(rows)
     if learner in TREES and encoding == "index":
         params = {"maxBins": max(params.get("maxBins", 32), _largest_category(prepared)), **params}
-    data = _spread(prepared.transform(rows).select("features", "label"), train)
+    data = prepared.transform(rows).select("features", "label")
     return PipelineModel(stages=[*prepared.stages, make_learner(learner, **params).fit(data)])
 
 
-def _spread(data: DataFrame, source: DataFrame) -> DataFrame:
-    """Use all cores when a persisted table has fewer partitions than there are cores.
-
-    Such a table is small for its cluster, so moving it once costs little
-    compared with the many passes of a learner. Larger tables are not moved.
-    """
-    level = source.storageLevel
-    if not (level.useMemory or level.useDisk):
-        return data
-    cores = data.sparkSession.sparkContext.defaultParallelism
-    return data.repartition(cores) if source.rdd.getNumPartitions() < cores else data
-
-
 def _largest_category(prepared: PipelineModel) -> int:
     sizes = [
         len(labels) + 1

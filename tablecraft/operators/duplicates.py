@@ -1,42 +1,70 @@
 """Counting, reporting and removing duplicate rows.
 
-All forms are one grouped aggregate with map-side combining, so a row that
-repeats in a third of the table costs one shuffled row per task.
+Equal rows have equal hashes, so a row whose hash occurs once is no duplicate.
+A first pass shuffles one hash per row; only rows with a repeated hash are then
+compared in full, found by a broadcast of those hashes when there are few of
+them. Otherwise all rows are compared. Comparing is a grouped aggregate with
+map-side combining, so a row that repeats in a third of the table costs one
+shuffled row per task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecraft.functions.columns import ratio, ref, require_columns
+from tablecraft.functions.ordered import hold
 
 
-def _groups(df: DataFrame, cols: Sequence[str] | None) -> DataFrame:
-    names = df.columns if cols is None else require_columns(df, cols)[0]
-    return df.groupBy(*map(ref, names)).agg(F.count(F.lit(1)).alias("__n")).select("__n")
+#: Repeated hashes that may be held by the driver and broadcast.
+HELD_HASHES = 100_000
+
+
+def _names(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
+    return list(df.columns) if cols is None else require_columns(df, cols)[0]
+
+
+def _hash(names: Sequence[str]) -> Column:
+    return F.xxhash64(*map(ref, names))
+
+
+def _repeated_hashes(df: DataFrame, names: Sequence[str]) -> DataFrame | None:
+    counted = df.groupBy(_hash(names).alias("__hash")).agg(F.count(F.lit(1)).alias("n"))
+    return hold(counted.where(F.col("n") > 1).select("__hash"), HELD_HASHES)
+
+
+def _extra(df: DataFrame, cols: Sequence[str] | None) -> DataFrame:
+    """One row: rows in the table, and how many of them repeat an earlier one."""
+    names = _names(df, cols)
+    rows = df.select(*map(ref, names))
+    hashes = _repeated_hashes(rows, names)
+    if hashes is not None:
+        rows = rows.join(F.broadcast(hashes), _hash(names) == F.col("__hash"), "left_semi")
+    groups = rows.groupBy(*map(ref, names)).agg(F.count(F.lit(1)).alias("__n")).select("__n")
+    none = F.lit(0).cast("long")
+    extra = groups.agg(none.alias("total"), F.coalesce(F.sum(F.col("__n") - 1), none).alias("extra"))
+    total = df.agg(F.count(F.lit(1)).alias("total"), none.alias("extra"))
+    return total.unionAll(extra).agg(F.sum("total").alias("total"), F.sum("extra").alias("extra"))
 
 
 def count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Rows that repeat an earlier one; NULLs equal each other, as do NaNs."""
-    extra = F.coalesce(F.sum(F.col("__n") - 1), F.lit(0))
-    return _groups(df, cols).agg(extra.alias("duplicate_count"))
+    return _extra(df, cols).select(F.col("extra").alias("duplicate_count"))
 
 
 def report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Total, unique and duplicate rows with the share in percent (2 decimals)."""
-    checked = list(df.columns if cols is None else cols)
-    total = F.coalesce(F.sum("__n"), F.lit(0))
-    unique = F.count(F.lit(1))
-    return _groups(df, cols).agg(
+    total, extra = F.col("total"), F.col("extra")
+    return _extra(df, cols).select(
         total.alias("total_rows"),
-        unique.alias("unique_rows"),
-        (total - unique).alias("duplicate_count"),
-        F.round(ratio(total - unique, total, 0.0) * 100.0, 2).alias("duplicate_pct"),
-        F.lit(", ".join(checked)).alias("checked_cols"),
-        (total > unique).alias("has_duplicates"),
+        (total - extra).alias("unique_rows"),
+        extra.alias("duplicate_count"),
+        F.round(ratio(extra, total, 0.0) * 100.0, 2).alias("duplicate_pct"),
+        F.lit(", ".join(_names(df, cols))).alias("checked_cols"),
+        (extra > 0).alias("has_duplicates"),
     )
 
 
@@ -50,15 +78,31 @@ def drop(
 
     ``keep_by`` names the survivor: the row lowest (``keep_last``: highest) by
     these columns, remaining columns breaking ties. Without it any one row of
-    the group survives. Survivors are chosen by an aggregate that combines map
-    side, not by ranking each group in one task.
+    the group survives. Rows with a hash of their own are passed on unmoved.
+    """
+    names = _names(df, cols)
+    order = require_columns(df, keep_by or [])[0]
+    hashes = _repeated_hashes(df, names)
+    if hashes is None:
+        return _drop_compared(df, names, order, keep_last)
+    known, mine = F.broadcast(hashes), _hash(names) == F.col("__hash")
+    single = df.join(known, mine, "left_anti")
+    repeated = df.join(known, mine, "left_semi")
+    return single.unionAll(_drop_compared(repeated, names, order, keep_last))
+
+
+def _drop_compared(
+    df: DataFrame, names: Sequence[str], keep_by: Sequence[str], keep_last: bool
+) -> DataFrame:
+    """Survivors by comparing rows in full.
+
+    They are chosen by an aggregate that combines map side, not by ranking each
+    group in one task.
     """
-    names = df.columns if cols is None else require_columns(df, cols)[0]
     rest = [c for c in df.columns if c not in names]
     if not keep_by or not rest:
         return df.dropDuplicates(list(names))
-    first = require_columns(df, keep_by)[0]
-    order = list(dict.fromkeys([*first, *rest]))
+    order = list(dict.fromkeys([*keep_by, *rest]))
     packed = F.struct(*[ref(c).alias(f"k{i}") for i, c in enumerate(order)])
     pick = F.max(packed) if keep_last else F.min(packed)
     kept = df.groupBy(*map(ref, names)).agg(pick.alias("__kept"))
@@ -68,10 +112,9 @@ def drop(
 
 def drop_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Rows before, after and removed by :func:`drop`, without running it."""
-    total = F.coalesce(F.sum("__n"), F.lit(0))
-    unique = F.count(F.lit(1))
-    return _groups(df, cols).agg(
+    total, extra = F.col("total"), F.col("extra")
+    return _extra(df, cols).select(
         total.alias("rows_before"),
-        unique.alias("rows_after"),
-        (total - unique).alias("rows_removed"),
+        (total - extra).alias("rows_after"),
+        extra.alias("rows_removed"),
     )

@@ -89,6 +89,24 @@ def test_duplicates_equate_null_nan_and_signed_zero(spark):
     assert (told.total_rows, told.duplicate_pct, told.has_duplicates) == (0, 0.0, False)
 
 
+@pytest.mark.parametrize("held", [True, False])
+def test_many_repeats_are_found_both_ways(spark, monkeypatch, held):
+    if not held:
+        monkeypatch.setattr(duplicates, "HELD_HASHES", 3)
+    df = spark.range(3_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 700).alias("k"),
+        F.lit("same").alias("s"),
+        "id",
+    )
+    # 1000 rows share the NULL key; the other 2000 have 700 distinct keys.
+    assert rows(duplicates.count(df, ["k", "s"])) == [(3_000 - 701,)]
+    assert rows(duplicates.count(df)) == [(0,)]
+    kept = duplicates.drop(df, ["k", "s"], keep_by=["id"])
+    data = df.toPandas().sort_values("id").drop_duplicates(["k", "s"])
+    assert sorted(r.id for r in kept.collect()) == sorted(data["id"])
+    assert duplicates.drop(df, ["k"]).count() == 701
+
+
 def test_survivor_is_chosen_by_order(spark):
     df = spark.createDataFrame([(2, "k", "b"), (1, "k", "c"), (3, "m", "d")], "id int, k string, v string")
     assert sorted(rows(duplicates.drop(df, ["k"], keep_by=["id"]))) == [(1, "k", "c"), (3, "m", "d")]
