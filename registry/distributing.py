@@ -183,6 +183,29 @@ def correlation_matrix(spark, sf):
     return rounded(relations.correlation_matrix(table(spark, sf, "lineitem"), cols), ["corr"])
 
 
+WIDE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        "l_discount", "l_tax", "net", "charged", "fixed"]
+
+
+@query("correlation_matrix_wide", """
+WITH w AS (
+  SELECT *, l_extendedprice * (1 - l_discount) AS net,
+         CASE WHEN l_returnflag <> 'R' THEN l_extendedprice * (1 + l_tax) END AS charged,
+         1::BIGINT AS fixed
+  FROM lineitem)
+""" + _correlations("w", WIDE))
+def correlation_matrix_wide(spark, sf):
+    price = F.col("l_extendedprice")
+    wide = table(spark, sf, "lineitem").withColumns(
+        {
+            "net": price * (1 - F.col("l_discount")),
+            "charged": F.when(F.col("l_returnflag") != "R", price * (1 + F.col("l_tax"))),
+            "fixed": F.lit(1).cast("long"),
+        }
+    )
+    return rounded(relations.correlation_matrix(wide, WIDE), ["corr"])
+
+
 @query("correlation_matrix_gaps", "WITH " + GAPS + ", g AS (SELECT *, 1::BIGINT AS fixed FROM gaps)"
        + _correlations("g", ["c_custkey", "c_acctbal", "c_nationkey", "fixed"]))
 def correlation_matrix_gaps(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ def quoted(name: str) -> str:
 def literal(value: str | float) -> str:
     """A string or double as SQL text."""
     if isinstance(value, float):
-        return f"{value!r}D"
+        return f"{value!r}D" if math.isfinite(value) else f"CAST('{value}' AS DOUBLE)"
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 

@@ -31,6 +31,8 @@ TEXT_CUTS = 127
 CUT_SHARE = 0.02
 #: Rows of a per-group table that may be held by the driver and broadcast.
 HELD_ROWS = 20_000
+#: Longest text, in characters, in a table held by the driver.
+HELD_TEXT = 1_000
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -52,15 +54,16 @@ def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list:
         return sorted({c for c in found if math.isfinite(c)})
     column = ref(value)
     spread = F.pmod(F.xxhash64(column), F.lit(1 << 20))
+    border = F.substring(column, 1, HELD_TEXT) if isinstance(dtype_of(df, value), T.StringType) else column
     picked = (
         df.where(column.isNotNull())
-        .select(F.struct(spread.alias("spread"), column.alias("value")).alias("pick"))
+        .select(F.struct(spread.alias("spread"), border.alias("value")).alias("pick"))
         .distinct()
         .orderBy("pick")
         .limit(8 * TEXT_CUTS)
         .collect()
     )
-    values = sorted(row.pick.value for row in picked)
+    values = sorted({row.pick.value for row in picked})
     step = max(1, math.ceil(len(values) / (TEXT_CUTS + 1)))
     return values[step::step]
 
@@ -87,12 +90,32 @@ def with_bucket(df: DataFrame, value: str, cuts: Sequence, out: str = "__bucket"
     return binner.transform(df).withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(0)))
 
 
-def hold(df: DataFrame, limit: int = HELD_ROWS) -> DataFrame | None:
-    """The table as a driver-side one if it has at most ``limit`` rows, else None."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
+def small_rows(df: DataFrame, limit: int) -> list | None:
+    """All rows if there are at most ``limit`` and no text in them is long, else None.
+
+    The extra row asked for and the blanked texts only serve to notice that.
+    """
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    too_long = F.lit(False)
+    for name in texts:
+        too_long = too_long | (F.coalesce(F.length(ref(name)), F.lit(0)) > HELD_TEXT)
+    checked = df.select(
+        *[
+            F.substring(ref(c), 1, HELD_TEXT).alias(c) if c in texts else ref(c)
+            for c in df.columns
+        ],
+        too_long.alias("__long"),
+    )
+    rows = checked.limit(limit + 1).collect()
+    if len(rows) > limit or any(row["__long"] for row in rows):
         return None
-    return local_table(df.sparkSession, rows, df.schema)
+    return [row[:-1] for row in rows]
+
+
+def hold(df: DataFrame, limit: int = HELD_ROWS) -> DataFrame | None:
+    """The table as a driver-side one if it is small, else None."""
+    rows = small_rows(df, limit)
+    return None if rows is None else local_table(df.sparkSession, rows, df.schema)
 
 
 def join_buckets(

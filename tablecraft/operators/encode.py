@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablecraft.functions.cluster import local_table
 from tablecraft.functions.columns import dtype_of, present, ref, require_columns
-from tablecraft.functions.ordered import running_totals
+from tablecraft.functions.ordered import running_totals, small_rows
 from tablecraft.functions.reshape import melt
 
 #: Most labels, over all columns together, that are fitted as a driver-side list.
@@ -33,17 +33,16 @@ def categories(
 ) -> dict[str, list] | None:
     """Distinct non-null values per column in native order, as a fitted parameter.
 
-    Returns None when there are more than ``max_labels`` of them; the extra row
-    that is asked for only serves to notice that.
+    Returns None when there are more than ``max_labels`` of them, or long texts.
     """
     counted, slots = _label_counts(df, cols)
     typed = list(dict.fromkeys(slots.values()))
-    rows = counted.select("column", *typed).limit(max_labels + 1).collect()
-    if len(rows) > max_labels:
+    rows = small_rows(counted.select("column", *typed), max_labels)
+    if rows is None:
         return None
     found: dict[str, list] = {c: [] for c in cols}
-    for row in rows:
-        found[row["column"]].append(row[slots[row["column"]]])
+    for name, *values in rows:
+        found[name].append(values[typed.index(slots[name])])
     return {c: sorted(values) for c, values in found.items()}
 
 

@@ -88,12 +88,16 @@ def test_positive_score_of_vectors_and_short_vectors(spark):
 
 
 @pytest.mark.parametrize(
-    "learner, params",
-    [("logistic", {}), ("random_forest", {"numTrees": 10, "maxDepth": 4}), ("linear_svm", {"maxIter": 20}),
-     ("gbt", {"maxDepth": 3, "maxIter": 5})],
+    "learner, encoding, params",
+    [
+        ("logistic", "index", {}),
+        ("logistic", "onehot", {}),
+        ("random_forest", "index", {"numTrees": 10, "maxDepth": 4}),
+        ("linear_svm", "onehot", {"maxIter": 20}),
+        ("gbt", "index", {"maxDepth": 3, "maxIter": 5}),
+    ],
 )
-@pytest.mark.parametrize("encoding", ["index", "onehot"])
-def test_learners_find_the_signal(spark, learner, params, encoding):
+def test_learners_find_the_signal(spark, learner, encoding, params):
     found = training.run(
         lines(spark, SF_DIR), NUMERIC, CATEGORICAL, "label", learner,
         key=["l_orderkey", "l_linenumber"], encoding=encoding, **params,

@@ -37,7 +37,7 @@ def test_cut_points_ignore_infinities_and_need_no_rows(spark):
     assert ordered.cut_points(df.limit(0), "v") == []
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     values=st.lists(st.one_of(st.none(), st.integers(-5, 5).map(float), st.floats(-1e6, 1e6)),
                     min_size=1, max_size=60),

@@ -194,6 +194,28 @@ def test_correlation_matches_pandas_and_guards_constants(numbers):
     assert got["k", "k"] is None
 
 
+def test_correlation_of_many_columns_matches_pandas(spark):
+    rng = np.random.default_rng(5)
+    data = pd.DataFrame(rng.normal(size=(2_000, 13)), columns=[f"c{i}" for i in range(13)])
+    data["c1"] = data["c0"] * 2 + data["c1"] + 1e6
+    data["c2"] = 1e9 + data["c2"]
+    data["c3"] = 4.0
+    for i in range(13):
+        data.loc[rng.random(2_000) < 0.1 * (i % 4), f"c{i}"] = np.nan
+    data["c12"] = np.nan
+    # Varies as a whole, but not where c11 is present.
+    data["c10"] = np.where(data["c11"].notna(), 1.0, data["c10"])
+    got = {(r.x, r.y): r for r in relations.correlation_matrix(spark.createDataFrame(data)).collect()}
+    want = data.corr()
+    assert len(got) == 169
+    for (x, y), row in got.items():
+        assert row.n == int((data[x].notna() & data[y].notna()).sum())
+        if np.isnan(want.loc[x, y]):
+            assert row["corr"] is None, (x, y)
+        else:
+            assert row["corr"] == pytest.approx(want.loc[x, y], abs=1e-6), (x, y)
+
+
 def test_grouped_means_and_two_way_counts(spark):
     df = spark.createDataFrame(
         [("a", "u", 1.0), ("a", "u", 3.0), ("a", "v", 5.0), ("b", "u", None), (None, "u", 2.0)],
