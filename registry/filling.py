@@ -175,6 +175,10 @@ PREPARE = [
 ]
 
 
+def _prepared(spark, sf):
+    return preparation.run(gaps(spark, sf), PREPARE, write_after=["drop_duplicates"])
+
+
 @query("prepare_flow", "WITH " + GAPS + f""",
 filled AS (
   SELECT c_custkey, c_name,
@@ -192,7 +196,7 @@ SELECT c_custkey, c_name, c_acctbal, c_nationkey,
          + 0.0 AS c_acctbal_minmax
 FROM kept""")
 def prepare_flow(spark, sf):
-    return rounded(preparation.run(gaps(spark, sf), PREPARE).table, ["c_acctbal_minmax"])
+    return rounded(_prepared(spark, sf).table, ["c_acctbal_minmax"])
 
 
 @query("prepare_flow_report", "WITH " + GAPS + f""",
@@ -214,4 +218,4 @@ UNION ALL SELECT 4, 'drop_duplicates', NULL, 'rows_removed', CAST(b - c AS VARCH
 UNION ALL SELECT 5, 'label_encode', 'c_mktsegment', 'encoded', NULL
 UNION ALL SELECT 6, 'minmax_scale', 'c_acctbal', 'scaled', NULL""")
 def prepare_flow_report(spark, sf):
-    return preparation.run(gaps(spark, sf), PREPARE).report
+    return _prepared(spark, sf).report

@@ -56,7 +56,9 @@ def fit_indexers(
     names = _index_names(categorical, encoding)
     fitted = encode.fit_labels(df, categorical, categorical, names)
     if fitted is None:
-        raise ValueError(f"more than {encode.MAX_LABELS} categories; such columns are not features")
+        raise ValueError(
+            f"more than {encode.MAX_LABELS} categories, or long texts: such columns are not features"
+        )
     return fitted
 
 

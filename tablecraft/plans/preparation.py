@@ -9,9 +9,10 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecraft.functions.cluster import local_table
+from tablecraft.functions.cluster import fresh_path, local_table
 from tablecraft.operators import duplicates, encode, missing, scale
 from tablecraft.operators.missing import REPORT_SCHEMA, Prepared
+from tablecraft.sources.tables import read_table, write_table
 
 
 def _note(df: DataFrame, step: str, cols: Sequence[str] | None, status: str) -> DataFrame:
@@ -62,18 +63,34 @@ STEPS = {
 }
 
 
-def run(df: DataFrame, steps: Sequence[tuple[str, Mapping[str, Any]]]) -> Prepared:
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(df.sparkSession, name)
+    write_table(df, path, "parquet")
+    return read_table(df.sparkSession, path, "parquet", df.schema)
+
+
+def run(
+    df: DataFrame,
+    steps: Sequence[tuple[str, Mapping[str, Any]]],
+    write_after: Sequence[str] = (),
+) -> Prepared:
     """Apply ``(step name, options)`` in order; the report adds the step's number.
 
-    Fills, encoders and scalers fit on the table as it stands at their turn;
-    persist ``df`` when reading it is expensive.
+    Fills, encoders and scalers fit on the table as it stands at their turn, so
+    each of them runs the steps before it again. Steps named in ``write_after``
+    have their table written to the shared folder when others follow: worth it
+    after a step that shuffles, such as ``drop_duplicates``, since the next ones
+    then read only the columns they fit on.
     """
+    unknown = {name for name, _ in steps} | set(write_after)
+    if unknown - set(STEPS):
+        raise ValueError(f"step must be one of {', '.join(STEPS)}, not {sorted(unknown - set(STEPS))}")
     reports = []
     for number, (name, options) in enumerate(steps, 1):
-        if name not in STEPS:
-            raise ValueError(f"step must be one of {', '.join(STEPS)}, not {name}")
         df, told = STEPS[name](df, **options)
         reports.append(told.select(F.lit(number).alias("number"), *told.columns))
+        if name in write_after and number < len(steps):
+            df = _written(df, name)
     if not reports:
         return Prepared(df, local_table(df.sparkSession, [], f"number int, {REPORT_SCHEMA}"))
     return Prepared(df, reduce(DataFrame.unionAll, reports))

@@ -142,6 +142,12 @@ def test_preparation_reports_every_step(mixed):
     assert [r.step for r in told.select("number", "step").distinct().orderBy("number").collect()] == [
         "fill_mean", "fill_mode", "onehot", "drop_duplicates"
     ]
+    steps = [("drop_duplicates", {"cols": ["s"], "keep_by": ["id"]}), ("onehot_vector", {"cols": ["s"]}),
+             ("label_encode", {"cols": ["s"]})]
+    plain = preparation.run(mixed, steps).table
+    stored = preparation.run(mixed, steps, write_after=["drop_duplicates", "onehot_vector"]).table
+    assert plain.schema == stored.schema
+    assert sorted(map(str, rows(plain))) == sorted(map(str, rows(stored)))
     unchanged, nothing = preparation.run(mixed, [])
     assert unchanged is mixed and nothing.count() == 0
     with pytest.raises(ValueError, match="step must be"):
