@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecraft.llm import bpe_tables, decontaminate_tables, pii_tables, quality
+from tablecraft.llm import bpe_tables, decontaminate_tables, pii_tables, quality, simhash_tables
 from tablecraft.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,8 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query("op7_personal_data")
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_tables.find(table(spark, sf_dir, "documents")).drop("scores")
+
+
+@query("op8_simhash_near_duplicates")
+def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_tables.clusters(table(spark, sf_dir, "documents"))
