@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecraft.llm import bpe_tables, decontaminate_tables, pii_tables, quality, simhash_tables
+from tablecraft.llm import bpe_tables, decontaminate_tables, pii_tables, quality, shard_tables, simhash_tables
 from tablecraft.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,8 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_simhash_near_duplicates")
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tables.clusters(table(spark, sf_dir, "documents"))
+
+
+@query("op3_shards_by_bytes")
+def op3_shards_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_tables.by_bytes(table(spark, sf_dir, "documents"))
