@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecraft.llm import bpe_tables, decontaminate_tables, pii_tables, quality, shard_tables, simhash_tables
+from tablecraft.llm import bpe_tables, decontaminate_tables, pii_tables, quality, shard_tables, simhash_tables, warc_tables
 from tablecraft.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,24 @@ def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_shards_by_bytes")
 def op3_shards_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tables.by_bytes(table(spark, sf_dir, "documents"))
+
+
+ARCHIVE_SQL = """
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT rid, page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p
+), r AS (
+  SELECT *, first_value(page_id) OVER w AS best, row_number() OVER w AS place
+  FROM d WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST, rid)
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND place > 1 THEN best END AS refers_to
+FROM r
+"""
+
+
+@query("op4_legacy_archives", ARCHIVE_SQL)
+def op4_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_tables.round_trip(table(spark, sf_dir, "pages"))
