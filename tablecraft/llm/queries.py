@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecraft.llm import bpe_tables, decontaminate_tables, pii_tables, quality, shard_tables, simhash_tables, warc_tables
+from tablecraft.llm import (
+    bpe_tables,
+    decontaminate_tables,
+    pii_tables,
+    quality,
+    shard_tables,
+    simhash_tables,
+    toxicity_tables,
+    warc_tables,
+)
 from tablecraft.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,3 +150,9 @@ FROM r
 @query("op4_legacy_archives", ARCHIVE_SQL)
 def op4_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_tables.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_tables.score(docs, toxicity_tables.fit(docs, table(spark, sf_dir, "labels")))
