@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tablecraft.llm import (
     bpe_tables,
     decontaminate_tables,
+    html_tables,
     pii_tables,
     quality,
     shard_tables,
@@ -156,3 +157,8 @@ def op4_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity_tables.score(docs, toxicity_tables.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op9_html_main_text")
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tables.extract(table(spark, sf_dir, "pages"))
