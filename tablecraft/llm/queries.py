@@ -12,6 +12,7 @@ from tablecraft.llm import (
     html_tables,
     pii_tables,
     quality,
+    repeats_tables,
     shard_tables,
     simhash_tables,
     toxicity_tables,
@@ -162,3 +163,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_html_main_text")
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tables.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op6_repeated_strings")
+def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_tables.remove(table(spark, sf_dir, "documents"))
