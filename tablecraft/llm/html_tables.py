@@ -5,8 +5,8 @@
    occurrences by page. Tokens of a host with equal numbers and checksums occur equally
    often on the same pages and form an equivalence class.
 2. A class is valid if it has at least CLASS_TOKENS tokens, on at least LEAST_PAGES
-   pages, whose paths nest: every tag token has its parent in a class of at least as
-   many pages. Valid classes of at least TEMPLATE_SHARE of the host's pages make up its
+   pages. It nests in the template if the tags around its tokens are on at least as many
+   pages, in a class of their own or in this one. Valid classes of at least TEMPLATE_SHARE of the host's pages make up its
    template.
 3. Pages are joined with the template of their host, and the slots between its tokens
    are their text. Spark broadcasts the templates if they are small, else it joins by
@@ -73,15 +73,15 @@ def templates(pages: DataFrame, workspace: Workspace) -> DataFrame:
     # Every page has at least the token of its outermost tag or text; the largest support stands for its pages.
     sizes = counted.groupBy("host").agg(F.max("pages").alias("all"))
     frequent = counted.where(F.col("pages") >= LEAST_PAGES).join(sizes, "host")
-    frequent = frequent.where(F.col("pages") >= TEMPLATE_SHARE * F.col("all"))
+    frequent = workspace.keep(frequent.where(F.col("pages") >= TEMPLATE_SHARE * F.col("all")), "frequent")
     classes = (
         frequent.groupBy("host", "pages", "vector")
         .agg(F.count("*").alias("size"))
         .where(F.col("size") >= CLASS_TOKENS)
         .select("host", "pages", "vector")
     )
-    valid = workspace.keep(frequent.join(classes, ["host", "pages", "vector"]), "valid")
-    above = valid.select("host", F.col("token").alias("parent"), F.col("pages").alias("above")).distinct()
+    valid = frequent.join(classes, ["host", "pages", "vector"])
+    above = frequent.groupBy("host", F.col("token").alias("parent")).agg(F.max("pages").alias("above"))
     roots = F.col("parent") == html_blocks.OUTSIDE
     nested = valid.join(above, ["host", "parent"], "left").where(roots | (F.col("above") >= F.col("pages")))
     return nested.groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("template"))
