@@ -211,3 +211,38 @@ def correlation_matrix_wide(spark, sf):
 def correlation_matrix_gaps(spark, sf):
     customers = gaps(spark, sf).withColumn("fixed", F.lit(1).cast("long"))
     return rounded(relations.correlation_matrix(customers), ["corr"])
+
+
+SHIFTED = """
+shifted AS (
+  SELECT CASE WHEN l_orderkey % 5 <> 0 THEN CAST(l_partkey % 7 AS DOUBLE) END AS b,
+         CASE WHEN l_orderkey % 5 <> 0 THEN 1e7 + (l_partkey % 7) * 0.1 ELSE l_extendedprice * 1e4 END AS a,
+         {rest}
+  FROM lineitem)"""
+ELEVEN = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+          "l_linenumber", "l_orderkey", "net"]
+
+
+def _shifted(spark, sf):
+    """Two columns that agree where both are present, one of them far away elsewhere."""
+    there = F.col("l_orderkey") % 5 != 0
+    rest = (F.col("l_partkey") % 7).cast("double")
+    return table(spark, sf, "lineitem").withColumns(
+        {
+            "b": F.when(there, rest),
+            "a": F.when(there, F.lit(1e7) + rest * 0.1).otherwise(F.col("l_extendedprice") * 1e4),
+            "net": F.col("l_extendedprice") * (1 - F.col("l_discount")),
+        }
+    )
+
+
+@query("correlation_shifted_two", "WITH " + SHIFTED.format(rest="1 AS one") + _correlations("shifted", ["a", "b"]))
+def correlation_shifted_two(spark, sf):
+    return rounded(relations.correlation_matrix(_shifted(spark, sf), ["a", "b"]), ["corr"])
+
+
+@query("correlation_shifted_eleven", "WITH "
+       + SHIFTED.format(rest="lineitem.*, l_extendedprice * (1 - l_discount) AS net")
+       + _correlations("shifted", ["a", "b", *ELEVEN]))
+def correlation_shifted_eleven(spark, sf):
+    return rounded(relations.correlation_matrix(_shifted(spark, sf), ["a", "b", *ELEVEN]), ["corr"])

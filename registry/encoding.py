@@ -102,7 +102,7 @@ SELECT l_orderkey, l_linenumber, l_quantity AS f0, l_tax AS f1,
 FROM lines""")
 def staged_features(spark, sf):
     rows = lines(spark, sf)
-    staged = features.pipeline(["l_quantity", "l_tax"], list(FLAGS), encoding="onehot")
+    staged = features.pipeline(rows, ["l_quantity", "l_tax"], list(FLAGS), encoding="onehot")
     made = staged.fit(rows).transform(rows).select("l_orderkey", "l_linenumber", "features")
     names = ["f0", "f1", *[f"{c}_{v}" for c, values in FLAGS.items() for v in values]]
     return _elements(made, "features", names)
@@ -177,3 +177,22 @@ def hash_split(spark, sf):
 def random_split(spark, sf):
     train, test = split.random_split(table(spark, sf, "orders").select("o_orderkey"))
     return train.withColumn("split", F.lit("train")).unionAll(test.withColumn("split", F.lit("test")))
+
+
+FITTED_ON_TRAIN = "WITH " + LINES + """, sided AS (
+  SELECT *, CAST('0x' || substr(md5(concat_ws(':', l_orderkey, l_linenumber, '42')), 1, 8) AS BIGINT)
+            / 4294967296.0::DOUBLE < 0.8 AS is_train FROM lines),
+fitted AS (SELECT avg(l_quantity) AS m, stddev_samp(l_quantity) AS s, min(l_tax) AS lo, max(l_tax) AS hi
+           FROM sided WHERE is_train)
+SELECT l_orderkey, l_linenumber, round((l_quantity - m) / s, 4) + 0.0 AS l_quantity_standard,
+       round((l_tax - lo) / (hi - lo), 4) + 0.0 AS l_tax_minmax
+FROM sided, fitted WHERE NOT is_train"""
+
+
+@query("scale_test_rows_by_training_rows", FITTED_ON_TRAIN)
+def scale_test_rows_by_training_rows(spark, sf):
+    train, test = split.hash_split(lines(spark, sf), ["l_orderkey", "l_linenumber"])
+    scaled = scale.fit_standard(train, ["l_quantity"]).columns(test)
+    scaled = scale.fit_minmax(train, ["l_tax"]).columns(scaled)
+    kept = scaled.select("l_orderkey", "l_linenumber", "l_quantity_standard", "l_tax_minmax")
+    return rounded(kept, ["l_quantity_standard", "l_tax_minmax"])

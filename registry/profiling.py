@@ -21,40 +21,66 @@ ORDER_COLUMNS = (
 )
 
 
+ORDER_TYPES = ORDER_COLUMNS.replace("o_orderdate string", "o_orderdate timestamp_ntz")
+
+
+def _with_day(orders):
+    """Times as text, for comparison."""
+    return orders.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+
+
 def _orders(spark, sf):
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return table(spark, sf, "orders").withColumn("o_orderdate", day)
+    return _with_day(table(spark, sf, "orders"))
 
 
 def _round_trip(spark, sf, fmt, schema):
     path = fresh_path(spark, f"orders-{fmt}")
-    write_table(_orders(spark, sf), path, fmt)
+    write_table(table(spark, sf, "orders"), path, fmt)
     return read_table(spark, path, fmt, schema)
 
 
 @query("scan_csv", ORDERS)
 def scan_csv(spark, sf):
-    return _round_trip(spark, sf, "csv", ORDER_COLUMNS)
+    return _with_day(_round_trip(spark, sf, "csv", ORDER_TYPES))
 
 
 @query("scan_csv_inferred", f"""
 WITH o AS ({ORDERS})
-SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM o""")
+SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus,
+       o_totalprice, o_orderdate, o_orderpriority, 'timestamp' AS kind_of_date FROM o""")
 def scan_csv_inferred(spark, sf):
     found = _round_trip(spark, sf, "csv", None)
-    return found.select(
-        F.col("o_orderkey").cast("long"), "o_orderstatus", "o_totalprice", "o_orderpriority"
-    )
+    kind = dict(found.dtypes)["o_orderdate"].removesuffix("_ntz")
+    return _with_day(found).withColumn("kind_of_date", F.lit(kind))
+
+
+MARKS = """
+SELECT doc_id, text, lang, source, n_chars,
+       CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' a "q", ''b'' ' ELSE concat('x', chr(10), '\\', chr(9), '"') END AS mark
+FROM documents"""
+
+
+@query("scan_csv_documents", MARKS)
+def scan_csv_documents(spark, sf):
+    """Texts with quotes and line breaks, empty texts and NULL, written and read back."""
+    rest = F.concat(F.lit("x\n\\\t"), F.lit('"'))
+    kind = F.col("doc_id") % 4
+    mark = F.when(kind == 1, "").when(kind == 2, " a \"q\", 'b' ").when(kind == 3, rest)
+    documents = table(spark, sf, "documents").withColumn("mark", mark)
+    path = fresh_path(spark, "documents-csv")
+    write_table(documents, path, "csv")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, mark string"
+    return read_table(spark, path, "csv", schema)
 
 
 @query("scan_json", ORDERS)
 def scan_json(spark, sf):
-    return _round_trip(spark, sf, "json", ORDER_COLUMNS)
+    return _with_day(_round_trip(spark, sf, "json", ORDER_TYPES))
 
 
 @query("write_parquet", ORDERS)
 def write_parquet(spark, sf):
-    return _round_trip(spark, sf, "parquet", None)
+    return _with_day(_round_trip(spark, sf, "parquet", None))
 
 
 @query("schema_report", """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -18,17 +17,11 @@ def local_table(spark: SparkSession, rows: Sequence, schema: str | T.StructType)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a folder of this machine; on a
-    cluster the setting is required.
-    """
+    """The folder all executors can reach, as named by ``spark.checkpoint.dir``."""
     named = spark.conf.get(CHECKPOINT_SETTING, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="tablecraft-")
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -39,10 +32,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def enable_checkpoints(spark: SparkSession) -> None:
     """Let iterative learners cut their lineage; keeps a folder already set.
 
-    A cluster without the setting goes without checkpoints, as the learners allow.
+    A session without the setting goes without checkpoints, as the learners allow.
     """
     context = spark.sparkContext
-    unset = context._jsc.sc().getCheckpointDir().isEmpty()
-    known = spark.conf.get(CHECKPOINT_SETTING, None) or context.master.startswith("local")
-    if unset and known:
+    if context._jsc.sc().getCheckpointDir().isEmpty() and spark.conf.get(CHECKPOINT_SETTING, None):
         context.setCheckpointDir(shared_folder(spark))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tablecraft.functions.cluster import enable_checkpoints, local_table
 from tablecraft.operators.evaluate import positive_score
-from tablecraft.operators.features import fit_indexers, stages
+from tablecraft.operators.features import TEXT_PREFIX, fit_indexers, stages
 
 # Parameters each learner is fitted with unless told otherwise.
 DEFAULTS: dict[str, dict[str, Any]] = {
@@ -44,7 +44,6 @@ DEFAULTS: dict[str, dict[str, Any]] = {
         "standardization": False,
     },
     "gbt": {"maxDepth": 6, "stepSize": 0.1, "maxIter": 100, "seed": 42},
-    "xgboost": {"max_depth": 6, "eta": 0.1, "num_round": 100},
 }
 SCORE_COLUMN = {"linear_svm": "rawPrediction"}
 TREES = ("random_forest", "gbt")
@@ -61,13 +60,7 @@ def make_learner(learner: str, **params: Any):
         return RandomForestClassifier(**settings)
     if learner == "linear_svm":
         return OneVsRest(classifier=LinearSVC(**settings), parallelism=2)
-    if learner == "gbt":
-        return GBTClassifier(**settings)
-    try:
-        from xgboost.spark import SparkXGBClassifier
-    except ImportError as error:
-        raise ImportError("learner 'xgboost' needs the xgboost package; 'gbt' does not") from error
-    return SparkXGBClassifier(features_col="features", label_col="label", **settings)
+    return GBTClassifier(**settings)
 
 
 def fit(
@@ -87,17 +80,15 @@ def fit(
     """
     scale = learner == "linear_svm" if scale is None else scale
     needed = [*numeric, *categorical, "label"]
-    rows = train.select(*needed)
-    if learner != "xgboost":
-        rows = rows.na.drop()
-    on_missing = "keep" if learner == "xgboost" else "skip"
+    rows = train.select(*needed).na.drop()
     if learner in TREES:
         enable_checkpoints(train.sparkSession)
     indexers = fit_indexers(rows, categorical, encoding)
-    built = stages(numeric, categorical, encoding, scale, on_missing, indexers)
+    built = stages(numeric, categorical, encoding, scale, indexers=indexers)
     prepared = Pipeline(stages=built).fit(rows)
     if learner in TREES and encoding == "index":
-        params = {"maxBins": max(params.get("maxBins", 32), _largest_category(prepared)), **params}
+        asked = params.get("maxBins", DEFAULTS[learner].get("maxBins", 32))
+        params = {**params, "maxBins": max(asked, _largest_category(prepared))}
     data = prepared.transform(rows).select("features", "label")
     return PipelineModel(stages=[*prepared.stages, make_learner(learner, **params).fit(data)])
 
@@ -117,13 +108,19 @@ def score(model: PipelineModel, df: DataFrame, learner: str | None = None) -> Da
 
     Columns an earlier scoring left behind are replaced.
     """
-    predicted = model.transform(df.drop(*_outputs(model), "score"))
+    predicted = model.transform(df.drop(*_outputs(model), "score")).drop(*_texts(model))
     column = SCORE_COLUMN.get(learner or "")
     if column is None:
         column = "probability" if "probability" in predicted.columns else "rawPrediction"
     return positive_score(predicted, column)
 
 
+def _texts(model: PipelineModel) -> list[str]:
+    """Columns with the texts of categories, which only the stages themselves need."""
+    inputs = [s.getOrDefault("inputCol") for s in model.stages if isinstance(s, StringIndexerModel) and s.isDefined("inputCol")]
+    return [name for name in inputs if name.startswith(TEXT_PREFIX)]
+
+
 def _outputs(model: PipelineModel) -> list[str]:
     """Columns the stages of a fitted pipeline add."""
     names: list[str] = []
@@ -154,9 +151,6 @@ def _importances(learner_model) -> np.ndarray:
         return learner_model.featureImportances.toArray()
     if hasattr(learner_model, "models"):
         return np.mean([np.abs(m.coefficients.toArray()) for m in learner_model.models], axis=0)
-    if hasattr(learner_model, "get_booster"):
-        gains = learner_model.get_booster().get_score(importance_type="gain")
-        return np.array([gains.get(f"f{i}", 0.0) for i in range(learner_model.numFeatures)])
     return learner_model.coefficients.toArray()
 
 
@@ -171,7 +165,7 @@ def feature_importance(model: PipelineModel, df: DataFrame) -> DataFrame:
     values = _importances(model.stages[-1])
     names = feature_names(model, df)
     if len(names) != len(values):
-        names = [f"feature_{i}" for i in range(len(values))]
+        raise ValueError(f"the model weighs {len(values)} features, but {len(names)} are named: {', '.join(names)}")
     total = float(np.abs(values).sum())
     rows = [
         (name, float(v), float(abs(v)) / total * 100.0 if total else 0.0)

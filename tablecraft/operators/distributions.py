@@ -19,8 +19,8 @@ from tablecraft.functions.columns import (
 )
 from tablecraft.functions.reshape import as_text, melt
 
-#: A Gaussian this many bandwidths away is below 1e-16 of its peak.
-KERNEL_REACH = 8.6
+#: Beyond this many bandwidths the kernel is 0 in double precision, so that nothing is left out.
+KERNEL_REACH = 38.7
 
 
 def value_counts(
@@ -63,10 +63,9 @@ def frequencies(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def _spans(df: DataFrame, names: Sequence[str]) -> list[dict]:
-    """Fitted minimum, maximum, deviation and count of each column (one job)."""
+    """Fitted minimum, maximum, deviation and count of each column's finite values (one job)."""
     aggregates = []
-    for i, x in enumerate(present_sql(df, names).values()):
-        x = f"CAST({x} AS DOUBLE)"
+    for i, x in enumerate(finite_sql(df, names).values()):
         aggregates += [
             f"min({x}) AS lo{i}", f"max({x}) AS hi{i}", f"stddev_samp({x}) AS sd{i}", f"count({x}) AS n{i}"
         ]
@@ -79,6 +78,15 @@ def _spans(df: DataFrame, names: Sequence[str]) -> list[dict]:
     return spans
 
 
+def finite_sql(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
+    """Per column, SQL text of its value as a double, NULL where it is missing or infinite."""
+    found = {}
+    for name, text in present_sql(df, names).items():
+        value = f"CAST({text} AS DOUBLE)"
+        found[name] = f"CASE WHEN abs({value}) < CAST('Infinity' AS DOUBLE) THEN {value} END"
+    return found
+
+
 def _numeric(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
     if cols is None:
         return numeric_columns(df)
@@ -89,7 +97,9 @@ def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 30)
     """``column, bin, lower, upper, count`` over equal-width bins, empty ones too.
 
     The last bin is closed on both sides. A constant column gets bins over half
-    a unit to either side. Two scans: one for the ranges, one for the counts.
+    a unit to either side. Bins span the finite values; infinite ones, if a column has
+    any, are counted in bins -1 and ``bins``, whose edges are both infinite. Two scans:
+    one for the ranges, one for the counts.
     """
     schema = "column string, lower_bound double, width double"
     names = _numeric(df, cols)
@@ -113,12 +123,13 @@ def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 30)
     if not edges:
         return frame.withColumn("count", F.lit(0).cast("long"))
     # least() skips NULLs, so missing values have to be kept out of it.
-    values = present_sql(df, [name for name, _, _ in edges])
+    values = finite_sql(df, [name for name, _, _ in edges])
+    beyond = {name: f"CAST({text} AS DOUBLE)" for name, text in present_sql(df, values).items()}
     placed = df.selectExpr(
         *[
             f"CAST(CASE WHEN {values[name]} IS NOT NULL THEN "
-            f"least(floor((CAST({values[name]} AS DOUBLE) - {literal(lo)}) / {literal(width)}), "
-            f"{bins - 1}) END AS INT) AS b{i}"
+            f"least(floor(({values[name]} - {literal(lo)}) / {literal(width)}), {bins - 1}) "
+            f"WHEN {beyond[name]} > 0 THEN {bins} WHEN {beyond[name]} < 0 THEN -1 END AS INT) AS b{i}"
             for i, (name, lo, width) in enumerate(edges)
         ]
     )
@@ -132,8 +143,13 @@ def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 30)
         .agg(F.count(F.lit(1)).alias("count"))
         .select(label[F.col("__b")].alias("column"), "bin", "count")
     )
-    # Both sides hold at most (number of columns x bins) rows.
-    return frame.join(F.broadcast(counted), ["column", "bin"], "left").fillna(0, ["count"])
+    # Both sides hold at most (number of columns x (bins + 2)) rows.
+    inside = frame.join(F.broadcast(counted), ["column", "bin"], "left").fillna(0, ["count"])
+    edge = F.when(F.col("bin") < 0, F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    outside = counted.where(~F.col("bin").between(0, bins - 1)).select(
+        "column", "bin", edge.alias("lower"), edge.alias("upper"), "count"
+    )
+    return inside.unionAll(outside)
 
 
 def kde(df: DataFrame, cols: Sequence[str] | None = None, grid: int = 200) -> DataFrame:
@@ -142,7 +158,8 @@ def kde(df: DataFrame, cols: Sequence[str] | None = None, grid: int = 200) -> Da
     Scott's bandwidth. The estimate is exact to double precision: every value
     contributes to the grid points within reach of its kernel, summed map side,
     so only one partial sum per task and grid point is shuffled. Columns with
-    fewer than two distinct values have no density and give no rows.
+    fewer than two distinct values have no density and give no rows; infinite values
+    have no place on the grid and are left out of the estimate.
     """
     names = _numeric(df, cols)
     fits = []
@@ -162,12 +179,13 @@ def kde(df: DataFrame, cols: Sequence[str] | None = None, grid: int = 200) -> Da
     )
     if not fits:
         return frame.select("column", "x", F.lit(0.0).alias("density"))
+    values = finite_sql(df, [name for name, *_ in fits])
     packed = []
     for i, (name, lo, step, width, n) in enumerate(fits):
         packed.append(
             F.struct(
                 F.lit(name).alias("column"),
-                present(df, name).cast("double").alias("value"),
+                F.expr(values[name]).alias("value"),
                 F.lit(lo).alias("lo"),
                 F.lit(step).alias("step"),
                 F.lit(width).alias("width"),

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorSlicer
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorSlicer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecraft.functions.cluster import local_table
-from tablecraft.functions.columns import dtype_of, present, ref, require_columns
-from tablecraft.functions.ordered import running_totals, small_rows
+from tablecraft.functions.columns import dtype_of, is_fractional, present, present_sql, quoted, ref, require_columns
+from tablecraft.functions.ordered import HELD_TEXT, running_totals, small_rows
 from tablecraft.functions.reshape import melt
 
 #: Most labels, over all columns together, that are fitted as a driver-side list.
@@ -20,6 +20,18 @@ MAX_LABELS = 100_000
 FREQUENT = 1_000
 
 
+def label_text(df: DataFrame, name: str) -> Column:
+    """The text that stands for a value in a label index; -0.0 is the same value as 0.0."""
+    return F.expr(_label_sql(df, name))
+
+
+def _label_sql(df: DataFrame, name: str) -> str:
+    value = present_sql(df, [name])[name]
+    if is_fractional(dtype_of(df, name)):
+        value = f"({value} + CAST(0 AS {dtype_of(df, name).simpleString()}))"
+    return f"CAST({value} AS STRING)"
+
+
 def _label_counts(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
     long, slots = melt(df, cols)
     counted = long.groupBy("column", *dict.fromkeys(slots.values())).agg(
@@ -33,16 +45,18 @@ def categories(
 ) -> dict[str, list] | None:
     """Distinct non-null values per column in native order, as a fitted parameter.
 
-    Returns None when there are more than ``max_labels`` of them, or long texts.
+    Returns None when there are more than ``max_labels`` of them, or over HELD_TEXT
+    characters of text for each of them.
     """
     counted, slots = _label_counts(df, cols)
     typed = list(dict.fromkeys(slots.values()))
-    rows = small_rows(counted.select("column", *typed), max_labels)
+    rows = small_rows(counted.select("column", *typed), max_labels, max_labels * HELD_TEXT)
     if rows is None:
         return None
     found: dict[str, list] = {c: [] for c in cols}
     for name, *values in rows:
-        found[name].append(values[typed.index(slots[name])])
+        value = values[typed.index(slots[name])]
+        found[name].append(value + 0.0 if isinstance(value, float) else value)
     return {c: sorted(values) for c, values in found.items()}
 
 
@@ -59,6 +73,12 @@ def _label_texts(df: DataFrame, found: dict[str, list]) -> dict[str, list[str]]:
     return texts
 
 
+def text_stage(df: DataFrame, cols: Sequence[str], outputs: Sequence[str]) -> SQLTransformer:
+    """A stage that writes the text of each value, whatever its type, for the index to look up."""
+    made = [f"{_label_sql(df, name)} AS {quoted(out)}" for name, out in zip(cols, outputs)]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__")
+
+
 def fit_labels(
     df: DataFrame,
     cols: Sequence[str],
@@ -133,7 +153,7 @@ def label_encode(
     indexers = fit_labels(df, valid, list(texts.values()), list(temporary.values()), max_labels)
     coded = df
     if indexers is not None:
-        written = {texts[c]: present(df, c).cast("string") for c in valid}
+        written = {texts[c]: label_text(df, c) for c in valid}
         coded = PipelineModel(stages=indexers).transform(df.withColumns(written))
     else:
         for name, out in temporary.items():
@@ -159,8 +179,9 @@ def onehot(
     """0/1 columns ``<column>_<value>`` (or one array ``<column>_ohe``) per category.
 
     ``drop_last`` leaves out the last category; NULL is all zeros, and
-    ``unknown`` adds a column that marks it. Columns with more than
-    ``max_columns`` categories in total are refused: use :func:`onehot_vector`.
+    ``unknown`` adds a column that marks it. A table of more than ``max_columns``
+    categories in total is not made unless the caller asks for it: raise the limit, or use
+    :func:`onehot_vector`.
     """
     valid, _ = require_columns(df, cols, strict)
     if not valid:
@@ -195,11 +216,12 @@ def fit_onehot_vector(
     NULL and unseen values are all zeros.
     """
     indexed = [f"__index_{i}" for i in range(len(cols))]
-    indexers = fit_labels(df, cols, cols, indexed, max_labels)
+    texts = [f"__text_{i}" for i in range(len(cols))]
+    indexers = fit_labels(df, cols, texts, indexed, max_labels)
     if indexers is None:
-        raise ValueError(f"more than {max_labels} categories")
+        raise ValueError(f"more than {max_labels} categories; raise max_labels to list them")
     wide = [f"__wide_{i}" for i in range(len(cols))]
-    stages: list = [*indexers, OneHotEncoder(inputCols=indexed, outputCols=wide, dropLast=True)]
+    stages: list = [text_stage(df, cols, texts), *indexers, OneHotEncoder(inputCols=indexed, outputCols=wide, dropLast=True)]
     for name, indexer, raw in zip(cols, indexers, wide):
         kept = len(indexer.labels)
         if drop_last and kept > 1:

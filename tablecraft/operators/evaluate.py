@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from tablecraft.functions.columns import dtype_of, ratio, ref, require_columns
 from tablecraft.operators import curves
 
-#: Most classes listed when the wide confusion matrix has to find them itself.
-MAX_CLASSES = 1_000
-
 
 def positive_score(df: DataFrame, col: str, out: str = "score") -> DataFrame:
     """Add the second element of a probability or raw-score vector as a double."""
@@ -38,22 +35,35 @@ def confusion(scored: DataFrame) -> DataFrame:
 
 
 def confusion_wide(scored: DataFrame, classes: Sequence[float] | None = None) -> DataFrame:
-    """One row per label and a column ``predicted_<class>`` with zeros filled in."""
+    """One row per label and a column ``predicted_<class>`` with zeros filled in.
+
+    ``classes`` names the columns; without it they are the predictions that occur, listed
+    at the driver, so give it (or use :func:`confusion`) where there may be very many.
+    Rows without a prediction are then counted in ``predicted_none`` if there are any.
+    """
     cells = confusion(scored)
     if classes is None:
-        rows = cells.select("prediction").distinct().limit(MAX_CLASSES + 1).collect()
-        if len(rows) > MAX_CLASSES:
-            raise ValueError(f"more than {MAX_CLASSES} classes; use confusion")
-        classes = sorted(r["prediction"] for r in rows)
-    columns = [
-        F.coalesce(F.sum(F.when(F.col("prediction") == float(c), F.col("count"))), F.lit(0)).alias(
-            f"predicted_{c:g}"
-        )
-        for c in classes
-    ]
+        values = [r["prediction"] for r in cells.select("prediction").distinct().collect()]
+        classes, missing = sorted(v for v in values if v is not None), None in values
+    else:
+        missing = False
+
+    def counted(condition: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("count"))), F.lit(0)).alias(name)
+
+    columns = [counted(F.col("prediction") == float(c), f"predicted_{_written(float(c))}") for c in classes]
+    if missing:
+        columns.append(counted(F.col("prediction").isNull(), "predicted_none"))
+    if not columns:
+        return cells.select("label").distinct()
     return cells.groupBy("label").agg(*columns)
 
 
+def _written(number: float) -> str:
+    """The shortest text that reads as the same number, whole numbers without a point."""
+    return str(int(number)) if number.is_integer() else repr(number)
+
+
 def _classes(cells: DataFrame) -> DataFrame:
     hit = F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(F.lit(0))
     none = F.lit(0).cast("long")

@@ -8,8 +8,6 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     OneHotEncoder,
     StandardScaler,
-    StringIndexer,
-    StringIndexerModel,
     VectorAssembler,
 )
 from pyspark.sql import DataFrame
@@ -19,6 +17,10 @@ from tablecraft.functions.columns import ref, require_columns
 from tablecraft.operators import encode
 
 
+#: Columns with the texts that category indexes look up.
+TEXT_PREFIX = "__text_"
+
+
 def assemble(
     df: DataFrame, cols: Sequence[str], output: str = "features", on_missing: str = "skip"
 ) -> DataFrame:
@@ -48,18 +50,20 @@ def _index_names(categorical: Sequence[str], encoding: str) -> list[str]:
 
 
 def fit_indexers(
-    df: DataFrame, categorical: Sequence[str], encoding: str = "index"
-) -> list[StringIndexerModel]:
-    """Category indexes of bounded size; refuses columns with too many categories."""
+    df: DataFrame, categorical: Sequence[str], encoding: str = "index", max_labels: int = encode.MAX_LABELS
+) -> list:
+    """Stages that index categories of any type, fitted on ``df``.
+
+    The category lists are kept at the driver and in the model, so the caller says with
+    ``max_labels`` how many there may be in all.
+    """
     if not categorical:
         return []
-    names = _index_names(categorical, encoding)
-    fitted = encode.fit_labels(df, categorical, categorical, names)
+    texts = [f"{TEXT_PREFIX}{i}" for i in range(len(categorical))]
+    fitted = encode.fit_labels(df, categorical, texts, _index_names(categorical, encoding), max_labels)
     if fitted is None:
-        raise ValueError(
-            f"more than {encode.MAX_LABELS} categories, or long texts: such columns are not features"
-        )
-    return fitted
+        raise ValueError(f"more than {max_labels} categories; raise max_labels to list them")
+    return [encode.text_stage(df, categorical, texts), *fitted]
 
 
 def stages(
@@ -68,15 +72,14 @@ def stages(
     encoding: str = "index",
     scale: bool = False,
     on_missing: str = "skip",
-    indexers: Sequence[StringIndexerModel] | None = None,
+    indexers: Sequence = (),
 ) -> list:
     """Unfitted stages ending in the column ``features``.
 
     ``encoding``: ``index`` puts the label index of a category in the vector,
     ``onehot`` one 0/1 slot per known category (unseen ones are all zeros).
-    ``scale`` standardises the whole vector. ``indexers`` from
-    :func:`fit_indexers` replace the indexing stage, which would otherwise list
-    the categories at the driver however many there are.
+    ``scale`` standardises the whole vector. ``indexers`` come from
+    :func:`fit_indexers` for the same categorical columns.
     """
     if encoding not in ("index", "onehot"):
         raise ValueError("encoding must be 'index' or 'onehot'")
@@ -85,14 +88,7 @@ def stages(
     if categorical:
         onehot = encoding == "onehot"
         indexed = _index_names(categorical, encoding)
-        built += indexers or [
-            StringIndexer(
-                inputCols=list(categorical),
-                outputCols=indexed,
-                stringOrderType="alphabetAsc",
-                handleInvalid="keep",
-            )
-        ]
+        built += indexers
         if onehot:
             wide = [f"{c}_ohe" for c in categorical]
             built.append(OneHotEncoder(inputCols=indexed, outputCols=wide, dropLast=True))
@@ -108,14 +104,20 @@ def stages(
 
 
 def pipeline(
+    df: DataFrame,
     numeric: Sequence[str],
     categorical: Sequence[str] = (),
     encoding: str = "index",
     scale: bool = False,
     on_missing: str = "skip",
 ) -> Pipeline:
-    """The stages of :func:`stages` as one pipeline, to be fitted on training rows."""
-    return Pipeline(stages=stages(numeric, categorical, encoding, scale, on_missing))
+    """The stages of :func:`stages` as one pipeline, to be fitted on training rows.
+
+    Categories are listed here, from ``df``.
+    """
+    require_columns(df, [*numeric, *categorical])
+    indexers = fit_indexers(df, categorical, encoding)
+    return Pipeline(stages=stages(numeric, categorical, encoding, scale, on_missing, indexers))
 
 
 def complete_rows(df: DataFrame, columns: Sequence[str], label_col: str) -> DataFrame:

@@ -7,6 +7,7 @@ constants, so the filled table itself stays lazy.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
@@ -177,10 +178,10 @@ def fill_median(
     valid, ignored = require_columns(df, cols, strict, ["numeric"])
     fitted: dict[str, Any] = {}
     if valid and relative_error > 0:
+        accuracy = math.ceil(1 / relative_error)
         texts = present_sql(df, valid).values()
-        plain = df.selectExpr(*[f"{x} AS c{i}" for i, x in enumerate(texts)])
-        found = plain.approxQuantile(plain.columns, [0.5], relative_error)
-        fitted = {c: (q[0] if q else None) for c, q in zip(valid, found)}
+        row = df.selectExpr(*[f"percentile_approx({x}, 0.5, {accuracy})" for x in texts]).first()
+        fitted = dict(zip(valid, row))
     elif valid:
         fitted = _exact_medians(df, valid)
     return _finish(df, "fill_median", fitted, ignored, widen, digits=4)

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations_with_replacement
 
-import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +21,8 @@ from tablecraft.functions.columns import (
 from tablecraft.functions.ordered import cut_points, hold, join_buckets, quantiles, with_bucket
 
 CORRELATION_SCHEMA = "x string, y string, n long, corr double"
-#: Pairs of columns whose correlation is aggregated pair by pair.
-PAIRS_AT_ONCE = 60
-#: Share of a unit variance that is taken for rounding error.
-ROUNDING = 1e-12
+#: Pairs of columns whose correlation is found in one scan.
+PAIRS_AT_ONCE = 40
 #: Normal quantile of a two-sided 95 % interval.
 Z95 = 1.96
 #: Whisker length in interquartile ranges.
@@ -145,67 +140,34 @@ def outliers(df: DataFrame, x: str, y: str) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """``x, y, n, corr`` for every ordered pair, over rows where both are present.
 
-    A column without variation correlates as NULL. Few columns take one scan of
-    merging moments; more of them take two scans, whatever their number.
+    A column without variation correlates as NULL. Each pair's moments are taken about
+    the means of its own complete rows and merged across tasks, whatever the number of
+    columns; one scan serves PAIRS_AT_ONCE pairs, and only one row per task is shuffled.
     """
     names = numeric_columns(df) if cols is None else require_columns(df, cols, kinds=["numeric"])[0]
     if not names:
         return local_table(df.sparkSession, [], CORRELATION_SCHEMA)
-    pairs = list(combinations_with_replacement(names, 2))
-    if len(pairs) > PAIRS_AT_ONCE:
-        return _correlation_by_products(df, names)
     values = {name: f"CAST({text} AS DOUBLE)" for name, text in present_sql(df, names).items()}
+    pairs = list(combinations_with_replacement(names, 2))
+    blocks = [pairs[at : at + PAIRS_AT_ONCE] for at in range(0, len(pairs), PAIRS_AT_ONCE)]
+    return reduce(DataFrame.unionAll, [_correlations(df, values, block) for block in blocks])
+
+
+def _correlations(df: DataFrame, values: Mapping[str, str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Both orders of some pairs, from one global aggregate."""
     aggregates, entries = [], []
     for i, (a, b) in enumerate(pairs):
         x, y = values[a], values[b]
+        own = {v: f"CASE WHEN {other} IS NOT NULL THEN {v} END" for v, other in ((x, y), (y, x))}
         aggregates += [
             f"count_if({x} IS NOT NULL AND {y} IS NOT NULL) AS n{i}",
-            f"covar_pop({x}, {y}) AS c{i}",
-            f"stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END) AS l{i}",
-            f"stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END) AS r{i}",
+            f"try_divide(covar_pop({x}, {y}), stddev_pop({own[x]}) * stddev_pop({own[y]})) AS r{i}",
+            # Merged moments of a constant may differ from 0 by rounding; its range does not.
+            " AND ".join(f"min({v}) < max({v})" for v in own.values()) + f" AS v{i}",
         ]
         for first, second in {(a, b), (b, a)}:
             entries.append(
                 f"struct({literal(first)} AS x, {literal(second)} AS y, n{i} AS n, "
-                f"try_divide(c{i}, l{i} * r{i}) AS corr)"
+                f"CASE WHEN v{i} THEN r{i} END AS corr)"
             )
     return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(entries)}))")
-
-
-def _correlation_by_products(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Correlations of many columns from one matrix of products.
-
-    Each row becomes a vector of presence marks, z-scores (0 where missing) and
-    their squares. The products of these, summed over the table, hold the
-    number, the sums and the sums of squares and products of every pair's
-    complete rows. The matrix depends on the number of columns alone.
-    """
-    values = {name: f"CAST({text} AS DOUBLE)" for name, text in present_sql(df, names).items()}
-    stats = [f"{fn}({x})" for x in values.values() for fn in ("avg", "stddev_pop")]
-    fitted = df.selectExpr(*stats).first()
-    marks, scores = [], []
-    for i, x in enumerate(values.values()):
-        mean, deviation = fitted[2 * i], fitted[2 * i + 1]
-        marks.append(f"CAST({x} IS NOT NULL AS DOUBLE)")
-        scaled = f"({x} - {literal(mean)}) / {literal(deviation)}" if deviation else "0.0D"
-        scores.append(f"coalesce({scaled}, 0.0D)")
-    arrays = df.selectExpr(f"array({', '.join(marks)}) AS m", f"array({', '.join(scores)}) AS z")
-    vectors = arrays.select(
-        array_to_vector(F.concat("m", "z", F.transform("z", lambda v: v * v))).alias("v")
-    )
-    products = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v")).computeGramianMatrix()
-    sums = products.toArray()
-    k = len(names)
-    n = sums[:k, :k]
-    sum_x, sum_xx = sums[k : 2 * k, :k], sums[2 * k :, :k]
-    spread = n * sum_xx - sum_x**2
-    shared = n * sums[k : 2 * k, k : 2 * k] - sum_x * sum_x.T
-    varied = (spread > n**2 * ROUNDING) & (spread.T > n**2 * ROUNDING)
-    with np.errstate(all="ignore"):
-        corr = shared / np.sqrt(spread * spread.T)
-    rows = [
-        (a, b, int(n[i, j]), float(corr[i, j]) if varied[i, j] else None)
-        for i, a in enumerate(names)
-        for j, b in enumerate(names)
-    ]
-    return local_table(df.sparkSession, rows, CORRELATION_SCHEMA)

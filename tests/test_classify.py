@@ -51,6 +51,22 @@ def test_metrics_of_more_than_two_classes_and_unpredicted_ones(spark):
     assert evaluate.confusion_wide(df).columns == ["label", "predicted_0", "predicted_2"]
 
 
+def test_wide_confusion_of_missing_large_and_no_predictions(spark):
+    df = spark.createDataFrame([(1.0, None), (1.0, 1234567.0), (0.5, 1234568.0)], "label double, prediction double")
+    wide = {r.label: r.asDict() for r in evaluate.confusion_wide(df).collect()}
+    assert wide[1.0] == {"label": 1.0, "predicted_1234567": 1, "predicted_1234568": 0, "predicted_none": 1}
+    assert wide[0.5]["predicted_1234568"] == 1
+    assert evaluate.confusion_wide(df.limit(0)).collect() == []
+
+
+def test_importance_refuses_names_that_do_not_fit(spark, monkeypatch):
+    df = spark.createDataFrame([(1.0, 2.0, 0.0), (2.0, 1.0, 1.0)] * 20, "a double, b double, label double")
+    model = classify.fit(df, "logistic", ["a", "b"])
+    monkeypatch.setattr(classify, "feature_names", lambda *_: ["a"])
+    with pytest.raises(ValueError, match="weighs 2"):
+        classify.feature_importance(model, df)
+
+
 def test_curves_start_and_end_where_they_should(scored):
     points = sorted(curves.roc(scored).collect(), key=lambda r: -r.threshold)
     assert tuple(points[0]) == (float("inf"), 0.0, 0.0)
@@ -159,16 +175,13 @@ def test_bins_grow_with_the_largest_category(spark):
     )
     model = classify.fit(df, "random_forest", ["n"], ["c"], numTrees=2, maxDepth=2)
     assert model.stages[-1].getOrDefault("maxBins") == 81
+    asked = classify.fit(df, "random_forest", ["n"], ["c"], numTrees=2, maxDepth=2, maxBins=32)
+    assert asked.stages[-1].getOrDefault("maxBins") == 81
 
 
-def test_unknown_and_missing_learners(spark):
+def test_unknown_learners(spark):
     with pytest.raises(ValueError, match="learner must be"):
         classify.make_learner("perceptron")
-    try:
-        import xgboost.spark  # noqa: F401
-    except ImportError:
-        with pytest.raises(ImportError, match="gbt"):
-            classify.make_learner("xgboost")
 
 
 def test_random_split_is_used_without_a_key(spark):

@@ -52,6 +52,35 @@ def test_many_labels_with_a_hot_value_match_the_list_form(spark, kind):
     assert sorted(rows(listed)) == sorted(rows(joined))
 
 
+def test_both_label_paths_agree_on_odd_doubles(spark):
+    odd = [1.0, float("nan"), None, -0.0, 0.0, float("inf"), -2.5]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "id int, v double")
+    listed, joined = encode.label_encode(df, ["v"]), encode.label_encode(df, ["v"], max_labels=1)
+    want = {0: 2.0, 1: 4.0, 2: 4.0, 3: 1.0, 4: 1.0, 5: 3.0, 6: 0.0}
+    assert {r.id: r.v for r in listed.collect()} == want == {r.id: r.v for r in joined.collect()}
+
+
+def test_onehot_of_booleans_dates_and_long_texts(spark):
+    long = "x" * 1_001
+    df = spark.createDataFrame(
+        [(True, datetime.date(2024, 1, 9), long), (False, datetime.date(2024, 1, 1), "a"), (None, None, None)],
+        "b boolean, t date, s string",
+    )
+    assert encode.onehot(df, ["s"]).columns == ["b", "t", "s", "s_a"]
+    coded = encode.onehot_vector(df, ["b", "t", "s"], drop_last=False)
+    got = [tuple(list(v) for v in r) for r in coded.select("b_ohe", "t_ohe", "s_ohe").collect()]
+    assert got == [([0, 1], [0, 1], [0, 1]), ([1, 0], [1, 0], [1, 0]), ([0, 0], [0, 0], [0, 0])]
+
+
+def test_scalers_fitted_once_scale_later_tables(spark):
+    first = spark.createDataFrame([(1.0,), (3.0,)], "x double")
+    later = spark.createDataFrame([(2.0,), (5.0,), (None,)], "x double")
+    standard, minmax = scale.fit_standard(first, ["x"]), scale.fit_minmax(first, ["x"])
+    assert [r.x_minmax for r in minmax.columns(later).collect()] == [0.5, 2.0, None]
+    assert [r.x_standard for r in standard.columns(later).collect()][0] == 0.0
+    assert standard.vector(later, "skip").count() == 2
+
+
 def test_onehot_columns_arrays_and_limits(mixed):
     coded = encode.onehot(mixed, ["s"], unknown=True).drop("d")
     assert coded.columns == ["id", "s", "s_a", "s_unknown"]

@@ -131,3 +131,10 @@ def test_columns_with_dots_and_backticks(spark):
     filled = missing.fill_mode(filled, ["c`d"]).table
     assert rows(filled) == [(1.0, "x"), (2.0, "x"), (3.0, "x")]
     assert by_column(missing.report(df))["a.b"]["null_count"] == 1
+
+
+def test_default_median_keeps_large_longs_and_decimals(spark):
+    big, exact = 9007199254740993, Decimal("12345678901234567890.12")
+    df = spark.createDataFrame([(big, exact), (None, None)], "n long, d decimal(30,2)")
+    filled = missing.fill_median(df, ["n", "d"]).table
+    assert [tuple(r) for r in filled.collect()] == [(big, exact), (big, exact)]
