@@ -19,9 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; set here only where it is unset in a local session."""
     named = spark.conf.get(CHECKPOINT_SETTING, None)
     if not named:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith(
-            "local-cluster"
-        ):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set(CHECKPOINT_SETTING, named)

@@ -110,7 +110,7 @@ WITH docs AS (
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
-""".replace("\\\\", "\\")
+"""
 
 
 @query("op5_benchmark_decontamination", DECONTAMINATE_SQL)
