@@ -20,7 +20,10 @@ def full(
     sample_order: Sequence[str] = (),
     bins: int = 30,
 ) -> dict[str, DataFrame]:
-    """Every profile table by name, each lazy; parts that need an absent column are left out.
+    """Every profile table by name; parts that need an absent column are left out.
+
+    Ranges of histogram and density and the quartiles of boxes are fitted by small jobs
+    when this is called; the rest is lazy.
 
     ``by_target`` columns are counted per target value; ``hue`` splits the mean
     target per first such column; ``continuous`` columns are boxed per target.
