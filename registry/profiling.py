@@ -185,3 +185,110 @@ def full_profile(spark, sf):
     for part in parts[1:]:
         whole = whole.unionAll(part)
     return whole
+
+
+#: Of each section the columns that name an item, and the numbers compared.
+PROFILED = {
+    "shape": ([], ["n_rows", "n_columns"]),
+    "numeric_summary": (["column"], ["count", "mean", "stddev", "min", "max"]),
+    "missing_counts": (["column"], ["null_count"]),
+    "missing_percentages": (["column"], ["null_pct"]),
+    "duplicates": ([], ["duplicate_count"]),
+    "categorical_summary": (["column"], ["count"]),
+    "frequencies": (["column", "value"], ["count", "share"]),
+    "histogram": (["column", "bin"], ["lower", "upper", "count"]),
+    "correlation": (["x", "y"], ["n", "corr"]),
+    "value_counts": (["column", "value"], ["count"]),
+    "discrete_frequencies": (["column", "value"], ["count", "share"]),
+    "counts_by_target:segment": (["x", "target"], ["count", "share"]),
+    "counts_by_target:priority": (["x", "target"], ["count", "share"]),
+    "mean_by_groups": (["x", "hue"], ["count", "mean", "stddev"]),
+    "box_stats:price": (["x"], ["count", "q1", "median", "q3", "n_outliers"]),
+}
+NUMBERS, TEXTS = ["o_orderkey", "price", "large"], ["segment", "priority"]
+
+
+def _values_sql() -> str:
+    parts = []
+
+    def add(section: str, source: str) -> None:
+        keys, values = PROFILED[section]
+        item = " || ':' || ".join(f"CAST(\"{k}\" AS VARCHAR)" for k in keys) or "''"
+        parts.extend(
+            f"SELECT '{section}' AS section, {item} || ':{v}' AS item, round(CAST(\"{v}\" AS DOUBLE), 4) + 0.0 AS value FROM ({source})"
+            for v in values
+        )
+
+    def each(template: str, names) -> str:
+        return " UNION ALL ".join(template.format(c=c) for c in names)
+
+    def shares(column: str, name: str) -> str:
+        return (
+            f"SELECT '{name}' AS \"column\", CAST({column} AS VARCHAR) AS value, count(*) AS count, "
+            f"count(*) / CAST((SELECT count(*) FROM sales) AS DOUBLE) AS share FROM sales GROUP BY {column}"
+        )
+
+    add("shape", "SELECT count(*) AS n_rows, 5 AS n_columns FROM sales")
+    add("numeric_summary", each("SELECT '{c}' AS \"column\", count({c}) AS count, avg({c}) AS mean, "
+        "stddev_samp({c}) AS stddev, min({c}) AS min, max({c}) AS max FROM sales", NUMBERS))
+    nulls = "SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS null_count, " \
+        "100.0 * count(*) FILTER ({c} IS NULL) / count(*) AS null_pct FROM sales"
+    add("missing_counts", each(nulls, [*NUMBERS, *TEXTS]))
+    add("missing_percentages", each(nulls, [*NUMBERS, *TEXTS]))
+    add("duplicates", "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM sales)) AS duplicate_count FROM sales")
+    add("categorical_summary", each("SELECT '{c}' AS \"column\", count({c}) AS count FROM sales", TEXTS))
+    add("frequencies", " UNION ALL ".join(shares(c, c) for c in TEXTS))
+    bins = (
+        "SELECT '{c}' AS \"column\", b AS bin, lo + b * w AS lower, lo + (b + 1) * w AS upper, count(v) AS count FROM "
+        "(SELECT min({c})::DOUBLE AS lo, (max({c}) - min({c}))::DOUBLE / 30 AS w FROM sales) CROSS JOIN range(30) r(b) "
+        "LEFT JOIN (SELECT {c}::DOUBLE AS v FROM sales) ON least(floor((v - lo) / w), 29) = b GROUP BY b, lo, w"
+    )
+    add("histogram", each(bins, NUMBERS))
+    add("correlation", " UNION ALL ".join(
+        f"SELECT '{a}' AS x, '{b}' AS y, count(*) AS n, corr({a}, {b}) AS corr FROM sales" for a in NUMBERS for b in NUMBERS))
+    add("value_counts", shares("large", "large"))
+    add("discrete_frequencies", shares("large", "large"))
+    for name in TEXTS:
+        add(f"counts_by_target:{name}", f"SELECT {name} AS x, large AS target, count(*) AS count, "
+            f"count(*) / CAST(sum(count(*)) OVER (PARTITION BY {name}) AS DOUBLE) AS share FROM sales GROUP BY {name}, large")
+    add("mean_by_groups", "SELECT segment AS x, priority AS hue, count(*) AS count, avg(large) AS mean, "
+        "stddev_samp(large) AS stddev FROM sales GROUP BY segment, priority")
+    quartiles = "SELECT large, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.5) AS median, " \
+        "quantile_cont(price, 0.75) AS q3 FROM sales GROUP BY large"
+    add("box_stats:price", f"SELECT large AS x, count(*) AS count, q1, median, q3, count(*) FILTER "
+        f"(price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1)) AS n_outliers "
+        f"FROM sales JOIN ({quartiles}) USING (large) GROUP BY large, q1, median, q3")
+    return "WITH " + SALES + "\n" + "\nUNION ALL ".join(parts)
+
+
+@query("full_profile_values", _values_sql())
+def full_profile_values(spark, sf):
+    """The values of the full profile in long form, one row per section, item and number."""
+    tables = profiling.full(
+        sales(spark, sf),
+        target="large",
+        discrete=["large"],
+        continuous=["price"],
+        by_target=TEXTS,
+        hue="priority",
+        sample_order=["o_orderkey"],
+    )
+    parts = []
+    for section, (keys, values) in PROFILED.items():
+        found = tables[section]
+        item = F.concat_ws(":", *[F.col(f"`{k}`").cast("string") for k in keys])
+        numbers = F.explode(
+            F.array(*[F.struct(F.lit(v).alias("name"), F.col(f"`{v}`").cast("double").alias("value")) for v in values])
+        )
+        long = found.select(item.alias("item"), numbers.alias("v"))
+        parts.append(
+            long.select(
+                F.lit(section).alias("section"),
+                F.concat(F.col("item"), F.lit(":"), F.col("v.name")).alias("item"),
+                (F.round("v.value", 4) + F.lit(0.0)).alias("value"),
+            )
+        )
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionAll(part)
+    return whole
