@@ -113,11 +113,13 @@ def _decide(rows: DataFrame, workspace: Workspace, step: int, last: bool) -> tup
     if last:
         return found, None
     still = F.col("any_open") & (F.col("n") == 1)
-    several = (
+    # Written first, so that the join stands alone and Spark can split a shared string of very many pieces.
+    several = workspace.keep(
         classes.groupBy(*shared)
         .agg(F.count("*").alias("strings"), F.max(still).alias("any_still"))
         .where("strings > 1 AND any_still")
-        .select(*shared)
+        .select(*shared),
+        f"several-{step}",
     )
     on = classes.join(several, shared, "left_semi").select(
         "one.key", "one.anchor", "low", "high", still.alias("open"), F.lit(1).alias("weight")
