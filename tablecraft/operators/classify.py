@@ -89,10 +89,16 @@ def fit(
     if learner in TREES and encoding == "index":
         asked = params.get("maxBins", DEFAULTS[learner].get("maxBins", 32))
         params = {**params, "maxBins": max(asked, _largest_category(prepared))}
-    data = prepared.transform(rows).select("features", "label")
+    data = _spread(prepared.transform(rows).select("features", "label"))
     return PipelineModel(stages=[*prepared.stages, make_learner(learner, **params).fit(data)])
 
 
+def _spread(data: DataFrame) -> DataFrame:
+    """Training rows in at least one part per core; learners read them again and again."""
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    return data.repartition(cores) if data.rdd.getNumPartitions() < cores else data
+
+
 def _largest_category(prepared: PipelineModel) -> int:
     sizes = [
         len(labels) + 1

@@ -108,7 +108,8 @@ def _index_by_join(df: DataFrame, name: str, out: str) -> DataFrame:
 
     The index of a value is its rank among the distinct values, found bucket by
     bucket. Frequent values (at most FREQUENT of them by definition) are looked
-    up by broadcast, so no shuffled key holds more than 1/FREQUENT of the rows.
+    up by broadcast, so no shuffled key of ordinary length holds more than 1/FREQUENT of
+    the rows.
     """
     values = df.select(present(df, name).alias("__value")).where(F.col("__value").isNotNull())
     counted = values.groupBy("__value").agg(F.count(F.lit(1)).alias("__n"))
@@ -120,8 +121,11 @@ def _index_by_join(df: DataFrame, name: str, out: str) -> DataFrame:
         "__value", "__n", (F.col("cum___one") - 1).cast("double").alias("__index")
     )
     limit = (sizes["rows"] or 0) / FREQUENT
-    often = index.where(F.col("__n") > limit).drop("__n")
-    seldom = index.where(F.col("__n") <= limit).drop("__n")
+    # At most FREQUENT values of at most HELD_TEXT characters: this much may be broadcast. A
+    # frequent value that is longer is joined like the others, in parts if Spark finds it skewed.
+    frequent = (F.col("__n") > limit) & (F.length(F.col("__value").cast("string")) <= HELD_TEXT)
+    often = index.where(frequent).drop("__n")
+    seldom = index.where(~frequent).drop("__n")
     column = present(df, name)
     first = df.join(F.broadcast(often), column == F.col("__value"), "left").drop("__value")
     done = first.where(F.col("__index").isNotNull() | column.isNull()).withColumn(
