@@ -22,6 +22,20 @@ import regex
 REMEMBERED = 200_000
 LONGEST_REMEMBERED = 40
 
+# Letters and numbers of Unicode versions after the one that public encoders
+# class by. A pattern sees them as what they were before, code points of no class.
+NEWER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 "
+    "10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 "
+    "16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 "
+    "1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED "
+    "1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+_NEWER = regex.compile(
+    "[" + "".join("-".join(chr(int(c, 16)) for c in part.split("-")) for part in NEWER.split()) + "]"
+)
+UNASSIGNED = "\u0378"
+
 
 def parse_ranks(data: bytes) -> list[bytes]:
     """Tokens by id from lines of base64 and rank."""
@@ -148,7 +162,7 @@ class Text:
 
     def __init__(self, tokens: list[bytes], pattern: str, single_spaces: bool = True):
         self.encoder = Encoder(tokens)
-        self.pieces = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.single_spaces = single_spaces
         self.words: dict[str, str] = {}
         self.known: dict[str, str] = {}
@@ -162,8 +176,13 @@ class Text:
             self._remember(self.known, piece, ids)
         return ids
 
+    def _pieces(self, text: str) -> list[str]:
+        if text.isascii() or not _NEWER.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(_NEWER.sub(UNASSIGNED, text))]
+
     def _whole(self, text: str) -> str:
-        return ",".join(map(self._piece, self.pieces(text)))
+        return ",".join(map(self._piece, self._pieces(text)))
 
     def _word(self, word: str) -> str:
         ids = self._whole(" " + word)

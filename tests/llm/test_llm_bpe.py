@@ -37,6 +37,14 @@ def test_random_texts(known, own):
         assert own.decode(ids) == text.encode()
 
 
+def test_all_planes_of_unicode(known, own):
+    rng = random.Random(7)
+    ranges = [(0, 0x2FF), (0, 0xD7FF), (0xE000, 0x1FFFF), (0x20000, 0x10FFFF)]
+    for _ in range(3000):
+        text = "".join(chr(rng.randint(*rng.choice(ranges))) for _ in range(rng.randint(0, 30)))
+        assert own.encode(text) == ",".join(map(str, known.encode_ordinary(text))), ascii(text)
+
+
 @pytest.mark.parametrize("text", ["a" * 20_000, "ab" * 10_000, " " * 20_000, "é" * 10_000, "thetion" * 3000])
 def test_long_pieces(known, own, text):
     assert own.encode(text) == ",".join(map(str, known.encode_ordinary(text)))
