@@ -210,12 +210,18 @@ def parse(page: str | None) -> _Parser:
     return parser
 
 
+def shown(blocks: list[Block]) -> int:
+    """A number of the texts of a page that may be main text; copies of a page have the same."""
+    return number(OUTSIDE, "\n".join(b.text for b in blocks if not b.beside))
+
+
 def main_text(page: str | None, template: frozenset[int]) -> str:
     """Text of the slots: blocks that are neither beside the main text nor part of the host's template.
 
-    ``template`` holds numbers of tag and block tokens. Where it, or without a template
-    the page, has an article or main element with text, only slots inside it count.
+    ``template`` holds numbers of tag and block tokens; a block inside an article or main
+    element is never part of it. Where the page has such an element with text, only slots
+    inside it count.
     """
-    slots = [b for b in parse(page).blocks if not b.beside and b.token not in template]
+    slots = [b for b in parse(page).blocks if not b.beside and (b.main or b.token not in template)]
     inside = [b for b in slots if b.main]
     return " ".join(b.text for b in (inside or slots))

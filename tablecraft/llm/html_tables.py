@@ -1,6 +1,7 @@
 """Main text of pages by the template of their host, over tables.
 
-1. Each page gives its tokens and how often each occurs. Per host and token these are
+1. Each page gives its tokens and how often each occurs. Pages of a host with the same
+   texts count once, so that copies of a page make no template. Per host and token these are
    summed up before the shuffle: number of pages, and a checksum of the vector of
    occurrences by page. Tokens of a host with equal numbers and checksums occur equally
    often on the same pages and form an equivalence class.
@@ -37,25 +38,43 @@ def hosts(urls: pd.Series) -> pd.Series:
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, parent, n): one row per page and token; parent is the token of the enclosing tag."""
-    names = ["host", "token", "parent", "n", "page"]
+    """(host, page, token, parent, n): one row per distinct page of a host and token.
+
+    page numbers the texts of the page, so that its copies count once; parent is the token
+    of the enclosing tag. Texts inside an article or main element are no template, and texts
+    beside the main text go anyway: both have no row.
+    """
+    kinds = [pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+    names = ["host", "page", "token", "parent", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for url, page, row in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "row"))):
-                at, read = html_blocks.host(url), html_blocks.parse(page)
+            for url, page in zip(*(batch.column(c).to_pylist() for c in ("url", "html"))):
+                read = html_blocks.parse(page)
                 found = {token: (read.parents[token], n) for token, n in read.tags.items()}
                 for block in read.blocks:
-                    found[block.token] = (block.path, found.get(block.token, (0, 0))[1] + 1)
-                rows += ((at, token, parent, n, row) for token, (parent, n) in found.items())
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                    if not block.main and not block.beside:
+                        found[block.token] = (block.path, found.get(block.token, (0, 0))[1] + 1)
+                rows.append(
+                    (
+                        html_blocks.host(url),
+                        html_blocks.shown(read.blocks),
+                        list(found),
+                        [parent for parent, _ in found.values()],
+                        [n for _, n in found.values()],
+                    )
+                )
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names
             )
 
-    numbered = pages.select("url", "html", F.monotonically_increasing_id().alias("row"))
-    return numbered.mapInArrow(run, "host string, token long, parent long, n long, page long")
+    lists = "token array<long>, parent array<long>, n array<long>"
+    read = pages.select("url", "html").mapInArrow(run, f"host string, page long, {lists}")
+    # Of copies in different markup the least stands for all, whatever the order of rows.
+    once = read.groupBy("host", "page").agg(F.min(F.struct("token", "parent", "n")).alias("one"))
+    zipped = F.arrays_zip("one.token", "one.parent", "one.n")
+    return once.select("host", "page", F.explode(zipped).alias("t")).select("host", "page", "t.token", "t.parent", "t.n")
 
 
 def templates(pages: DataFrame, workspace: Workspace) -> DataFrame:

@@ -57,3 +57,17 @@ def test_classes_have_equal_occurrences(spark):
     root = html_blocks.number(html_blocks.OUTSIDE, "body.")
     inside = {html_blocks.number(root, "div.a"), html_blocks.number(root, "ul.")}
     assert set(found[0]["template"]) == {root} | inside
+
+
+def test_copies_of_a_page_make_no_template(spark):
+    article = "<body><article><h1>Head</h1><p>First part</p><p>Second part</p></article><script>{0}</script></body>"
+    plain = "<body><div class='v'><p>First part</p><p>Second part</p></div><script>{0}</script></body>"
+    shared = "<body><main><p>Day {0}</p><p>Shared one</p><p>Shared two</p></main></body>"
+    kinds = {"article": article, "plain": plain, "shared": shared}
+    rows = [(i, f"http://{k}.example/{i}", page.format(i)) for k, page in kinds.items() for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r["url"].split(".")[0][7:], r["page_id"], r["text"]) for r in html_tables.extract(pages).collect()}
+    for i in range(30):
+        assert ("article", i, "Head First part Second part") in got
+        assert ("plain", i, "First part Second part") in got
+        assert ("shared", i, f"Day {i} Shared one Shared two") in got
