@@ -17,7 +17,14 @@ import xxhash
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+#: Elements whose content is no text of the page: it is skipped up to the closing tag.
+RAW = frozenset("script style textarea title template iframe select".split())
+#: Of these, the ones that last to the end of the page if nothing closes them.
+UNENDING = frozenset("script style textarea title".split())
+#: Elements of XML inside a page: in them a tag that ends in / is closed, whatever its name.
+FOREIGN = frozenset(["svg", "math"])
+#: Elements in them that are about the drawing and not shown.
+NOTES = frozenset(["desc", "metadata"])
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr img".split()
@@ -58,7 +65,7 @@ BESIDE_WORDS = frozenset(
     "copyright contentinfo complementary masthead topbar".split()
 )
 #: Also beside the main text, unless they are inside an article.
-BESIDE_OUTSIDE = frozenset(["header"])
+BESIDE_OUTSIDE = frozenset(["header", "noscript"])
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)"
@@ -106,7 +113,7 @@ def _words(text: str) -> set[str]:
 class _Open:
     """An element that is open: its name, its path and what it says about its text."""
 
-    __slots__ = ("name", "path", "main", "beside", "block")
+    __slots__ = ("name", "path", "main", "beside", "foreign", "block")
 
     def __init__(self, name: str, attributes: str, parent: _Open | None):
         marks = _MARK.findall(attributes) if "=" in attributes else []
@@ -117,8 +124,10 @@ class _Open:
         inside = bool(parent and parent.main)
         self.main = inside or name in MAIN
         marked = any(_words(v) & BESIDE_WORDS for _, v in values) and name not in ("html", "body")
+        self.foreign = bool(parent and parent.foreign) or name in FOREIGN
         self.beside = (
             bool(parent and parent.beside) or name in BESIDE or marked or (name in BESIDE_OUTSIDE and not inside)
+            or (name in NOTES and self.foreign)
         )
         # The innermost element that is not inline: text in here belongs to it.
         self.block = self if name not in INLINE else parent.block if parent else None
@@ -133,6 +142,7 @@ class _Parser:
         self.blocks: list[Block] = []
         self.opened: list[_Open] = []
         self.names: Counter = Counter()
+        self.closings: dict[str, re.Match | None] = {}
         self.parts: list[str] = []
         self.owner: _Open | None = None
 
@@ -186,6 +196,21 @@ class _Parser:
             self.opened.append(element)
             self.names[name] += 1
 
+    def closing(self, page: str, at: int, name: str) -> re.Match | None:
+        """The next closing tag of this name; each part of the page is searched once for a name."""
+        found = self.closings.get(name)
+        if name not in self.closings or (found and found.start() < at):
+            found = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+            self.closings[name] = found
+        return found
+
+    def after_raw(self, page: str, at: int, name: str, closed: bool) -> int:
+        """Where reading goes on after the start tag of a raw element; ``closed`` if it ends in /."""
+        if closed and (name not in UNENDING or (self.opened and self.opened[-1].foreign)):
+            return at
+        found = self.closing(page, at, name)
+        return found.end() if found else len(page) if name in UNENDING else at
+
     def read(self, page: str) -> None:
         at = 0
         while found := _TOKEN.search(page, at):
@@ -194,11 +219,10 @@ class _Parser:
             name = (found[2] or "").lower()
             if name and found[1]:
                 self.close(name)
-            elif name:
+            elif name and (name != "noscript" or self.closing(page, at, name)):
                 self.open(name, found[3] or "")
                 if name in RAW:
-                    end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                    at = end.end() if end else len(page)
+                    at = self.after_raw(page, at, name, (found[3] or "").rstrip().endswith("/"))
         self.text(page[at:])
         self.end_block()
 

@@ -71,3 +71,23 @@ def test_copies_of_a_page_make_no_template(spark):
         assert ("article", i, "Head First part Second part") in got
         assert ("plain", i, "First part Second part") in got
         assert ("shared", i, f"Day {i} Shared one Shared two") in got
+
+
+def test_a_start_tag_cuts_off_no_text():
+    cases = {
+        "<svg class='i'/><p>a</p><svg><path/></svg><p>b</p>": "a b",
+        "<p>a</p><math/><p>b</p><math><mi>x</mi></math>": "a b x",
+        "<p>a</p><svg class='i'><p>b</p>": "a b",
+        "<p>a</p><iframe src='u'><p>b</p>": "a b",
+        "<p>a</p><iframe src='u'/><p>b</p><iframe>no</iframe><select><option>no</select><p>c</p>": "a b c",
+        "<template><p>no</p></template><p>a</p><template><p>b</p>": "a b",
+        "<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p>": "a x = 1 b",
+        "<object data='u'><param name='n'><p>in place</p></object><noscript><p>also</p></noscript><p>a</p>": "in place also a",
+        "<svg><title/><style/><desc>no</desc><title>no</title><text>label</text></svg><p>a</p>": "label a",
+        "<script src='u'/>no</script><textarea>no</textarea><p>a</p><style>no": "a",
+    }
+    for inside, text in cases.items():
+        assert html_blocks.main_text(f"<body><article>{inside}</article></body>", NONE) == text, inside
+    assert html_blocks.main_text("<noscript>Turn scripts on</noscript><p>a", NONE) == "a"
+    assert html_blocks.main_text("<noscript><p>a</p><desc>b</desc>", NONE) == "a b"
+    assert html_blocks.main_text("<p>a<iframe>" * 20_000, NONE).count("a") == 20_000
