@@ -91,3 +91,17 @@ def test_a_start_tag_cuts_off_no_text():
     assert html_blocks.main_text("<noscript>Turn scripts on</noscript><p>a", NONE) == "a"
     assert html_blocks.main_text("<noscript><p>a</p><desc>b</desc>", NONE) == "a b"
     assert html_blocks.main_text("<p>a<iframe>" * 20_000, NONE).count("a") == 20_000
+
+
+def test_small_hosts_and_layouts_have_templates(spark):
+    page = "<body class='{1}'><div class='top'>Welcome {1}</div><div><p>Story {0}</p></div><div class='x1'>Rights {1}</div></body>"
+    hosts = {"small": ["a"] * 5, "two": ["a"] * 12 + ["b"] * 8}
+    rows = [(f"http://{h}.example/{i}", page.format(i, k), f"Story {i}") for h, ks in hosts.items() for i, k in enumerate(ks)]
+    # A passage that some pages share is no layout: no tag is on these pages only.
+    passage = "<body><div class='top'>Welcome</div><p>Day {0}</p>{1}</body>"
+    for i in range(20):
+        extra, text = ("<p>Shared one</p><p>Shared two</p>", " Shared one Shared two") if i < 5 else ("<p>x{0}</p><p>y{0}</p>".format(i), f" x{i} y{i}")
+        rows.append((f"http://passage.example/{i}", passage.format(i, extra), f"Day {i}{text}"))
+    pages = spark.createDataFrame([(k, url, html) for k, (url, html, _) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_tables.extract(pages).collect()}
+    assert got == {k: text for k, (_, _, text) in enumerate(rows)}
