@@ -55,3 +55,13 @@ def test_empty(spark):
 def test_no_python_in_the_plan(spark):
     plan = queries.QUERIES["op10_quality_cascade"](spark, SF_DIR)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_sample_is_drawn_in_all_tasks(spark):
+    from pyspark import TaskContext
+    from pyspark.sql import functions as F
+
+    task = F.udf(lambda i: str(TaskContext.get().partitionId()), "string")
+    docs = spark.range(0, 400, 1, 4).select(task("id").alias("text"))
+    rules = [quality.Rule(k, lambda t, w, k=k: t == k) for k in "0123"]
+    assert [share for _, _, share in quality.measured(docs, rules)] == [0.25] * 4
