@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tablecraft.llm import (
     bpe_tables,
     decontaminate_tables,
+    dialogue_tables,
     html_tables,
     pii_tables,
     quality,
@@ -168,3 +169,8 @@ def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_repeated_strings")
 def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_tables.remove(table(spark, sf_dir, "documents"))
+
+
+@query("op13_dialogue_repair")
+def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue_tables.report(table(spark, sf_dir, "conversations"))
