@@ -11,6 +11,7 @@ from tablecraft.llm import (
     decontaminate_tables,
     dialogue_tables,
     html_tables,
+    negatives_tables,
     pii_tables,
     quality,
     repeats_tables,
@@ -174,3 +175,33 @@ def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_dialogue_repair")
 def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue_tables.report(table(spark, sf_dir, "conversations"))
+
+
+NEGATIVES_SQL = """
+WITH numbers AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+), whole AS (
+  SELECT vec_id, label, list_transform(x, lambda y: floor(256 * y)) AS v FROM numbers
+  WHERE len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM whole a, whole b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id,
+  positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives_tables.mine(table(spark, sf_dir, "embeddings"))
