@@ -11,6 +11,7 @@ from tablecraft.llm import (
     decontaminate_tables,
     dialogue_tables,
     html_tables,
+    jaccard_tables,
     negatives_tables,
     pii_tables,
     quality,
@@ -205,3 +206,33 @@ QUALIFY row_number() OVER w <= 3
 @query("op12_hard_negatives", NEGATIVES_SQL)
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives_tables.mine(table(spark, sf_dir, "embeddings"))
+
+
+JACCARD_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, {WORDS_SQL.replace("coalesce(text, '')",
+    "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
+  FROM documents
+), grams AS (
+  SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS gram
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (
+  SELECT rid, count(*) AS n FROM grams GROUP BY rid
+), shared AS (
+  SELECT a.rid AS u, b.rid AS v, count(*) AS n_both FROM grams a JOIN grams b USING (gram) WHERE a.rid <> b.rid GROUP BY ALL
+), links AS (
+  SELECT u, v FROM shared JOIN sizes a ON a.rid = u JOIN sizes b ON b.rid = v WHERE 100 * n_both >= 80 * (a.n + b.n - n_both)
+), reach AS (
+  SELECT rid, rid AS other FROM docs
+  UNION
+  SELECT reach.rid, v FROM reach JOIN links ON other = u
+)
+SELECT docs.doc_id, coalesce(n, 0) AS n_shingles, min(others.doc_id) AS component_id
+FROM reach JOIN docs USING (rid) JOIN docs others ON others.rid = other LEFT JOIN sizes ON sizes.rid = docs.rid
+GROUP BY docs.rid, docs.doc_id, n
+"""
+
+
+@query("op11_jaccard_join", JACCARD_SQL)
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_tables.clusters(table(spark, sf_dir, "documents"))
