@@ -239,7 +239,7 @@ def _compare(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.Rec
 
     for batch in batches:
         for row in batch.to_pylist():
-            if held and any(row[k] != held[0][k] for k in ("key", "a", "b")):
+            if held and any(row[k] != held[0][k] for k in ("lead", "a", "b")):
                 if len(held) > 1:
                     yield pairs(held)
                 held = []
@@ -253,22 +253,24 @@ def between(shared: DataFrame, classes: DataFrame, groups: DataFrame, forest: bo
     rows = shared.join(groups, "name")
     mixed = (
         rows.groupBy("key")
-        .agg(F.count("*").alias("rows"), F.min("component").alias("one"), F.max("component").alias("two"))
-        .where("one <> two")
-        .select("key", F.ceil(F.col("rows") / tile_rows).cast("int").alias("parts"))
+        .agg(F.min("component").alias("lead"), F.max("component").alias("last"))
+        .where("lead <> last")
+        .select("key", "lead")
     )
-    own = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
+    # Buckets with one least group are one pool, in which a set lies once, not once per n-gram.
+    pools = rows.join(mixed, "key").select("lead", "name", "component").distinct()
+    parts = pools.groupBy("lead").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("parts"))
     dealt = (
-        rows.join(mixed, "key")
-        .withColumn("own", own)
+        pools.join(parts, "lead")
+        .withColumn("own", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
-            "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
+            "lead", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
             (F.col("own") > F.col("other")).cast("int").alias("side"), "name", "component",
         )
     )
     full = dealt.join(classes.select("name", "n", "bitmap"), "name")
-    keys = ["key", "a", "b"]
+    keys = ["lead", "a", "b"]
     return (
         full.repartition(*keys)
         .sortWithinPartitions(*keys)
