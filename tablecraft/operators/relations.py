@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
-from itertools import combinations_with_replacement
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablecraft.functions import moments
 from tablecraft.functions.cluster import local_table
 from tablecraft.functions.columns import (
-    literal,
     numeric_columns,
     present,
     present_sql,
@@ -21,8 +20,6 @@ from tablecraft.functions.columns import (
 from tablecraft.functions.ordered import cut_points, hold, join_buckets, quantiles, with_bucket
 
 CORRELATION_SCHEMA = "x string, y string, n long, corr double"
-#: Pairs of columns whose correlation is found in one scan.
-PAIRS_AT_ONCE = 40
 #: Normal quantile of a two-sided 95 % interval.
 Z95 = 1.96
 #: Whisker length in interquartile ranges.
@@ -140,34 +137,23 @@ def outliers(df: DataFrame, x: str, y: str) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """``x, y, n, corr`` for every ordered pair, over rows where both are present.
 
-    A column without variation correlates as NULL. Each pair's moments are taken about
-    the means of its own complete rows and merged across tasks, whatever the number of
-    columns; one scan serves PAIRS_AT_ONCE pairs, and only one row per task is shuffled.
+    A column without variation, seen over the rows of the pair, correlates as NULL, one
+    with an infinite value as NaN. One scan finds the moments of all pairs, whatever their number
+    (:mod:`tablecraft.functions.moments`); a second one is made only for pairs whose
+    rows lie far from the means of their columns.
     """
     names = numeric_columns(df) if cols is None else require_columns(df, cols, kinds=["numeric"])[0]
     if not names:
         return local_table(df.sparkSession, [], CORRELATION_SCHEMA)
     values = {name: f"CAST({text} AS DOUBLE)" for name, text in present_sql(df, names).items()}
-    pairs = list(combinations_with_replacement(names, 2))
-    blocks = [pairs[at : at + PAIRS_AT_ONCE] for at in range(0, len(pairs), PAIRS_AT_ONCE)]
-    return reduce(DataFrame.unionAll, [_correlations(df, values, block) for block in blocks])
-
-
-def _correlations(df: DataFrame, values: Mapping[str, str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Both orders of some pairs, from one global aggregate."""
-    aggregates, entries = [], []
-    for i, (a, b) in enumerate(pairs):
-        x, y = values[a], values[b]
-        own = {v: f"CASE WHEN {other} IS NOT NULL THEN {v} END" for v, other in ((x, y), (y, x))}
-        aggregates += [
-            f"count_if({x} IS NOT NULL AND {y} IS NOT NULL) AS n{i}",
-            f"try_divide(covar_pop({x}, {y}), stddev_pop({own[x]}) * stddev_pop({own[y]})) AS r{i}",
-            # Merged moments of a constant may differ from 0 by rounding; its range does not.
-            " AND ".join(f"min({v}) < max({v})" for v in own.values()) + f" AS v{i}",
-        ]
-        for first, second in {(a, b), (b, a)}:
-            entries.append(
-                f"struct({literal(first)} AS x, {literal(second)} AS y, n{i} AS n, "
-                f"CASE WHEN v{i} THEN r{i} END AS corr)"
-            )
-    return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(entries)}))")
+    n, corr = moments.correlations(df, values)
+    k = len(names)
+    found = pa.table(
+        {
+            "x": pa.array([x for x in names for _ in names]),
+            "y": pa.array(names * k),
+            "n": pa.array(n.ravel()),
+            "corr": pa.array(corr.ravel().tolist(), pa.float64()),
+        }
+    )
+    return df.sparkSession.createDataFrame(found).coalesce(1)
