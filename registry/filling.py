@@ -72,6 +72,43 @@ def fill_median_sketch(spark, sf):
     return missing.fill_median(gaps(spark, sf), NUMBERS).table
 
 
+WIDE_TYPES = {
+    "longs": "9007199254740993 + l_orderkey * 3",
+    "far": "4611686018427387904 + l_partkey",
+    "prices": "CAST(12345678901234567000 AS DECIMAL(30,2)) + CAST(l_extendedprice AS DECIMAL(12,2))",
+    "plain": "l_extendedprice",
+}
+
+
+@query("fill_median_wide_types", "\nUNION ALL ".join(
+    f"SELECT '{name}' AS \"column\", count(*) FILTER (l_orderkey % 7 <> 0) AS n, true AS own, true AS within FROM lineitem"
+    for name in WIDE_TYPES))
+def fill_median_wide_types(spark, sf):
+    """Medians of the default 1 % of columns whose values share doubles, held against the ranks of all rows."""
+    lines = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey % 7 = 0 AS gap",
+        *[f"CASE WHEN l_orderkey % 7 <> 0 THEN {text} END AS {name}" for name, text in WIDE_TYPES.items()],
+    )
+    filled = missing.fill_median(lines, list(WIDE_TYPES)).table
+    # Rows of a gap hold the median only.
+    medians = filled.where("gap").first()
+    held = {c: F.lit(medians[c]).cast(filled.schema[c].dataType) for c in WIDE_TYPES}
+    rows = lines.where(~F.col("gap"))
+    parts = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count(c).alias("n"),
+            (F.count_if(F.col(c) == held[c]) > 0).alias("own"),
+            (
+                (F.count_if(F.col(c) < held[c]) <= 0.51 * F.count(c))
+                & (F.count_if(F.col(c) <= held[c]) >= 0.49 * F.count(c))
+            ).alias("within"),
+        ).alias(c)
+        for c in WIDE_TYPES
+    ]
+    return rows.agg(F.array(*parts).alias("all")).selectExpr("inline(all)")
+
+
 def _mode(column: str) -> str:
     return (
         f"(SELECT {column} FROM gaps WHERE {column} IS NOT NULL "

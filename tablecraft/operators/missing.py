@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from decimal import Decimal, localcontext
 from functools import reduce
 from operator import or_
 from typing import Any, NamedTuple
@@ -38,6 +39,9 @@ class Prepared(NamedTuple):
     report: DataFrame
 
 
+#: Units of the last place below which a double gives back the long or decimal it was made from.
+EXACT_UNITS = 10**15
+
 REPORT_SCHEMA = "step string, column string, status string, value string"
 
 
@@ -114,7 +118,9 @@ def _finish(
 ) -> Prepared:
     values = {c: v for c, v in fitted.items() if v is not None}
     empty = [c for c, v in fitted.items() if v is None]
-    shown = {c: round(v, digits) if digits is not None else v for c, v in values.items()}
+    with localcontext() as exact:
+        exact.prec = 60
+        shown = {c: round(v, digits) if digits is not None else v for c, v in values.items()}
     return Prepared(_apply(df, values, widen), _report(df, step, shown, empty, ignored))
 
 
@@ -162,6 +168,87 @@ def _exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, Any]:
     return medians
 
 
+def _own(value: float, dtype: T.DataType) -> Any:
+    """A double as the long or decimal it was made from."""
+    if isinstance(dtype, T.DecimalType):
+        with localcontext() as exact:
+            exact.prec = 60
+            return Decimal(repr(value)).quantize(Decimal(1).scaleb(-dtype.scale))
+    return int(value)
+
+
+def _exact(value: float, dtype: T.DataType) -> bool:
+    """Whether no other long or decimal of this type has the same double."""
+    scale = dtype.scale if isinstance(dtype, T.DecimalType) else 0
+    return abs(value) * 10**scale < EXACT_UNITS
+
+
+def _own_literal(value: Any, dtype: T.DataType) -> str:
+    return f"CAST('{value:f}' AS {dtype.simpleString()})" if isinstance(dtype, T.DecimalType) else f"{value}L"
+
+
+def _sketched_medians(df: DataFrame, cols: Sequence[str], relative_error: float) -> dict[str, Any]:
+    """Medians with a rank off by ``relative_error`` at most, all columns together.
+
+    A sketch works on doubles, and large longs and decimals share one. So a double is
+    taken as their leading digits: where many rows share those of the median, the
+    remainders of these rows are sketched in turn, which are small enough to be exact.
+    One job for most tables, three for long columns, five at the most.
+    """
+    texts = present_sql(df, cols)
+    types = {c: dtype_of(df, c) for c in cols}
+    wide = [c for c in cols if isinstance(types[c], (T.LongType, T.DecimalType))]
+    fine = math.ceil(4 / relative_error)
+    row = df.selectExpr(
+        *[
+            f"percentile_approx(CAST({x} AS DOUBLE), 0.5, {fine})" if c in wide
+            else f"percentile_approx({x}, 0.5, {math.ceil(1 / relative_error)})"
+            for c, x in texts.items()
+        ],
+        *[f"count({texts[c]})" for c in wide],
+    ).first()
+    found = dict(zip(cols, row))
+    total = dict(zip(wide, row[len(cols) :]))
+    digits = {c: f"CAST({texts[c]} AS DOUBLE)" for c in wide}
+    within = {c: f"{texts[c]} IS NOT NULL" for c in wide}
+    base: dict[str, Any] = {}
+    below = dict.fromkeys(wide, 0)
+    sizes: dict[str, int] = {}
+    while wide:
+        leading = {c: found[c] for c in wide}
+        for c, digit in leading.items():
+            # Subtracting decimals of 38 digits may round the last one away.
+            rounded = c in base and getattr(types[c], "precision", 0) == 38
+            if digit is not None and _exact(digit, types[c]) and not rounded:
+                found[c] = base.get(c, 0) + _own(digit, types[c])
+        wide = [c for c in wide if found[c] is leading[c] and found[c] is not None]
+        if not wide:
+            break
+        parts = []
+        for c in wide:
+            here = f"{within[c]} AND {digits[c]} = {literal(leading[c])}"
+            parts += [
+                f"count_if({within[c]} AND {digits[c]} < {literal(leading[c])})", f"count_if({here})",
+                f"min(CASE WHEN {here} THEN {texts[c]} END)", f"max(CASE WHEN {here} THEN {texts[c]} END)",
+            ]
+            within[c] = here
+        row = df.selectExpr(*parts).first()
+        asked = []
+        for c, (less, same, least, most) in zip(list(wide), zip(*[iter(row)] * 4)):
+            below[c] += less
+            if least == most or 2 * same <= relative_error * total[c] or same == sizes.get(c):
+                found[c] = least
+                wide.remove(c)
+                continue
+            base[c], sizes[c] = least, same
+            digits[c] = f"CAST({texts[c]} - {_own_literal(least, types[c])} AS DOUBLE)"
+            share = min(max((total[c] + 1) // 2 - below[c], 1), same) / same
+            asked.append(f"percentile_approx(CASE WHEN {within[c]} THEN {digits[c]} END, {share!r}D, {fine})")
+        if asked:
+            found.update(zip(wide, df.selectExpr(*asked).first()))
+    return found
+
+
 def fill_median(
     df: DataFrame,
     cols: Sequence[str],
@@ -172,16 +259,13 @@ def fill_median(
     """Fill numeric columns with their median, which is one of their own values.
 
     Its rank may be off by ``relative_error``; 0 asks for the exact median.
-    The sketch sees all columns in one job, and the exact form counts values
+    The sketch sees all columns together, and the exact form counts values
     in parallel instead of gathering them in one place.
     """
     valid, ignored = require_columns(df, cols, strict, ["numeric"])
     fitted: dict[str, Any] = {}
     if valid and relative_error > 0:
-        accuracy = math.ceil(1 / relative_error)
-        texts = present_sql(df, valid).values()
-        row = df.selectExpr(*[f"percentile_approx({x}, 0.5, {accuracy})" for x in texts]).first()
-        fitted = dict(zip(valid, row))
+        fitted = _sketched_medians(df, valid, relative_error)
     elif valid:
         fitted = _exact_medians(df, valid)
     return _finish(df, "fill_median", fitted, ignored, widen, digits=4)

@@ -1,4 +1,5 @@
 import datetime
+import random
 from decimal import Decimal
 
 import pytest
@@ -138,3 +139,29 @@ def test_default_median_keeps_large_longs_and_decimals(spark):
     df = spark.createDataFrame([(big, exact), (None, None)], "n long, d decimal(30,2)")
     filled = missing.fill_median(df, ["n", "d"]).table
     assert [tuple(r) for r in filled.collect()] == [(big, exact), (big, exact)]
+
+
+def test_sketched_medians_stay_within_their_error(spark):
+    """Values that share their doubles, alone or between others, in every layout."""
+    rng = random.Random(8)
+    data = {
+        "close": [9007199254740993 + k for k in range(4000)],
+        "ends": [2**62 + k for k in range(3000)] + [-(2**62)] * 500 + [k for k in range(500)],
+        "one": [2**60 + 1] * 4000,
+        "exact": [Decimal(12345678901234567890) + Decimal(k) / 100 for k in range(4000)],
+        "long": [Decimal(10**37 + 7 * k).scaleb(-6) for k in range(4000)],
+        "plain": [float(k % 900) for k in range(4000)],
+        "few": [k % 3 for k in range(4000)],
+    }
+    for values in data.values():
+        rng.shuffle(values)
+    schema = "close long, ends long, one long, exact decimal(30,2), long decimal(38,6), plain double, few int"
+    df = spark.createDataFrame(list(zip(*data.values())) + [(None,) * 7], schema).repartition(6)
+    for error in (0.01, 0.1):
+        filled = missing.fill_median(df, list(data), relative_error=error).table
+        held = {c: set(v) for c, v in data.items()}
+        row = filled.exceptAll(df).first()
+        for name, values in data.items():
+            assert row[name] in held[name], name
+            less, same = sum(v < row[name] for v in values), sum(v == row[name] for v in values)
+            assert less <= (0.5 + error) * len(values) and less + same >= (0.5 - error) * len(values), name
