@@ -124,6 +124,39 @@ def build_features_scaled(spark, sf):
     return rounded(_elements(kept, "features", ["f0", "f1", "f2"]), ["f0", "f1", "f2"])
 
 
+def _slot(text: str, width: int) -> str:
+    return f"CAST('0x' || substr(md5(CAST({text} AS VARCHAR)), 1, 12) AS BIGINT) % {width}"
+
+
+@query("build_features_hashed", "WITH " + LINES + f"""
+SELECT l_orderkey, l_linenumber, label, l_quantity AS f0,
+       CAST({_slot("l_orderkey", 1000)} AS DOUBLE) AS f1, CAST({_slot("l_returnflag", 1000)} AS DOUBLE) AS f2
+FROM lines""")
+def build_features_hashed(spark, sf):
+    """A category per order: 150 000 of them at sf0.1, more than are ever listed."""
+    made, _ = features.build(lines(spark, sf), ["l_quantity"], ["l_orderkey", "l_returnflag"], hash_width=1000)
+    kept = made.select("l_orderkey", "l_linenumber", "label", "features")
+    return _elements(kept, "features", ["f0", "f1", "f2"])
+
+
+@query("onehot_hashed", "WITH " + GAPS + "SELECT c_custkey, " + ", ".join(
+    f"CAST(coalesce({_slot('c_mktsegment', 6)} = {k}, false) AS INTEGER) AS slot_{k}" for k in range(6)) + " FROM gaps")
+def onehot_hashed(spark, sf):
+    coded = encode.onehot_vector(gaps(spark, sf), ["c_mktsegment"], hash_width=6)
+    names = [f"slot_{k}" for k in range(6)]
+    plain = _elements(coded.select("c_custkey", "c_mktsegment_ohe"), "c_mktsegment_ohe", names)
+    return plain.withColumns({n: F.col(n).cast("int") for n in names})
+
+
+@query("hash_report", "\nUNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CAST(sum(n) AS BIGINT) AS categories, count(*) AS slots_used,
+       CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS sharing, max(n) AS largest_slot
+FROM (SELECT {_slot(c, 5000)} AS slot, count(DISTINCT {c}) AS n FROM lineitem GROUP BY ALL)"""
+    for c in ("l_orderkey", "l_partkey", "l_returnflag")))
+def hash_report(spark, sf):
+    return encode.hash_report(table(spark, sf, "lineitem"), ["l_orderkey", "l_partkey", "l_returnflag"], 5000)
+
+
 Z = "round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 4) + 0.0 AS {c}_standard"
 M = "round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), 4) + 0.0 AS {c}_minmax"
 

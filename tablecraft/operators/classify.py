@@ -14,11 +14,12 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StringIndexerModel
+from pyspark.ml.feature import SQLTransformer, StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecraft.functions.cluster import enable_checkpoints, local_table
+from tablecraft.operators.encode import MAX_LABELS
 from tablecraft.operators.evaluate import positive_score
 from tablecraft.operators.features import TEXT_PREFIX, fit_indexers, stages
 
@@ -70,21 +71,24 @@ def fit(
     categorical: Sequence[str] = (),
     encoding: str = "index",
     scale: bool | None = None,
+    max_labels: int = MAX_LABELS,
+    hash_width: int | None = None,
     **params: Any,
 ) -> PipelineModel:
     """Fit feature stages and learner together on training rows with a ``label``.
 
     Features are standardised for the linear SVM by default. Tree learners get
-    as many bins as the largest category needs. Rows missing a feature or the
-    label are left out.
+    as many bins as the largest listed category needs. With ``hash_width`` categories are
+    hashed to that many slots, which trees split like numbers, so that any number of
+    categories goes with the bins asked for. Rows missing a feature or the label are left out.
     """
     scale = learner == "linear_svm" if scale is None else scale
     needed = [*numeric, *categorical, "label"]
     rows = train.select(*needed).na.drop()
     if learner in TREES:
         enable_checkpoints(train.sparkSession)
-    indexers = fit_indexers(rows, categorical, encoding)
-    built = stages(numeric, categorical, encoding, scale, indexers=indexers)
+    indexers = fit_indexers(rows, categorical, encoding, max_labels, hash_width)
+    built = stages(numeric, categorical, encoding, scale, indexers=indexers, hash_width=hash_width)
     prepared = Pipeline(stages=built).fit(rows)
     if learner in TREES and encoding == "index":
         asked = params.get("maxBins", DEFAULTS[learner].get("maxBins", 32))
@@ -114,7 +118,7 @@ def score(model: PipelineModel, df: DataFrame, learner: str | None = None) -> Da
 
     Columns an earlier scoring left behind are replaced.
     """
-    predicted = model.transform(df.drop(*_outputs(model), "score")).drop(*_texts(model))
+    predicted = model.transform(df.drop(*_outputs(model, df), "score")).drop(*_texts(model))
     column = SCORE_COLUMN.get(learner or "")
     if column is None:
         column = "probability" if "probability" in predicted.columns else "rawPrediction"
@@ -127,10 +131,13 @@ def _texts(model: PipelineModel) -> list[str]:
     return [name for name in inputs if name.startswith(TEXT_PREFIX)]
 
 
-def _outputs(model: PipelineModel) -> list[str]:
+def _outputs(model: PipelineModel, df: DataFrame) -> list[str]:
     """Columns the stages of a fitted pipeline add."""
     names: list[str] = []
     for stage in model.stages:
+        if isinstance(stage, SQLTransformer):
+            # Texts and slots of categories, which come after the columns given.
+            names += stage.transform(df.limit(0)).columns[len(df.columns) :]
         for param in ("outputCol", "predictionCol", "probabilityCol", "rawPredictionCol"):
             if stage.hasParam(param) and stage.isDefined(param):
                 names.append(stage.getOrDefault(param))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorSlicer
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, SQLTransformer, StringIndexerModel, VectorSlicer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecraft.functions.cluster import local_table
@@ -192,7 +192,7 @@ def onehot(
         return df
     found = categories(df, valid, max_columns)
     if found is None:
-        raise ValueError(f"more than {max_columns} categories; use onehot_vector")
+        raise ValueError(f"more than {max_columns} categories; raise max_columns, or use onehot_vector")
     added = {}
     for name, values in found.items():
         column = present(df, name)
@@ -223,7 +223,7 @@ def fit_onehot_vector(
     texts = [f"__text_{i}" for i in range(len(cols))]
     indexers = fit_labels(df, cols, texts, indexed, max_labels)
     if indexers is None:
-        raise ValueError(f"more than {max_labels} categories; raise max_labels to list them")
+        raise ValueError(f"more than {max_labels} categories; raise max_labels to list them, or give hash_width")
     wide = [f"__wide_{i}" for i in range(len(cols))]
     stages: list = [text_stage(df, cols, texts), *indexers, OneHotEncoder(inputCols=indexed, outputCols=wide, dropLast=True)]
     for name, indexer, raw in zip(cols, indexers, wide):
@@ -234,8 +234,84 @@ def fit_onehot_vector(
     return Pipeline(stages=stages).fit(df)
 
 
-def onehot_vector(df: DataFrame, cols: Sequence[str], drop_last: bool = True) -> DataFrame:
-    """:func:`fit_onehot_vector` applied to the table it was fitted on."""
+def onehot_vector(
+    df: DataFrame,
+    cols: Sequence[str],
+    drop_last: bool = True,
+    max_labels: int = MAX_LABELS,
+    hash_width: int | None = None,
+) -> DataFrame:
+    """:func:`fit_onehot_vector` applied to the table it was fitted on.
+
+    With ``hash_width`` categories are not listed but hashed to that many slots, whatever
+    their number (:func:`hash_report` tells how many share one); all slots are kept.
+    """
     names, _ = require_columns(df, cols)
-    coded = fit_onehot_vector(df, names, drop_last).transform(df)
+    if hash_width is None:
+        coded = fit_onehot_vector(df, names, drop_last, max_labels).transform(df)
+    else:
+        slots = [f"__slot_{i}" for i in range(len(names))]
+        coded = hash_stage(df, names, slots, hash_width).transform(df)
+        coded = slot_encoder(df.sparkSession, slots, [f"{c}_ohe" for c in names], hash_width).transform(coded)
     return coded.select(*map(ref, df.columns), *[ref(f"{c}_ohe") for c in names])
+
+
+def _slot_sql(df: DataFrame, name: str, width: int) -> str:
+    """Slot of a category as SQL text: 48 bits of the md5 of its text; NULL has the slot ``width``."""
+    digits = f"conv(substring(md5({_label_sql(df, name)}), 1, 12), 16, 10)"
+    return f"CAST(coalesce(CAST({digits} AS BIGINT) % {width}, {width}) AS DOUBLE)"
+
+
+def _checked_width(width: int) -> int:
+    if width < 1:
+        raise ValueError("hash_width must be 1 or more")
+    return int(width)
+
+
+def hash_stage(df: DataFrame, cols: Sequence[str], outputs: Sequence[str], width: int) -> SQLTransformer:
+    """A stage that writes the slot of each category, 0 to ``width`` - 1; it holds no list and needs no fitting."""
+    width = _checked_width(width)
+    made = [f"{_slot_sql(df, name, width)} AS {quoted(out)}" for name, out in zip(cols, outputs)]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__")
+
+
+def slot_encoder(spark: SparkSession, inputs: Sequence[str], outputs: Sequence[str], width: int) -> OneHotEncoderModel:
+    """One 0/1 place per slot; the slot of NULL is all zeros. The width depends on nothing but the argument."""
+    slots = spark.range(_checked_width(width)).coalesce(1).select(*[F.col("id").cast("double").alias(c) for c in inputs])
+    encoder = OneHotEncoder(inputCols=list(inputs), outputCols=list(outputs), dropLast=True, handleInvalid="keep")
+    return encoder.fit(slots)
+
+
+def hash_encode(
+    df: DataFrame, cols: Sequence[str], width: int, suffix: str | None = None, strict: bool = True
+) -> DataFrame:
+    """Replace values by the slot their text is hashed to; NULL becomes ``width``. ``suffix`` writes new columns."""
+    valid, _ = require_columns(df, cols, strict)
+    width = _checked_width(width)
+    slots = {c: F.expr(_slot_sql(df, c, width)) for c in valid}
+    if suffix is None:
+        return df.withColumns(slots) if slots else df
+    return df.withColumns({c + suffix: slot for c, slot in slots.items()}) if slots else df
+
+
+def hash_report(df: DataFrame, cols: Sequence[str], width: int, strict: bool = True) -> DataFrame:
+    """Per column: categories, slots in use, categories that share a slot, most categories of a slot.
+
+    Distinct values are counted per column and slot by shuffles; none reaches the driver.
+    """
+    valid, _ = require_columns(df, cols, strict)
+    width = _checked_width(width)
+    if not valid:
+        return local_table(
+            df.sparkSession, [], "column string, categories long, slots_used long, sharing long, largest_slot long"
+        )
+    texts = df.selectExpr(*[f"{_label_sql(df, c)} AS {quoted(c)}" for c in valid])
+    distinct = texts.unpivot([], [ref(c) for c in valid], "column", "text").where("text IS NOT NULL").distinct()
+    digits = F.conv(F.substring(F.md5("text"), 1, 12), 16, 10).cast("long")
+    filled = distinct.groupBy("column", (digits % width).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    return filled.groupBy("column").agg(
+        F.sum("n").alias("categories"),
+        F.count(F.lit(1)).alias("slots_used"),
+        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("sharing"),
+        F.max("n").alias("largest_slot"),
+    )

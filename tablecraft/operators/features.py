@@ -50,19 +50,30 @@ def _index_names(categorical: Sequence[str], encoding: str) -> list[str]:
 
 
 def fit_indexers(
-    df: DataFrame, categorical: Sequence[str], encoding: str = "index", max_labels: int = encode.MAX_LABELS
+    df: DataFrame,
+    categorical: Sequence[str],
+    encoding: str = "index",
+    max_labels: int = encode.MAX_LABELS,
+    hash_width: int | None = None,
 ) -> list:
     """Stages that index categories of any type, fitted on ``df``.
 
     The category lists are kept at the driver and in the model, so the caller says with
-    ``max_labels`` how many there may be in all.
+    ``max_labels`` how many there may be in all. With ``hash_width`` there is no list:
+    categories are hashed to that many slots, and any number of them will do.
     """
     if not categorical:
         return []
+    if hash_width is not None:
+        names = _index_names(categorical, encoding)
+        hashed: list = [encode.hash_stage(df, categorical, names, hash_width)]
+        if encoding == "onehot":
+            hashed.append(encode.slot_encoder(df.sparkSession, names, [f"{c}_ohe" for c in categorical], hash_width))
+        return hashed
     texts = [f"{TEXT_PREFIX}{i}" for i in range(len(categorical))]
     fitted = encode.fit_labels(df, categorical, texts, _index_names(categorical, encoding), max_labels)
     if fitted is None:
-        raise ValueError(f"more than {max_labels} categories; raise max_labels to list them")
+        raise ValueError(f"more than {max_labels} categories; raise max_labels to list them, or give hash_width")
     return [encode.text_stage(df, categorical, texts), *fitted]
 
 
@@ -73,13 +84,14 @@ def stages(
     scale: bool = False,
     on_missing: str = "skip",
     indexers: Sequence = (),
+    hash_width: int | None = None,
 ) -> list:
     """Unfitted stages ending in the column ``features``.
 
     ``encoding``: ``index`` puts the label index of a category in the vector,
     ``onehot`` one 0/1 slot per known category (unseen ones are all zeros).
     ``scale`` standardises the whole vector. ``indexers`` come from
-    :func:`fit_indexers` for the same categorical columns.
+    :func:`fit_indexers` for the same categorical columns and ``hash_width``.
     """
     if encoding not in ("index", "onehot"):
         raise ValueError("encoding must be 'index' or 'onehot'")
@@ -91,7 +103,8 @@ def stages(
         built += indexers
         if onehot:
             wide = [f"{c}_ohe" for c in categorical]
-            built.append(OneHotEncoder(inputCols=indexed, outputCols=wide, dropLast=True))
+            if hash_width is None:
+                built.append(OneHotEncoder(inputCols=indexed, outputCols=wide, dropLast=True))
             indexed = wide
         inputs += indexed
     vector = "raw_features" if scale else "features"
@@ -110,14 +123,16 @@ def pipeline(
     encoding: str = "index",
     scale: bool = False,
     on_missing: str = "skip",
+    max_labels: int = encode.MAX_LABELS,
+    hash_width: int | None = None,
 ) -> Pipeline:
     """The stages of :func:`stages` as one pipeline, to be fitted on training rows.
 
-    Categories are listed here, from ``df``.
+    Categories are listed here, from ``df``, unless ``hash_width`` is given.
     """
     require_columns(df, [*numeric, *categorical])
-    indexers = fit_indexers(df, categorical, encoding)
-    return Pipeline(stages=stages(numeric, categorical, encoding, scale, on_missing, indexers))
+    indexers = fit_indexers(df, categorical, encoding, max_labels, hash_width)
+    return Pipeline(stages=stages(numeric, categorical, encoding, scale, on_missing, indexers, hash_width))
 
 
 def complete_rows(df: DataFrame, columns: Sequence[str], label_col: str) -> DataFrame:
@@ -135,11 +150,14 @@ def build(
     encoding: str = "index",
     scale: bool = False,
     on_missing: str = "skip",
+    max_labels: int = encode.MAX_LABELS,
+    hash_width: int | None = None,
 ) -> tuple[DataFrame, PipelineModel]:
     """The modelling table (``label`` and ``features`` added) and its fitted stages.
 
     ``skip`` drops rows with a missing feature or label; ``keep`` retains them
-    with NaN parts, for learners that accept NaN.
+    with NaN parts, for learners that accept NaN. At most ``max_labels`` categories are
+    listed; with ``hash_width`` any number is hashed to that many slots.
     """
     require_columns(df, [*numeric, *categorical])
     rows = (
@@ -147,8 +165,8 @@ def build(
         if on_missing == "keep"
         else complete_rows(df, [*numeric, *categorical], label_col)
     )
-    indexers = fit_indexers(rows, categorical, encoding)
-    built = stages(numeric, categorical, encoding, scale, on_missing, indexers)
+    indexers = fit_indexers(rows, categorical, encoding, max_labels, hash_width)
+    built = stages(numeric, categorical, encoding, scale, on_missing, indexers, hash_width)
     fitted = Pipeline(stages=built).fit(rows)
     columns = [*rows.columns, "features"]
     return fitted.transform(rows).select(*map(ref, columns)), fitted

@@ -11,6 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from tablecraft.operators import classify, curves, evaluate, split
+from tablecraft.operators.encode import MAX_LABELS
 from tablecraft.operators.features import complete_rows
 from tablecraft.sources import models
 
@@ -48,6 +49,8 @@ def run(
     encoding: str = "index",
     save_to: str | None = None,
     overwrite: bool = False,
+    max_labels: int = MAX_LABELS,
+    hash_width: int | None = None,
     **params: Any,
 ) -> Trained:
     """Drop incomplete rows, split, fit on training rows, score test rows, evaluate.
@@ -65,7 +68,9 @@ def run(
     else:
         train, test = split.random_split(rows, ratio, seed)
     with _kept(train):
-        model = classify.fit(train, learner, numeric, categorical, encoding, **params)
+        model = classify.fit(
+            train, learner, numeric, categorical, encoding, max_labels=max_labels, hash_width=hash_width, **params
+        )
     if save_to is not None:
         models.save(model, save_to, overwrite)
     scored = classify.score(model, test, learner).select(*keys, "label", "prediction", "score")

@@ -6,7 +6,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tablecraft.operators import encode, features, scale, split
+from tablecraft.operators import classify, encode, features, scale, split
 from tablecraft.plans import preparation
 
 
@@ -181,3 +181,53 @@ def test_preparation_reports_every_step(mixed):
     assert unchanged is mixed and nothing.count() == 0
     with pytest.raises(ValueError, match="step must be"):
         preparation.run(mixed, [("melt", {})])
+
+
+def test_hashed_categories_have_no_limit(spark):
+    """A million categories, hashed: features, a forest with 32 bins, and the report."""
+    df = spark.range(1_000_000).select(
+        F.concat(F.lit("name "), F.col("id")).alias("s"), (F.col("id") % 7).cast("double").alias("x"),
+        (F.col("id") % 7 > 3).cast("int").alias("y"),
+    )
+    made, fitted = features.build(df, ["x"], ["s"], label_col="y", encoding="onehot", hash_width=500)
+    assert made.select("features").first()[0].size == 501
+    told = encode.hash_report(df, ["s"], 500).first()
+    assert (told.categories, told.slots_used, told.sharing) == (1_000_000, 500, 1_000_000)
+    few = df.where("x < 6").limit(20_000)
+    model = classify.fit(
+        few.withColumnRenamed("y", "label"), "random_forest", ["x"], ["s"], hash_width=32, numTrees=3, maxDepth=3
+    )
+    assert model.stages[-1].getMaxBins() == 32
+    scored = classify.score(model, few)
+    assert scored.where("prediction <> y").count() == 0
+    # Scoring a scored table again replaces what the stages added.
+    assert classify.score(model, scored).columns == scored.columns
+    assert {r.feature for r in classify.feature_importance(model, few).collect()} == {"x", "s_encoded"}
+
+
+def test_hash_slots_and_missing_values(mixed):
+    coded = encode.hash_encode(mixed, ["s", "d"], 4)
+    assert coded.columns == mixed.columns
+    got = rows(coded)
+    assert got[2][1] == 4.0 and got[3][2] == 4.0 and got[0][1] == got[3][1]
+    assert all(0 <= v <= 4 for row in got for v in row[1:])
+    wide = encode.onehot_vector(mixed, ["s"], hash_width=4)
+    for row in wide.withColumn("a", vector_to_array("s_ohe")).collect():
+        assert len(row.a) == 4 and sum(row.a) == (row.s is not None)
+    again = encode.hash_encode(mixed, ["s"], 4, suffix="_slot")
+    assert [r.s_slot for r in again.collect()] == [r[1] for r in got]
+    with pytest.raises(ValueError, match="hash_width"):
+        encode.hash_encode(mixed, ["s"], 0)
+
+
+def test_limits_of_lists_are_the_callers(mixed):
+    labelled = mixed.withColumn("label", F.col("id") % 2)
+    for call in (
+        lambda n: features.build(labelled, ["id"], ["s"], max_labels=n),
+        lambda n: features.pipeline(labelled, ["id"], ["s"], max_labels=n),
+        lambda n: encode.onehot_vector(labelled, ["s"], max_labels=n),
+        lambda n: classify.fit(labelled, "logistic", ["id"], ["s"], max_labels=n),
+    ):
+        with pytest.raises(ValueError, match="max_labels"):
+            call(1)
+        call(2)
