@@ -29,6 +29,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The table as written to the shared folder, so that later jobs do not make it anew.
+
+    A session without such a folder gets the table as it is.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get(CHECKPOINT_SETTING, None):
+        return df
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def enable_checkpoints(spark: SparkSession) -> None:
     """Let iterative learners cut their lineage; keeps a folder already set.
 

@@ -22,11 +22,10 @@ from pyspark.sql import types as T
 
 from tablecraft.functions.cluster import local_table
 from tablecraft.functions.columns import dtype_of, ref
+from tablecraft.functions.texts import split_texts
 
 #: Upper bound of the bucket tables that are broadcast or ranked in one task.
 MAX_BUCKETS = 10_000
-#: Cut points for values without a numeric scale (evaluated by comparisons).
-TEXT_CUTS = 127
 #: Share of the rows that cut points are estimated from.
 CUT_SHARE = 0.02
 #: Rows of a per-group table that may be held by the driver and broadcast.
@@ -52,37 +51,13 @@ def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list:
         seen = df.select(ref(value).alias("value")).sample(CUT_SHARE, seed=7)
         found = seen.approxQuantile("value", shares, 1.0 / (4 * count))
         return sorted({c for c in found if math.isfinite(c)})
-    column = ref(value)
-    spread = F.pmod(F.xxhash64(column), F.lit(1 << 20))
-    border = F.substring(column, 1, HELD_TEXT) if isinstance(dtype_of(df, value), T.StringType) else column
-    picked = (
-        df.where(column.isNotNull())
-        .select(F.struct(spread.alias("spread"), border.alias("value")).alias("pick"))
-        .distinct()
-        .orderBy("pick")
-        .limit(8 * TEXT_CUTS)
-        .collect()
-    )
-    values = sorted({row.pick.value for row in picked})
-    step = max(1, math.ceil(len(values) / (TEXT_CUTS + 1)))
-    return values[step::step]
-
-
-def _comparison_bucket(column: Column, cuts: Sequence, first: int = 0) -> Column:
-    if not cuts:
-        return F.lit(first)
-    middle = len(cuts) // 2
-    return F.when(
-        column < F.lit(cuts[middle]), _comparison_bucket(column, cuts[:middle], first)
-    ).otherwise(_comparison_bucket(column, cuts[middle + 1 :], first + middle + 1))
+    raise TypeError(f"{value} has no numeric scale")
 
 
 def with_bucket(df: DataFrame, value: str, cuts: Sequence, out: str = "__bucket") -> DataFrame:
     """Add the number of cut points at or below the value."""
     if not cuts:
         return df.withColumn(out, F.lit(0))
-    if not isinstance(dtype_of(df, value), T.NumericType):
-        return df.withColumn(out, _comparison_bucket(ref(value), cuts))
     binner = Bucketizer(
         splits=[-math.inf, *cuts, math.inf], inputCol=value, outputCol=out, handleInvalid="keep"
     )
@@ -90,6 +65,20 @@ def with_bucket(df: DataFrame, value: str, cuts: Sequence, out: str = "__bucket"
     return binner.transform(df).withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(0)))
 
 
+def _bucketed(df: DataFrame, value: str, cuts: Sequence | None) -> DataFrame:
+    """Distinct values with the number of their ordered bucket, for any type that has an order."""
+    dtype = dtype_of(df, value)
+    if isinstance(dtype, T.NumericType):
+        return with_bucket(df, value, cut_points(df, value) if cuts is None else cuts)
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        return split_texts(df, value, df.count())
+    number = F.unix_micros(ref(value)) if isinstance(dtype, T.TimestampType) else (
+        ref(value).cast("int") if isinstance(dtype, T.BooleanType) else F.unix_date(ref(value).cast("date"))
+    )
+    rows = df.withColumn("__number", number.cast("double"))
+    return with_bucket(rows, "__number", cut_points(rows, "__number")).drop("__number")
+
+
 def small_rows(df: DataFrame, limit: int, characters: int | None = None) -> list | None:
     """All rows if there are at most ``limit`` with at most ``characters`` of text in all, else None.
 
@@ -143,8 +132,7 @@ def running_totals(
 
     ``df`` has one row per distinct, non-null ``value``.
     """
-    cuts = cut_points(df, value) if cuts is None else cuts
-    rows = with_bucket(df, value, cuts)
+    rows = _bucketed(df, value, cuts)
     order = F.desc if descending else F.asc
     # One row per bucket, so ranking the buckets in one task is cheap.
     before = Window.orderBy(order("__bucket")).rowsBetween(Window.unboundedPreceding, -1)

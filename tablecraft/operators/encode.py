@@ -9,7 +9,7 @@ from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, SQLTransformer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecraft.functions.cluster import local_table
+from tablecraft.functions.cluster import kept, local_table
 from tablecraft.functions.columns import dtype_of, is_fractional, present, present_sql, quoted, ref, require_columns
 from tablecraft.functions.ordered import HELD_TEXT, running_totals, small_rows
 from tablecraft.functions.reshape import melt
@@ -112,9 +112,9 @@ def _index_by_join(df: DataFrame, name: str, out: str) -> DataFrame:
     the rows.
     """
     values = df.select(present(df, name).alias("__value")).where(F.col("__value").isNotNull())
-    counted = values.groupBy("__value").agg(F.count(F.lit(1)).alias("__n"))
+    # Read by several jobs, so that all rows are shuffled once.
+    counted = kept(values.groupBy("__value").agg(F.count(F.lit(1)).alias("__n")), "values")
     sizes = counted.agg(F.count(F.lit(1)).alias("labels"), F.sum("__n").alias("rows")).first()
-    # Derived from the count so that all uses share one shuffle of the counts.
     ones = counted.withColumn("__one", F.least(F.col("__n"), F.lit(1)))
     ranked = running_totals(ones, "__value", ["__one"])
     index = ranked.select(

@@ -1,4 +1,6 @@
+import datetime
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -8,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tablecraft.functions import ordered
+from tablecraft.functions import ordered, texts
 
 
 @pytest.mark.parametrize("descending", [False, True])
@@ -31,6 +33,33 @@ def test_running_totals_over_text(spark):
     assert got == {w: i + 1 for i, w in enumerate(sorted(set(words)))}
 
 
+def test_buckets_of_texts_are_small_and_in_order(spark, monkeypatch):
+    """Long shared prefixes, prefixes within prefixes, a frequent digit, and texts that are prefixes of others."""
+    monkeypatch.setattr(texts, "BUCKET_TEXTS", 40)
+    rng = random.Random(4)
+    prefix = "ü" + "same start of all, " * 80
+    values = {prefix + f"{k:05d}" for k in range(3000)} | {prefix + "x" * k for k in range(60)}
+    values |= {f"{rng.random():.4f}" for _ in range(1500)} | {"", "a", "a\0", "a\0\0", "漢字", "\U0001f600"}
+    values |= {"frequent-" + prefix + "/" + "".join(rng.choices("ab", k=14)) for _ in range(1000)}
+    df = spark.createDataFrame([(v,) for v in values], "v string").withColumn("one", F.lit(1)).repartition(5)
+    rows = texts.split_texts(df, "v", len(values)).collect()
+    by_text = sorted(rows, key=lambda r: r.v.encode())
+    assert [r["__bucket"] for r in by_text] == sorted(r["__bucket"] for r in rows)
+    sizes = Counter(r["__bucket"] for r in rows)
+    assert max(sizes.values()) <= 40
+    got = {r.v: r.cum_one for r in ordered.running_totals(df, "v", ["one"]).collect()}
+    assert got == {r.v: k + 1 for k, r in enumerate(by_text)}
+    assert texts.split_texts(df.limit(0), "v", 0).count() == 0
+
+
+def test_running_totals_over_dates_and_booleans(spark):
+    days = [datetime.date(2020, 1, 1) + datetime.timedelta(d) for d in range(0, 900, 7)]
+    df = spark.createDataFrame([(d, 1) for d in days], "v date, one int")
+    for frame in (df, df.withColumn("v", F.col("v").cast("timestamp")), df.withColumn("v", F.col("v").cast("timestamp_ntz"))):
+        got = sorted((r.v, r.cum_one) for r in ordered.running_totals(frame, "v", ["one"]).collect())
+        assert [n for _, n in got] == list(range(1, len(days) + 1))
+
+
 def test_cut_points_ignore_infinities_and_need_no_rows(spark):
     df = spark.createDataFrame([(float("inf"),), (float("-inf"),)], "v double")
     assert ordered.cut_points(df, "v") == []
