@@ -195,6 +195,25 @@ def drop_duplicates_subset(spark, sf):
     return duplicates.drop(table(spark, sf, "documents"), ["text"], keep_by=["doc_id"])
 
 
+@query("duplicate_report_many", """
+SELECT count(*) AS total_rows, count(DISTINCT l_orderkey) AS unique_rows,
+       count(*) - count(DISTINCT l_orderkey) AS duplicate_count,
+       round((count(*) - count(DISTINCT l_orderkey)) * 100.0::DOUBLE / count(*), 2) AS duplicate_pct,
+       'l_orderkey' AS checked_cols, count(*) > count(DISTINCT l_orderkey) AS has_duplicates
+FROM lineitem""")
+def duplicate_report_many(spark, sf):
+    """Nearly every value repeats: 130 000 of them at sf0.1."""
+    return duplicates.report(table(spark, sf, "lineitem"), ["l_orderkey"])
+
+
+@query("drop_duplicates_many", """
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1""")
+def drop_duplicates_many(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return duplicates.drop(lines, ["l_orderkey"], keep_by=["l_linenumber"])
+
+
 @query("drop_duplicates_report", """
 SELECT count(*) AS rows_before, count(DISTINCT text) AS rows_after,
        count(*) - count(DISTINCT text) AS rows_removed FROM documents""")

@@ -1,11 +1,11 @@
 """Counting, reporting and removing duplicate rows.
 
-Equal rows have equal hashes, so a row whose hash occurs once is no duplicate.
-A first pass shuffles one hash per row; only rows with a repeated hash are then
-compared in full, found by a broadcast of those hashes when there are few of
-them. Otherwise all rows are compared. Comparing is a grouped aggregate with
-map-side combining, so a row that repeats in a third of the table costs one
-shuffled row per task.
+Equal rows have equal hashes, so a row whose hash occurs once is no duplicate. One pass
+shuffles a hash per row and keeps the repeated ones. From these a bit filter is put together
+by an aggregate and broadcast: its size does not grow with the table. Rows that do not pass
+it are no duplicates and stay where they are; the others are compared in full. Up to
+HELD_HASHES repeated hashes few others pass by chance; beyond, more rows are compared. Comparing is a grouped aggregate with map-side combining,
+so a row that repeats in a third of the table costs one shuffled row per task.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablecraft.functions.cluster import kept
 from tablecraft.functions.columns import ratio, ref, require_columns
-from tablecraft.functions.ordered import hold
 
-
-#: Repeated hashes that may be held by the driver and broadcast.
-HELD_HASHES = 100_000
+#: Repeated hashes that the filter has room for, with BITS_PER_HASH each; it is broadcast as 64-bit words.
+HELD_HASHES = 1_000_000
+BITS_PER_HASH = 16
 
 
 def _names(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
@@ -31,18 +31,31 @@ def _hash(names: Sequence[str]) -> Column:
     return F.xxhash64(*map(ref, names))
 
 
-def _repeated_hashes(df: DataFrame, names: Sequence[str]) -> DataFrame | None:
+def _repeated_hashes(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Hashes that several rows have, from one pass over the table."""
     counted = df.groupBy(_hash(names).alias("__hash")).agg(F.count(F.lit(1)).alias("n"))
-    return hold(counted.where(F.col("n") > 1).select("__hash"), HELD_HASHES)
+    return kept(counted.where("n > 1").select("__hash"), "repeated")
+
+
+def _place(hashed: Column) -> tuple[Column, Column]:
+    """Word and bit of a hash in the filter."""
+    bits = 1 << (BITS_PER_HASH * HELD_HASHES - 1).bit_length()
+    place = F.pmod(hashed, F.lit(bits))
+    return F.floor(place / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+
 
+def _passing(df: DataFrame, names: Sequence[str], hashes: DataFrame, pass_on: bool) -> DataFrame:
+    """Rows that may repeat another one or, without ``pass_on``, those that do not."""
+    word, bit = _place(F.col("__hash"))
+    words = hashes.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    mine, my_bit = _place(_hash(names))
+    met = (mine == F.col("__word")) & (F.col("__bits").bitwiseAND(my_bit) != 0)
+    return df.join(F.broadcast(words), met, "left_semi" if pass_on else "left_anti")
 
-def _extra(df: DataFrame, cols: Sequence[str] | None) -> DataFrame:
+
+def _extra(df: DataFrame, names: Sequence[str], hashes: DataFrame) -> DataFrame:
     """One row: rows in the table, and how many of them repeat an earlier one."""
-    names = _names(df, cols)
-    rows = df.select(*map(ref, names))
-    hashes = _repeated_hashes(rows, names)
-    if hashes is not None:
-        rows = rows.join(F.broadcast(hashes), _hash(names) == F.col("__hash"), "left_semi")
+    rows = _passing(df.select(*map(ref, names)), names, hashes, True)
     groups = rows.groupBy(*map(ref, names)).agg(F.count(F.lit(1)).alias("__n")).select("__n")
     none = F.lit(0).cast("long")
     extra = groups.agg(none.alias("total"), F.coalesce(F.sum(F.col("__n") - 1), none).alias("extra"))
@@ -50,15 +63,20 @@ def _extra(df: DataFrame, cols: Sequence[str] | None) -> DataFrame:
     return total.unionAll(extra).agg(F.sum("total").alias("total"), F.sum("extra").alias("extra"))
 
 
+def _extra_of(df: DataFrame, cols: Sequence[str] | None) -> DataFrame:
+    names = _names(df, cols)
+    return _extra(df, names, _repeated_hashes(df, names))
+
+
 def count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Rows that repeat an earlier one; NULLs equal each other, as do NaNs."""
-    return _extra(df, cols).select(F.col("extra").alias("duplicate_count"))
+    return _extra_of(df, cols).select(F.col("extra").alias("duplicate_count"))
 
 
 def report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Total, unique and duplicate rows with the share in percent (2 decimals)."""
     total, extra = F.col("total"), F.col("extra")
-    return _extra(df, cols).select(
+    return _extra_of(df, cols).select(
         total.alias("total_rows"),
         (total - extra).alias("unique_rows"),
         extra.alias("duplicate_count"),
@@ -81,14 +99,15 @@ def drop(
     the group survives. Rows with a hash of their own are passed on unmoved.
     """
     names = _names(df, cols)
+    return _dropped(df, names, keep_by, keep_last, _repeated_hashes(df, names))
+
+
+def _dropped(
+    df: DataFrame, names: Sequence[str], keep_by: Sequence[str] | None, keep_last: bool, hashes: DataFrame
+) -> DataFrame:
     order = require_columns(df, keep_by or [])[0]
-    hashes = _repeated_hashes(df, names)
-    if hashes is None:
-        return _drop_compared(df, names, order, keep_last)
-    known, mine = F.broadcast(hashes), _hash(names) == F.col("__hash")
-    single = df.join(known, mine, "left_anti")
-    repeated = df.join(known, mine, "left_semi")
-    return single.unionAll(_drop_compared(repeated, names, order, keep_last))
+    single = _passing(df, names, hashes, False)
+    return single.unionAll(_drop_compared(_passing(df, names, hashes, True), names, order, keep_last))
 
 
 def _drop_compared(
@@ -110,11 +129,27 @@ def _drop_compared(
     return kept.select(*[ref(c) if c in names else place[c].alias(c) for c in df.columns])
 
 
-def drop_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Rows before, after and removed by :func:`drop`, without running it."""
+def _drop_report(extra_of: DataFrame) -> DataFrame:
     total, extra = F.col("total"), F.col("extra")
-    return _extra(df, cols).select(
+    return extra_of.select(
         total.alias("rows_before"),
         (total - extra).alias("rows_after"),
         extra.alias("rows_removed"),
     )
+
+
+def drop_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Rows before, after and removed by :func:`drop`, without running it."""
+    return _drop_report(_extra_of(df, cols))
+
+
+def drop_with_report(
+    df: DataFrame,
+    cols: Sequence[str] | None = None,
+    keep_by: Sequence[str] | None = None,
+    keep_last: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`drop` and :func:`drop_report` from one pass over the hashes."""
+    names = _names(df, cols)
+    hashes = _repeated_hashes(df, names)
+    return _dropped(df, names, keep_by, keep_last, hashes), _drop_report(_extra(df, names, hashes))

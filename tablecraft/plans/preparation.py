@@ -37,8 +37,8 @@ def _drop_rows(df: DataFrame, cols: Sequence[str] | None = None) -> Prepared:
 
 
 def _drop_duplicates(df: DataFrame, cols: Sequence[str] | None = None, **options: Any) -> Prepared:
-    counts = duplicates.drop_report(df, cols)
-    return Prepared(duplicates.drop(df, cols, **options), _tell("drop_duplicates", counts))
+    table, counts = duplicates.drop_with_report(df, cols, **options)
+    return Prepared(table, _tell("drop_duplicates", counts))
 
 
 def _noted(name: str, operator, status: str):
