@@ -1,7 +1,7 @@
 """Byte-level BPE from a rank table: exact merges found by backtracking over longest matches.
 
 Bytes are written as Latin-1 characters, so that an Aho-Corasick automaton over
-the vocabulary gives, in one pass, the longest token ending at each place. Two
+the vocabulary gives, in one pass, the longest tokens one after the other. Two
 tokens may stand side by side in an encoding only if merging their joined bytes
 by rank would leave exactly those two; this is found by undoing the merges that
 meet at their border and is remembered per pair. An encoding in which all
@@ -18,7 +18,7 @@ import base64
 import ahocorasick
 import regex
 
-#: Encodings remembered per process; the memory holds at most so many short pieces.
+#: Encodings remembered per process; a memory holds at most so many short pieces, and the one before it as many.
 REMEMBERED = 200_000
 LONGEST_REMEMBERED = 40
 
@@ -62,8 +62,9 @@ class Encoder:
         self.automaton = ahocorasick.Automaton()
         for token, i in self.ids.items():
             if len(token) == 1 or self.parts[i] != (i, i):
-                self.automaton.add_word(token[::-1].decode("latin-1"), i)
+                self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
+        self.lengths = [len(token) for token in tokens]
 
     def _shorter(self, token: bytes) -> int:
         """The longest token that is a proper prefix, or -1."""
@@ -112,50 +113,62 @@ class Encoder:
             known = self.remembered[left, right] = self._stand_apart(left, right)
         return known
 
-    def longest(self, piece: bytes) -> list[int]:
-        """By place, the longest token that starts there: on the reversed text, the longest that ends."""
-        found = [-1] * len(piece)
-        last = len(piece) - 1
-        for end, i in self.automaton.iter(piece[::-1].decode("latin-1")):
-            start = last - end
-            if found[start] < 0 or len(self.tokens[i]) > len(self.tokens[found[start]]):
-                found[start] = i
-        return found
+    def longest(self, text: str, at: int) -> int:
+        """The longest token that starts at a place of a Latin-1 text."""
+        return next(self.automaton.iter_long(text, at))[1]
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of ``piece``: the ids that merging by lowest rank first leaves."""
         whole = self.ids.get(piece)
         if whole is not None:
             return [whole]
-        longest, tokens, shorter = self.longest(piece), self.tokens, self.shorter
-        open_places = bytearray(b"\1") * (len(piece) + 1)
-        out: list[int] = []
+        text = piece.decode("latin-1")
+        # The longest token at each place in turn; mostly all of them are compatible.
+        greedy = [token for _, token in self.automaton.iter_long(text)]
+        known = self.remembered.get
+        for place, pair in enumerate(zip(greedy, greedy[1:]), 1):
+            if not known(pair) and not self.compatible(*pair):
+                return self._backtracked(text, greedy, place)
+        return greedy
+
+    def _backtracked(self, text: str, greedy: list[int], agreed: int) -> list[int]:
+        """The encoding, found from the first ``agreed`` longest tokens, which are compatible, and the rest."""
+        lengths, shorter, size = self.lengths, self.shorter, len(text)
+        known = self.remembered.get
+        open_places = bytearray(b"\1") * (size + 1)
+        # Longest tokens by place, looked up where the search comes by.
+        longest: dict[int, int] = {}
         at = 0
-        token = longest[0] if piece else -1
-        while token >= 0 or at < len(piece):
-            end = at + len(tokens[token])
-            if open_places[end] and (not out or self.compatible(out[-1], token)):
+        for token in greedy:
+            longest[at] = token
+            at += lengths[token]
+        out = greedy[:agreed]
+        at, token = sum(lengths[t] for t in out), greedy[agreed]
+        while True:
+            end = at + lengths[token]
+            if open_places[end] and (not out or known((out[-1], token)) or self.compatible(out[-1], token)):
                 out.append(token)
                 at = end
-                if at == len(piece):
-                    break
-                token = longest[at]
+                if at == size:
+                    return out
+                token = longest.get(at, -1)
+                if token < 0:
+                    token = longest[at] = self.longest(text, at)
                 continue
             token = shorter[token]
             while token < 0:
                 open_places[at] = 0
                 token = out.pop()
-                at -= len(tokens[token])
+                at -= lengths[token]
                 token = shorter[token]
-        return out
 
 
 class Text:
     """Encodes whole texts: the pattern cuts pieces, each piece is encoded separately.
 
     With ``single_spaces`` the pattern is known to start a piece at every single
-    space between two other characters, as the patterns of public byte-level
-    vocabularies do. Texts are then cut at such spaces first and whole words are
+    space between two other characters, and to keep such a space and the letters A to Z
+    after it together, as the patterns of public byte-level vocabularies do. Texts are then cut at such spaces first and whole words are
     remembered; texts with other white space at a cut go through the pattern as
     they are.
     """
@@ -164,16 +177,27 @@ class Text:
         self.encoder = Encoder(tokens)
         self.pattern = regex.compile(pattern)
         self.single_spaces = single_spaces
+        # Each memory with the one before it, which still answers when the newer one is full.
         self.words: dict[str, str] = {}
+        self.older_words: dict[str, str] = {}
         self.known: dict[str, str] = {}
+        self.older_known: dict[str, str] = {}
         self.by_id = {str(i): token for i, token in enumerate(tokens) if token}
 
+    def _encoded(self, piece: str) -> str:
+        return ",".join(map(str, self.encoder.encode(piece.encode("utf-8", "replace"))))
+
     def _piece(self, piece: str) -> str:
         """Decimal ids joined by commas; short pieces are remembered."""
         ids = self.known.get(piece)
         if ids is None:
-            ids = ",".join(map(str, self.encoder.encode(piece.encode("utf-8", "replace"))))
-            self._remember(self.known, piece, ids)
+            ids = self.older_known.get(piece)
+            if ids is None:
+                ids = self._encoded(piece)
+            if len(piece) <= LONGEST_REMEMBERED:
+                if len(self.known) >= REMEMBERED:
+                    self.known, self.older_known = {}, self.known
+                self.known[piece] = ids
         return ids
 
     def _pieces(self, text: str) -> list[str]:
@@ -185,17 +209,17 @@ class Text:
         return ",".join(map(self._piece, self._pieces(text)))
 
     def _word(self, word: str) -> str:
-        ids = self._whole(" " + word)
-        self._remember(self.words, word, ids)
+        ids = self.older_words.get(word)
+        if ids is None:
+            # A space and letters are one piece; what else there is, the pattern cuts.
+            plain = word.isascii() and word.isalpha()
+            ids = self._encoded(" " + word) if plain else self._whole(" " + word)
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self.words) >= REMEMBERED:
+                self.words, self.older_words = {}, self.words
+            self.words[word] = ids
         return ids
 
-    @staticmethod
-    def _remember(memory: dict[str, str], key: str, ids: str) -> None:
-        if len(key) <= LONGEST_REMEMBERED:
-            if len(memory) >= REMEMBERED:
-                memory.clear()
-            memory[key] = ids
-
     def encode(self, text: str) -> str:
         """Ids of ``text`` in decimal, joined by commas."""
         words = text.split(" ")
