@@ -64,6 +64,15 @@ BESIDE_WORDS = frozenset(
     "recommendations newsletter subscribe subscription signup login search pagination pager skip toolbar widget "
     "copyright contentinfo complementary masthead topbar".split()
 )
+#: Words that may stand beside these in a name: 'main-nav', 'cookie-bar'. Any other word makes it another name.
+PLAIN_WORDS = frozenset(
+    "site main page global primary secondary top bottom left right box bar bars container wrapper wrap inner outer "
+    "section block area list item items link links button buttons unit slot post posts article form text title "
+    "header body content".split()
+)
+#: Words that are headings or parts of many articles and say nothing inside one.
+ARTICLE_WORDS = frozenset("discussion related side search share sharing overlay reply replies respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Also beside the main text, unless they are inside an article.
 BESIDE_OUTSIDE = frozenset(["header", "noscript"])
 
@@ -82,6 +91,7 @@ class Block:
     text: str
     main: bool  # inside an article or main element
     beside: bool  # inside a part that is not main text
+    wrapped: bool = False  # inside an article or main element that is inside a part with such a name
 
     @property
     def token(self) -> int:
@@ -106,14 +116,20 @@ def host(url: str | None) -> str:
         return ""
 
 
-def _words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+def _marked(value: str, but: frozenset[str] = frozenset()) -> bool:
+    """Whether one of the names in a class, id or role is made of words for parts beside the text, and plain ones."""
+    for name in value.lower().split():
+        words = set(_WORD.findall(name))
+        beside = (words & BESIDE_WORDS) - but
+        if beside and not words - BESIDE_WORDS - PLAIN_WORDS:
+            return True
+    return False
 
 
 class _Open:
     """An element that is open: its name, its path and what it says about its text."""
 
-    __slots__ = ("name", "path", "main", "beside", "foreign", "block")
+    __slots__ = ("name", "path", "main", "article", "beside", "wrapped", "foreign", "block")
 
     def __init__(self, name: str, attributes: str, parent: _Open | None):
         marks = _MARK.findall(attributes) if "=" in attributes else []
@@ -123,12 +139,23 @@ class _Open:
         self.path = number(parent.path if parent else OUTSIDE, f"{name}.{shown}")
         inside = bool(parent and parent.main)
         self.main = inside or name in MAIN
-        marked = any(_words(v) & BESIDE_WORDS for _, v in values) and name not in ("html", "body")
+        self.article = bool(parent and parent.article) or name == "article"
+        if name in MAIN or name in HEADINGS or name in ("html", "body"):
+            marked = False
+        elif self.article:
+            # An id inside an article is a place to link to.
+            marked = any(_marked(v, ARTICLE_WORDS) for k, v in values if k != "id")
+        else:
+            marked = any(_marked(v) for _, v in values)
         self.foreign = bool(parent and parent.foreign) or name in FOREIGN
+        below = bool(parent and parent.beside)
         self.beside = (
-            bool(parent and parent.beside) or name in BESIDE or marked or (name in BESIDE_OUTSIDE and not inside)
+            below or name in BESIDE or marked or (name in BESIDE_OUTSIDE and not inside)
             or (name in NOTES and self.foreign)
         )
+        # Only the names of parts around an article or main element count against it.
+        named = bool(parent and parent.wrapped) or (marked and not below and not inside)
+        self.wrapped = named and not (name in BESIDE or (marked and inside) or (below and not parent.wrapped))
         # The innermost element that is not inline: text in here belongs to it.
         self.block = self if name not in INLINE else parent.block if parent else None
 
@@ -158,7 +185,9 @@ class _Parser:
         if text:
             at = self.owner
             path = at.path if at else OUTSIDE
-            self.blocks.append(Block(path, text, bool(at and at.main), bool(at and at.beside)))
+            self.blocks.append(
+                Block(path, text, bool(at and at.main), bool(at and at.beside), bool(at and at.main and at.wrapped))
+            )
 
     def _close_from(self, k: int) -> None:
         for element in self.opened[k:]:
@@ -246,6 +275,8 @@ def main_text(page: str | None, template: frozenset[int]) -> str:
     element is never part of it. Where the page has such an element with text, only slots
     inside it count.
     """
-    slots = [b for b in parse(page).blocks if not b.beside and (b.main or b.token not in template)]
-    inside = [b for b in slots if b.main]
+    blocks = parse(page).blocks
+    slots = [b for b in blocks if not b.beside and (b.main or b.token not in template)]
+    # Where all articles lie inside a part with a telling name, it is the name of their wrapper.
+    inside = [b for b in slots if b.main] or [b for b in blocks if b.wrapped]
     return " ".join(b.text for b in (inside or slots))

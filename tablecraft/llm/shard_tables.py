@@ -5,6 +5,12 @@ task differences each part into one partial partition (a sum per shard). Partial
 partitions are then combined the same way, again in tasks while there are over
 DRIVER_PARTS of them, and at last on the driver, which sees one sum per part and shard,
 never a group.
+
+Parts that are even cannot make up for a group larger than a part's share of a shard. Such
+groups, of which there are at most parts times shards, are placed first, in the same way. So
+many of the parts are then held back as weigh twice what the lighter shards lack; they begin
+with what the shards hold already, and their groups fill up the lighter ones. The last of them is
+placed when all else is, and makes up for what small differences have added up to.
 """
 
 from __future__ import annotations
@@ -47,15 +53,69 @@ def _combined(shards: int):
     return run
 
 
-def placed(groups: DataFrame, shards: int, workspace: Workspace, part_groups: int, driver_parts: int) -> DataFrame:
+def _filled(shards: int, loads: list[int], parts: int):
+    """(key, bytes, shard) of the groups of one part, beside its share of the ``loads`` of the shards."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        part = int(rows["part"].iloc[0])
+        begun = [load // parts + (part < load % parts) for load in loads]
+        rows = rows.sort_values(["bytes", "key"], ascending=[False, True], kind="stable")
+        slots = difference([begun, *([size] for size in rows["bytes"].tolist())], shards)
+        shard_at = {slot: shard for shard, slot in enumerate(slots[0])}
+        return rows.assign(shard=[shard_at[s[0]] for s in slots[1:]])[["key", "bytes", "shard"]]
+
+    return run
+
+
+def placed(
+    groups: DataFrame, shards: int, workspace: Workspace, part_groups: int, driver_parts: int, depth: int = 0
+) -> DataFrame:
     """(key, shard) of groups (key, bytes)."""
+    size = groups.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    parts = max(1, -(-size["n"] // part_groups))
+    large = groups.where(F.col("bytes") > (size["bytes"] or 0) / (parts * shards))
+    n_large = large.count() if parts > 1 else 0
+    # Parts of few groups beside the number of shards have no groups that are small.
+    if not 0 < 2 * n_large <= size["n"]:
+        return _combined_parts(groups, parts, shards, workspace, driver_parts, depth)
+    large = workspace.keep(large, f"large-{depth}")
+    first = workspace.keep(placed(large, shards, workspace, part_groups, driver_parts, depth + 1), f"first-{depth}")
+    first = large.join(first, "key").select("key", "bytes", "shard")
+    parts = max(1, -(-(size["n"] - n_large) // part_groups))
+    rest = groups.join(first, "key", "left_anti").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+
+    def weights(found: DataFrame) -> list[int]:
+        sums = {r["shard"]: r["bytes"] for r in found.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()}
+        return [sums.get(k, 0) for k in range(shards)]
+
+    def filled(rows: DataFrame, others: DataFrame, parts: int, name: str) -> DataFrame:
+        run = _filled(shards, weights(others), parts)
+        found = rows.groupBy("part").applyInPandas(run, "key binary, bytes long, shard int")
+        return workspace.keep(found, f"{name}-{depth}")
+
+    loads = weights(first)
+    left = size["bytes"] - sum(loads)
+    lacking = sum(max(loads) - load for load in loads)
+    held = max(1, min(parts, -(-2 * lacking * parts // max(left, 1))))
+    if held < parts:
+        free = workspace.keep(rest.where(F.col("part") >= held).select("key", "bytes"), f"free-{depth}")
+        even = _combined_parts(free, parts - held, shards, workspace, driver_parts, depth)
+        first = first.unionAll(workspace.keep(free.join(even, "key").select("key", "bytes", "shard"), f"even-{depth}"))
+    if held > 1:
+        first = first.unionAll(filled(rest.where((F.col("part") > 0) & (F.col("part") < held)), first, held, "held"))
+    return first.unionAll(filled(rest.where("part = 0"), first, 1, "last")).select("key", "shard")
+
+
+def _combined_parts(
+    groups: DataFrame, parts: int, shards: int, workspace: Workspace, driver_parts: int, depth: int
+) -> DataFrame:
+    """(key, shard) of groups of which none outweighs the others of its part."""
     spark = groups.sparkSession
-    parts = max(1, -(-groups.count() // part_groups))
     now = workspace.keep(
         groups.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
         .groupBy("part")
         .applyInPandas(_differenced(shards), "key binary, bytes long, part long, slot int"),
-        "parts-0",
+        f"parts-{depth}",
     )
     sums = now.groupBy("part", "slot").agg(F.sum("bytes").alias("bytes"))
     now, level = now.select("key", "part", "slot"), 0
@@ -65,7 +125,7 @@ def placed(groups: DataFrame, shards: int, workspace: Workspace, part_groups: in
             sums.withColumn("next_part", F.pmod(F.xxhash64("part", F.lit(level)), F.lit(parts)))
             .groupBy("next_part")
             .applyInPandas(_combined(shards), "part long, slot int, bytes long, next_part long, next_slot int"),
-            f"steps-{level}",
+            f"steps-{depth}-{level}",
         )
         now = now.join(steps.drop("bytes"), ["part", "slot"]).select(
             "key", F.col("next_part").alias("part"), F.col("next_slot").alias("slot")

@@ -105,3 +105,28 @@ def test_small_hosts_and_layouts_have_templates(spark):
     pages = spark.createDataFrame([(k, url, html) for k, (url, html, _) in enumerate(rows)], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in html_tables.extract(pages).collect()}
     assert got == {k: text for k, (_, _, text) in enumerate(rows)}
+
+
+def test_names_of_wrappers_and_parts_of_an_article():
+    """Whole names count, not words in them; nothing but real parts beside the text goes."""
+    kept = {
+        "<div class='layout has-sidebar'><article><p>Hello</p></article></div>": "Hello",
+        "<article class='post no-comments'><p>Hello</p></article>": "Hello",
+        "<article><section class='side-effects'><p>a</p></section></article>": "a",
+        "<article><h2 id='related-work'>b</h2><h2 id='discussion'>c</h2><h3 class='comments'>d</h3></article>": "b c d",
+        "<article><div class='search-results-table'>e</div><figure class='share-price'>f</figure></article>": "e f",
+        "<article><section class='discussion' id='comments'><p>g</p></section></article>": "g",
+        "<div class='page sidebar'><main><p>h</p><form>no</form></main></div>": "h",
+        "<div id='content' class='with-nav'><p>i</p></div>": "i",
+        "<div class='sidebar'><article><p>teaser</p></article></div><article><p>j</p></article>": "j",
+    }
+    for inside, text in kept.items():
+        assert html_blocks.main_text(f"<body>{inside}</body>", NONE) == text, inside
+    gone = ["<div class='cookie-notice'>x</div>", "<div id='comments'>x</div>", "<ul class='main-nav'><li>x</ul>",
+            "<div class='post-comments'>x</div>", "<div role='complementary'>x</div>", "<div class='ad'>x</div>",
+            "<div class='sidebar-left'><p>x</p></div>", "<div class='ad-slot'>x</div>", "<form>x</form>"]
+    for beside in gone:
+        assert html_blocks.main_text(f"<body>{beside}<article><p>a</p></article></body>", NONE) == "a", beside
+        assert html_blocks.main_text(f"<body><p>a</p>{beside}</body>", NONE) == "a", beside
+    for beside in ("<div class='comments'>x</div>", "<div class='ad'>x</div>", "<aside>x</aside>", "<form>x</form>"):
+        assert html_blocks.main_text(f"<article><p>a</p>{beside}<p>b</p></article>", NONE) == "a b", beside

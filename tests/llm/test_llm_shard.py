@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import edges
 from tablecraft.llm import shard_tables
-from tablecraft.llm.common import table
+from tablecraft.llm.common import Workspace, table
 from tablecraft.llm.shard import difference
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -71,3 +71,33 @@ def test_odd_rows(spark):
     docs = edges.documents(spark)
     check(shard_tables.by_bytes(docs).collect(), docs)
     assert shard_tables.by_bytes(edges.empty(spark)).count() == 0
+
+
+def spread_of(groups, spark, shards=40, **options):
+    """Largest less smallest sum, and the largest group."""
+    frame = spark.createDataFrame([(k.to_bytes(8, "big"), n) for k, n in enumerate(groups)], "key binary, bytes long")
+    options = {"part_groups": 2000, "driver_parts": 1000} | options
+    found = shard_tables.placed(frame, shards, Workspace(spark, "test"), **options).collect()
+    assert len({bytes(r["key"]) for r in found}) == len(found) == len(groups)
+    sums = [0] * shards
+    for r in found:
+        sums[r["shard"]] += groups[int.from_bytes(r["key"], "big")]
+    return max(sums) - min(sums)
+
+
+def test_many_parts_stay_even(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    sums = defaultdict(int)
+    for r in shard_tables.by_bytes(docs).select("shard", "size").collect():
+        sums[r["shard"]] += r["size"]
+    assert len(sums) == 40 and max(sums.values()) - min(sums.values()) <= 1000
+    rng = random.Random(9)
+    groups = [min(50_000, int(rng.paretovariate(1.2) * 100)) for _ in range(12_000)]
+    share = sum(groups) // 40
+    assert max(groups) < share
+    # Parts in tasks, combined in tasks, with large groups entering at every level.
+    assert spread_of(groups, spark) <= 1000
+    assert spread_of(groups, spark, part_groups=300, driver_parts=3) <= 1000
+    # A hot group of a third of all bytes is a shard by itself; the others are even.
+    hot = sum(groups) // 2
+    assert spread_of([*groups, hot], spark) <= hot - (sum(groups) // 39) + 1000
