@@ -58,6 +58,36 @@ def mean_by_groups(spark, sf):
     return rounded(found, MEAN_COLUMNS)
 
 
+def _drawn(uniform: str) -> str:
+    share, cases = 0.0, []
+    for k, p in enumerate(relations.POISSON):
+        share += p
+        cases.append(f"WHEN {uniform} < {share!r}::DOUBLE THEN {k}")
+    return f"CASE {' '.join(cases)} ELSE {len(relations.POISSON)} END"
+
+
+@query("bootstrap_mean_by_groups", "WITH " + SALES + """, rows AS (
+  SELECT segment, priority, price, md5(concat_ws(':', o_orderkey, '42')) AS h FROM sales),
+drawn AS (
+  SELECT segment, priority, price, replicate,
+         ((CAST('0x' || substr(h, 1, 8) AS BIGINT) + replicate * CAST('0x' || substr(h, 9, 8) AS BIGINT)) % 4294967296)
+           / 4294967296.0::DOUBLE AS u
+  FROM rows, (SELECT unnest(range(1, 51)) AS replicate)),
+means AS (
+  SELECT segment, priority, replicate, sum(w * price) / sum(w) AS m
+  FROM (SELECT *, """ + _drawn("u") + """ AS w FROM drawn) GROUP BY ALL),
+ends AS (
+  SELECT segment, priority, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM means GROUP BY ALL)
+SELECT segment AS x, priority AS hue, count(*) AS count, round(avg(price), 4) AS mean,
+       round(any_value(lo), 4) AS ci_low, round(any_value(hi), 4) AS ci_high
+FROM rows JOIN ends USING (segment, priority) GROUP BY segment, priority""")
+def bootstrap_mean_by_groups(spark, sf):
+    found = relations.bootstrap_mean_by_groups(
+        sales(spark, sf), "segment", "price", "o_orderkey", "priority", replicates=50
+    )
+    return rounded(found, ["mean", "ci_low", "ci_high"])
+
+
 FILLED_MEANS = "WITH " + GAPS + """,
 filled AS (
   SELECT coalesce(c_acctbal, (SELECT quantile_disc(c_acctbal, 0.5) FROM gaps)) AS balance,

@@ -121,6 +121,53 @@ def auc(spark, sf):
     return rounded(curves.auc(_scored(spark, sf)), ["auc"], 6)
 
 
+EDGES = [k / 20 for k in range(1, 30)]
+BINNED = """,
+bins AS (
+  SELECT min(score) AS threshold, count(*) FILTER (label = 1) AS tp, count(*) FILTER (label <> 1) AS fp
+  FROM lines GROUP BY """ + " + ".join(f"CAST(score >= {e} AS INTEGER)" for e in EDGES) + """),
+down AS (
+  SELECT *, sum(tp) OVER w AS ctp, sum(fp) OVER w AS cfp, sum(tp) OVER () AS p, sum(fp) OVER () AS n
+  FROM bins WINDOW w AS (ORDER BY threshold DESC))
+"""
+
+
+@query("roc_binned", "WITH " + LINES + BINNED + """
+SELECT threshold, round(cfp / n, 4) AS fpr, round(ctp / p, 4) AS tpr FROM down
+UNION ALL SELECT 'inf'::DOUBLE, 0.0, 0.0""")
+def roc_binned(spark, sf):
+    return rounded(curves.binned(_scored(spark, sf), edges=EDGES).roc, ["fpr", "tpr"])
+
+
+@query("pr_binned", "WITH " + LINES + BINNED + """
+SELECT threshold, round(ctp / p, 4) AS recall, round(ctp / (ctp + cfp), 4) AS precision FROM down""")
+def pr_binned(spark, sf):
+    return rounded(curves.binned(_scored(spark, sf), edges=EDGES).pr, ["recall", "precision"])
+
+
+@query("auc_binned", "WITH " + LINES + BINNED + """
+SELECT round(sum(fp * (ctp - tp / 2)) / (any_value(p)::DOUBLE * any_value(n)), 6) AS auc,
+       round(sum(fp * tp / 2) / (any_value(p)::DOUBLE * any_value(n)), 6) AS error FROM down""")
+def auc_binned(spark, sf):
+    return rounded(curves.binned(_scored(spark, sf), edges=EDGES).auc, ["auc", "error"], 6)
+
+
+@query("binned_curves_hold", "SELECT true AS few, 0::BIGINT AS off_curve, true AS within, true AS small")
+def binned_curves_hold(spark, sf):
+    """With ranges of its own choice: points on the exact curve, the exact area within the error."""
+    scored = lines(spark, sf).withColumn("score", F.col("l_extendedprice") / F.col("l_quantity"))
+    found = curves.binned(scored, bins=100)
+    exact = curves.roc(scored).withColumnsRenamed({"fpr": "f", "tpr": "t"})
+    points = found.roc.join(exact, "threshold", "left")
+    off = (F.abs(F.col("fpr") - F.col("f")) < 1e-12) & (F.abs(F.col("tpr") - F.col("t")) < 1e-12)
+    facts = points.agg(
+        (F.count(F.lit(1)) <= 101).alias("few"), F.count_if(~F.coalesce(off, F.lit(False))).alias("off_curve")
+    )
+    area, bound = found.auc.first()
+    apart = abs(curves.auc(scored).first()["auc"] - area)
+    return facts.select("*", F.lit(apart <= bound).alias("within"), F.lit(bound < 0.01).alias("small"))
+
+
 @query("metric_report", "WITH " + LINES + "," + classes() + "," + steps() + metric_rows() + f"""
 UNION ALL SELECT 'auc', round({AREA}, 4) FROM steps""")
 def metric_report(spark, sf):

@@ -21,6 +21,9 @@ from tablecraft.functions.reshape import as_text, melt
 
 #: Beyond this many bandwidths the kernel is 0 in double precision, so that nothing is left out.
 KERNEL_REACH = 38.7
+#: Width of a cell of the density estimate in bandwidths, and the moments kept of its values.
+CELL = 0.1
+MOMENTS = 5
 
 
 def value_counts(
@@ -152,14 +155,17 @@ def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 30)
     return inside.unionAll(outside)
 
 
-def kde(df: DataFrame, cols: Sequence[str] | None = None, grid: int = 200) -> DataFrame:
+def kde(
+    df: DataFrame, cols: Sequence[str] | None = None, grid: int = 200, exact: bool = False
+) -> DataFrame:
     """``column, x, density``: Gaussian density on ``grid`` points over the range.
 
-    Scott's bandwidth. The estimate is exact to double precision: every value
-    contributes to the grid points within reach of its kernel, summed map side,
-    so only one partial sum per task and grid point is shuffled. Columns with
-    fewer than two distinct values have no density and give no rows; infinite values
-    have no place on the grid and are left out of the estimate.
+    Scott's bandwidth. Values are gathered in cells of CELL bandwidths with their moments up
+    to the MOMENTS-th, from which the kernels of all values of a cell are summed at once; what
+    this leaves out is below 1e-9 of the kernel's height. Only one row per task and used
+    cell is shuffled. With ``exact`` every value adds its own kernel to the grid points within
+    reach. Columns with fewer than two distinct values have no density and give no rows;
+    infinite values have no place on the grid and are left out of the estimate.
     """
     names = _numeric(df, cols)
     fits = []
@@ -194,6 +200,8 @@ def kde(df: DataFrame, cols: Sequence[str] | None = None, grid: int = 200) -> Da
         )
     long = df.select(*packed)
     long = long.unpivot([], long.columns, "__p", "p").select("p.*").where("value is not null")
+    if not exact:
+        return _placed_on(frame, _cell_sums(long, grid))
     middle = (F.col("value") - F.col("lo")) / F.col("step")
     reach = F.lit(KERNEL_REACH) * F.col("width") / F.col("step")
     first = F.greatest(F.ceil(middle - reach), F.lit(0)).cast("int")
@@ -205,9 +213,47 @@ def kde(df: DataFrame, cols: Sequence[str] | None = None, grid: int = 200) -> Da
         .groupBy("column", "point")
         .agg(F.sum(F.exp(-0.5 * offset * offset) / F.col("norm")).alias("density"))
     )
+    return _placed_on(frame, sums)
+
+
+def _placed_on(frame: DataFrame, sums: DataFrame) -> DataFrame:
     # Both sides hold at most (number of columns x grid) rows.
     return (
         frame.join(F.broadcast(sums), ["column", "point"], "left")
         .fillna(0.0, ["density"])
         .select("column", "x", "density")
     )
+
+
+def _cell_sums(long: DataFrame, grid: int) -> DataFrame:
+    """``column, point, density`` from moments of cells.
+
+    With u the distance of a grid point from the middle of a cell and d that of a value,
+    both in bandwidths, exp(-(u - d)^2 / 2) is exp(-u^2 / 2) times the sum over k of
+    d^k / k! He_k(u), He_k being the Hermite polynomials.
+    """
+    size = F.lit(CELL) * F.col("width")
+    cell = F.floor((F.col("value") - F.col("lo")) / size)
+    placed = long.withColumn("cell", cell).withColumn(
+        "d", (F.col("value") - F.col("lo") - (F.col("cell") + 0.5) * size) / F.col("width")
+    )
+    power = [F.lit(1.0)]
+    for _ in range(MOMENTS):
+        power.append(power[-1] * F.col("d"))
+    fitted = ["column", "lo", "step", "width", "norm"]
+    cells = placed.groupBy(*fitted, "cell").agg(*[F.sum(p).alias(f"m{k}") for k, p in enumerate(power)])
+    middle = F.col("lo") + (F.col("cell") + 0.5) * size
+    reach = F.lit(KERNEL_REACH + CELL) * F.col("width")
+    first = F.greatest(F.ceil((middle - reach - F.col("lo")) / F.col("step")), F.lit(0)).cast("int")
+    last = F.least(F.floor((middle + reach - F.col("lo")) / F.col("step")), F.lit(grid - 1)).cast("int")
+    spread = cells.where(first <= last).withColumn("point", F.explode(F.sequence(first, last)))
+    u = (F.col("lo") + F.col("point") * F.col("step") - middle) / F.col("width")
+    spread = spread.withColumn("u", u)
+    # He_0 = 1, He_1 = u, He_k+1 = u He_k - k He_k-1.
+    hermite = [F.lit(1.0), F.col("u")]
+    for k in range(1, MOMENTS):
+        hermite.append(F.col("u") * hermite[k] - F.lit(float(k)) * hermite[k - 1])
+    terms = sum((F.col(f"m{k}") * hermite[k] / F.lit(float(math.factorial(k))) for k in range(1, MOMENTS + 1)), F.col("m0"))
+    return spread.groupBy("column", "point").agg(
+        F.sum(F.exp(-0.5 * F.col("u") * F.col("u")) * terms / F.col("norm")).alias("density")
+    )

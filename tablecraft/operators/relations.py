@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecraft.functions import moments
@@ -22,6 +25,8 @@ from tablecraft.functions.ordered import cut_points, hold, join_buckets, quantil
 CORRELATION_SCHEMA = "x string, y string, n long, corr double"
 #: Normal quantile of a two-sided 95 % interval.
 Z95 = 1.96
+# Shares of rows drawn 0, 1, 2, ... times by a Poisson bootstrap, exp(-1) / k!.
+POISSON = [math.exp(-1) / math.factorial(k) for k in range(9)]
 #: Whisker length in interquartile ranges.
 WHISKER = 1.5
 
@@ -64,6 +69,67 @@ def mean_by_groups(
     )
 
 
+def _poisson(uniform: Column) -> Column:
+    """How often a row is drawn, from a number of 0 to 1: Poisson with mean 1."""
+    draws, share, total = F.lit(len(POISSON)), 0.0, []
+    for p in POISSON:
+        share += p
+        total.append(share)
+    for k in reversed(range(len(total))):
+        draws = F.when(uniform < total[k], k).otherwise(draws)
+    return draws
+
+
+def bootstrap_mean_by_groups(
+    df: DataFrame,
+    x: str,
+    y: str,
+    key: str | Sequence[str],
+    hue: str | None = None,
+    replicates: int = 200,
+    level: float = 0.95,
+    seed: int = 42,
+    dropna: bool = True,
+) -> DataFrame:
+    """``x, hue, count, mean, ci_low, ci_high``: means with bootstrap intervals.
+
+    Each replicate draws every row a Poisson number of times, which a hash of its ``key``,
+    the replicate and the seed decides: so no row is moved for drawing, and the result is
+    the same on every layout. Sums are combined map side; per group and replicate one
+    row is shuffled. The interval is that of the replicates' means, between the quantiles that
+    leave out (1 - ``level``) / 2 on either side.
+    """
+    require_columns(df, [y], kinds=["numeric", "boolean"])
+    keys = {"x": x} if hue is None else {"x": x, "hue": hue}
+    ids = require_columns(df, [key] if isinstance(key, str) else key)[0]
+    require_columns(df, keys.values())
+    digest = F.md5(F.concat_ws(":", *[ref(c).cast("string") for c in ids], F.lit(str(seed))))
+
+    def digits(start: int) -> Column:
+        return F.conv(F.substring(digest, start, 8), 16, 10).cast("long")
+
+    rows = df.select(
+        *[present(df, c).alias(k) for k, c in keys.items()],
+        present(df, y).cast("double").alias("y"),
+        digits(1).alias("a"),
+        digits(9).alias("b"),
+    ).where(F.col("y").isNotNull())
+    if dropna:
+        rows = rows.dropna(subset=list(keys))
+    whole = rows.groupBy(*keys).agg(F.count("y").alias("count"), F.avg("y").alias("mean"))
+    drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    # Two hashes of 32 bits give the numbers of all replicates, any two of them independent.
+    uniform = (F.col("a") + F.col("replicate") * F.col("b")) % (1 << 32) / F.lit(float(1 << 32))
+    drawn = drawn.withColumn("w", _poisson(uniform)).where("w > 0")
+    means = drawn.groupBy(*keys, "replicate").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("m"))
+    rest = (1 - level) / 2
+    ends = means.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(
+        F.percentile("m", rest).alias("ci_low"), F.percentile("m", 1 - rest).alias("ci_high")
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return whole.join(ends, reduce(and_, same), "left").drop(*[f"__{k}" for k in keys])
+
+
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     require_columns(df, [x])
     require_columns(df, [y], kinds=["numeric"])

@@ -248,3 +248,37 @@ def test_tables_survive_a_round_trip(spark, tmp_path, fmt):
         write_table(df, str(tmp_path / fmt), fmt)
     with pytest.raises(ValueError, match="format"):
         read_table(spark, str(tmp_path), "xml")
+
+
+def test_density_from_cells_is_that_of_all_values(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=3000), rng.exponential(size=500) * 30, [250.0]])
+    df = spark.createDataFrame([(float(v), float(v) * 1e6 + 1e9) for v in values], "a double, b double").repartition(4)
+    near = {(r.column, round(r.x, 6)): r.density for r in distributions.kde(df).collect()}
+    far = {(r.column, round(r.x, 6)): r.density for r in distributions.kde(df, exact=True).collect()}
+    assert set(near) == set(far) and len(near) == 400
+    for at, density in far.items():
+        assert near[at] == pytest.approx(density, abs=1e-9 if at[0] == "a" else 1e-15), at
+
+
+def test_bootstrap_interval_is_the_same_on_every_layout(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, "a" if k % 3 else None if k % 2 else "b", float(v)) for k, v in enumerate(rng.normal(10, 2, 4000))]
+    df = spark.createDataFrame([*rows, (5000, "one", 3.0), (5001, "a", None)], "k int, x string, y double")
+    found = [
+        {r.x: r for r in relations.bootstrap_mean_by_groups(frame, "x", "y", "k", replicates=100).collect()}
+        for frame in (df.repartition(3), df.repartition(7, "y"))
+    ]
+    assert set(found[0]) == {"a", "b", "one"}
+    for x, r in found[0].items():
+        again = found[1][x]
+        assert (r.ci_low, r.ci_high) == (pytest.approx(again.ci_low), pytest.approx(again.ci_high))
+    data = {x: np.array([v for _, y, v in rows if y == x]) for x in ("a", "b")}
+    for x, values in data.items():
+        r, error = found[0][x], values.std(ddof=1) / np.sqrt(len(values))
+        assert r["count"] == len(values) and r.mean == pytest.approx(values.mean())
+        assert r.ci_high - r.ci_low == pytest.approx(3.92 * error, rel=0.3)
+        assert r.ci_low < r.mean < r.ci_high
+    assert (found[0]["one"].ci_low, found[0]["one"].ci_high) == (3.0, 3.0)
+    with_null = relations.bootstrap_mean_by_groups(df, "x", "y", "k", replicates=5, dropna=False)
+    assert {r.x for r in with_null.collect()} == {"a", "b", None, "one"}
