@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablecraft.functions.cluster import local_table
 from tablecraft.functions.columns import (
     categorical_columns,
+    finite_sql,
     literal,
     numeric_columns,
     present,
@@ -81,13 +82,12 @@ def _spans(df: DataFrame, names: Sequence[str]) -> list[dict]:
     return spans
 
 
-def finite_sql(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
-    """Per column, SQL text of its value as a double, NULL where it is missing or infinite."""
-    found = {}
-    for name, text in present_sql(df, names).items():
-        value = f"CAST({text} AS DOUBLE)"
-        found[name] = f"CASE WHEN abs({value}) < CAST('Infinity' AS DOUBLE) THEN {value} END"
-    return found
+def _spans_of(df: DataFrame, names: Sequence[str], spans: Sequence[dict] | None) -> list[dict]:
+    """Spans of these columns: those given, or fitted here."""
+    if spans is None:
+        return _spans(df, names) if names else []
+    known = {span["column"]: span for span in spans}
+    return [known[name] for name in names if name in known]
 
 
 def _numeric(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
@@ -96,19 +96,20 @@ def _numeric(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
     return require_columns(df, cols, kinds=["numeric"])[0]
 
 
-def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 30) -> DataFrame:
+def histogram(
+    df: DataFrame, cols: Sequence[str] | None = None, bins: int = 30, spans: Sequence[dict] | None = None
+) -> DataFrame:
     """``column, bin, lower, upper, count`` over equal-width bins, empty ones too.
 
     The last bin is closed on both sides. A constant column gets bins over half
     a unit to either side. Bins span the finite values; infinite ones, if a column has
     any, are counted in bins -1 and ``bins``, whose edges are both infinite. Two scans:
-    one for the ranges, one for the counts.
+    one for the ranges, one for the counts; ``spans`` of ``profile.overview`` save the first.
     """
     schema = "column string, lower_bound double, width double"
     names = _numeric(df, cols)
-    spans = _spans(df, names) if names else []
     edges = []
-    for span in spans:
+    for span in _spans_of(df, names, spans):
         lo, hi = span["lo"], span["hi"]
         if lo == hi:
             lo, hi = lo - 0.5, hi + 0.5
@@ -156,7 +157,11 @@ def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 30)
 
 
 def kde(
-    df: DataFrame, cols: Sequence[str] | None = None, grid: int = 200, exact: bool = False
+    df: DataFrame,
+    cols: Sequence[str] | None = None,
+    grid: int = 200,
+    exact: bool = False,
+    spans: Sequence[dict] | None = None,
 ) -> DataFrame:
     """``column, x, density``: Gaussian density on ``grid`` points over the range.
 
@@ -169,7 +174,7 @@ def kde(
     """
     names = _numeric(df, cols)
     fits = []
-    for span in _spans(df, names) if names else []:
+    for span in _spans_of(df, names, spans):
         if span["sd"] and span["hi"] > span["lo"]:
             width = span["sd"] * span["n"] ** -0.2
             step = (span["hi"] - span["lo"]) / (grid - 1)

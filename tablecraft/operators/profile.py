@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tablecraft.functions.cluster import local_table
 from tablecraft.functions.columns import (
     categorical_columns,
+    finite_sql,
     kind,
     literal,
     numeric_columns,
@@ -19,7 +21,14 @@ from tablecraft.functions.columns import (
     require_columns,
 )
 from tablecraft.functions.ordered import quantiles
-from tablecraft.functions.reshape import melt, per_column
+from tablecraft.functions.reshape import COLUMNS_PER_PASS, melt, per_column
+
+class Overview(NamedTuple):
+    """Tables by name, and range, deviation and number of the finite values of each numeric column."""
+
+    tables: dict[str, DataFrame]
+    spans: list[dict]
+
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -46,6 +55,72 @@ def schema_report(df: DataFrame) -> DataFrame:
     return facts.join(F.broadcast(counted), "column")
 
 
+def overview(df: DataFrame, block: int = COLUMNS_PER_PASS) -> Overview:
+    """Shape, schema, summaries and missing values of all columns from one aggregate.
+
+    The tables equal those of :func:`shape`, :func:`schema_report`, :func:`numeric_summary`,
+    :func:`categorical_summary`, ``missing.counts`` and ``missing.percentages``; a row per task
+    is shuffled, and a row per table and column is held. ``spans`` are the ranges and deviations that
+    histograms and densities need. Tables wider than ``block`` take one scan per block.
+    """
+    numbers, texts = set(numeric_columns(df)), set(categorical_columns(df))
+    values = present_sql(df, df.columns)
+    finite = finite_sql(df, [c for c in df.columns if c in numbers])
+    found: dict[str, dict] = {}
+    rows = 0
+    for start in range(0, max(len(df.columns), 1), block):
+        asked = ["count(1) AS n_rows"]
+        places = list(enumerate(df.columns[start : start + block]))
+        for i, c in places:
+            x = values[c]
+            stats = {"filled": f"count({quoted(c)})"}
+            if c in numbers:
+                stats |= {
+                    "count": f"count({x})", "mean": f"CAST(avg({x}) AS DOUBLE)", "stddev": f"stddev_samp({x})",
+                    "min": f"CAST(min({x}) AS DOUBLE)", "max": f"CAST(max({x}) AS DOUBLE)",
+                    "lo": f"min({finite[c]})", "hi": f"max({finite[c]})",
+                    "sd": f"stddev_samp({finite[c]})", "n": f"count({finite[c]})",
+                }
+            elif c in texts:
+                stats |= {"count": f"count({x})", "min": f"min({x})", "max": f"max({x})"}
+            asked += [f"{text} AS c{i}_{stat}" for stat, text in stats.items()]
+            found[c] = stats
+        row = df.selectExpr(*asked).first()
+        rows = row["n_rows"]
+        for i, c in places:
+            found[c] = {stat: row[f"c{i}_{stat}"] for stat in found[c]}
+    summary = ("count", "mean", "stddev", "min", "max")
+    missing = {c: rows - f["filled"] for c, f in found.items()}
+
+    def made(lines: list, schema: str) -> DataFrame:
+        return local_table(df.sparkSession, lines, schema)
+
+    tables = {
+        "shape": made([(rows, len(df.columns))], "n_rows long, n_columns long"),
+        "schema": made(
+            [
+                (f.name, i, f.dataType.simpleString(), kind(f.dataType), f.nullable, found[f.name]["filled"])
+                for i, f in enumerate(df.schema.fields)
+            ],
+            "column string, position int, dtype string, kind string, nullable boolean, non_null_count long",
+        ),
+        "numeric_summary": made(
+            [(c, *(f[k] for k in summary)) for c, f in found.items() if c in numbers],
+            "column string, count long, mean double, stddev double, min double, max double",
+        ),
+        "categorical_summary": made(
+            [(c, f["count"], f["min"], f["max"]) for c, f in found.items() if c in texts],
+            "column string, count long, min string, max string",
+        ),
+        "missing_counts": made(list(missing.items()), "column string, null_count long"),
+        "missing_percentages": made(
+            [(c, n / rows * 100.0 if rows else 0.0) for c, n in missing.items()], "column string, null_pct double"
+        ),
+    }
+    spans = [{"column": c, **{k: f[k] for k in ("lo", "hi", "sd", "n")}} for c, f in found.items() if c in numbers and f["n"]]
+    return Overview(tables, spans)
+
+
 def sample_rows(df: DataFrame, n: int = 5, order_by: Sequence[str] = ()) -> DataFrame:
     """The first ``n`` rows; with ``order_by`` they are the same in every run."""
     return (df.orderBy(*map(ref, order_by)) if order_by else df).limit(n)

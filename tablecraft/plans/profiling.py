@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from tablecraft.functions.columns import categorical_columns, numeric_columns, require_columns
-from tablecraft.operators import distributions, duplicates, missing, profile, relations
+from tablecraft.operators import distributions, duplicates, profile, relations
 
 
 def full(
@@ -22,8 +22,9 @@ def full(
 ) -> dict[str, DataFrame]:
     """Every profile table by name; parts that need an absent column are left out.
 
-    Ranges of histogram and density and the quartiles of boxes are fitted by small jobs
-    when this is called; the rest is lazy.
+    Shape, schema, summaries, missing values and the ranges of histogram and density come from
+    one scan, correlations from another, when this is called; quartiles of boxes and hashes
+    of duplicates are fitted then, too. The rest is lazy.
 
     ``by_target`` columns are counted per target value; ``hue`` splits the mean
     target per first such column; ``continuous`` columns are boxed per target.
@@ -34,23 +35,19 @@ def full(
     discrete, _ = require_columns(df, discrete, strict=False)
     continuous, _ = require_columns(df, continuous, strict=False, kinds=["numeric"])
     by_target, _ = require_columns(df, by_target, strict=False)
-    tables = {
-        "shape": profile.shape(df),
-        "schema": profile.schema_report(df),
-        "sample": profile.sample_rows(df, 5, sample_order),
-        "numeric_summary": profile.numeric_summary(df),
-        "missing_counts": missing.counts(df),
-        "missing_percentages": missing.percentages(df),
-        "duplicates": duplicates.count(df),
-    }
+    seen = profile.overview(df)
+    named = ("shape", "schema", "numeric_summary", "missing_counts", "missing_percentages")
+    tables = {name: seen.tables[name] for name in named}
+    tables["sample"] = profile.sample_rows(df, 5, sample_order)
+    tables["duplicates"] = duplicates.count(df)
     if texts:
-        tables["categorical_summary"] = profile.categorical_summary(df)
+        tables["categorical_summary"] = seen.tables["categorical_summary"]
         tables["frequencies"] = distributions.frequencies(df)
     if numbers:
-        tables["histogram"] = distributions.histogram(df, numbers, bins)
+        tables["histogram"] = distributions.histogram(df, numbers, bins, seen.spans)
         tables["correlation"] = relations.correlation_matrix(df, numbers)
     if continuous:
-        tables["kde"] = distributions.kde(df, continuous)
+        tables["kde"] = distributions.kde(df, continuous, spans=seen.spans)
     if discrete:
         tables["value_counts"] = distributions.value_counts(df, discrete)
         tables["discrete_frequencies"] = distributions.frequencies(df, discrete)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablecraft.functions.columns import categorical_columns, numeric_columns, require_columns
-from tablecraft.operators import distributions, duplicates, profile, relations
+from tablecraft.operators import distributions, duplicates, missing, profile, relations
 from tablecraft.plans import profiling
 from tablecraft.sources.tables import read_table, write_table
 
@@ -282,3 +282,28 @@ def test_bootstrap_interval_is_the_same_on_every_layout(spark):
     assert (found[0]["one"].ci_low, found[0]["one"].ci_high) == (3.0, 3.0)
     with_null = relations.bootstrap_mean_by_groups(df, "x", "y", "k", replicates=5, dropna=False)
     assert {r.x for r in with_null.collect()} == {"a", "b", None, "one"}
+
+
+def test_overview_equals_the_single_tables(spark):
+    df = spark.createDataFrame(
+        [(1, 2.5, "b", None, True), (None, NAN, None, None, None), (3, float("inf"), "a", None, False), (3, -1.0, "", None, True)],
+        "i long, `d.x` double, s string, empty decimal(9,2), flag boolean",
+    )
+    for frame in (df, df.limit(0)):
+        for block in (200, 2):
+            seen = profile.overview(frame, block)
+            single = {
+                "shape": profile.shape(frame),
+                "schema": profile.schema_report(frame),
+                "numeric_summary": profile.numeric_summary(frame),
+                "categorical_summary": profile.categorical_summary(frame),
+                "missing_counts": missing.counts(frame),
+                "missing_percentages": missing.percentages(frame),
+            }
+            for name, table in single.items():
+                got = seen.tables[name]
+                assert got.columns == table.columns and got.dtypes == table.dtypes, name
+                assert sorted(map(str, rows(got))) == sorted(map(str, rows(table))), name
+            assert sorted(map(str, rows(distributions.histogram(frame, spans=seen.spans)))) == sorted(
+                map(str, rows(distributions.histogram(frame)))
+            )
