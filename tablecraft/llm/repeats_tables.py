@@ -1,6 +1,7 @@
-"""Removal of repeated byte strings over tables, by prefix doubling on runs of places.
+"""Removal of repeated byte strings over tables, by ranks of growing strings at runs of places.
 
-Places whose strings so far are alike share a rank; each round ranks longer strings at
+This is not prefix doubling with a row per place: ranks are hashes of the strings themselves, not pairs of
+earlier ranks, and lengths do not double. Places whose strings so far are alike share a rank; each round ranks longer strings at
 the places still open, until a string is unique, and its place closed, or as long as the
 threshold, and its place repeated. Places that start next to each other and have the same
 anchor travel as one row (``repeats``), so that a round sorts runs and not bytes:
