@@ -57,6 +57,22 @@ def fill_mean_report(spark, sf):
     return told.withColumn("value", F.col("value").cast("double"))
 
 
+@query("fill_checked_columns", "WITH " + GAPS + """
+SELECT 'fill_mean' AS step, 'c_acctbal' AS "column", 'filled' AS status, round(avg(c_acctbal), 4) AS value FROM gaps
+UNION ALL SELECT 'fill_mean', 'c_mktsegment', 'ignored', NULL
+UNION ALL SELECT 'fill_mean', 'no such column', 'ignored', NULL
+UNION ALL SELECT 'left', 'c_acctbal', 'missing', 0
+UNION ALL SELECT 'left', 'c_mktsegment', 'missing', count(*) FILTER (c_mktsegment IS NULL) FROM gaps""")
+def fill_checked_columns(spark, sf):
+    """Columns that are absent or of another type are reported, and the table keeps them as they are."""
+    wanted = ["c_acctbal", "c_mktsegment", "no such column"]
+    filled, told = missing.fill_mean(gaps(spark, sf), wanted, strict=False)
+    left = missing.counts(filled).where(F.col("column").isin(wanted)).select(
+        F.lit("left").alias("step"), "column", F.lit("missing").alias("status"), F.col("null_count").cast("double").alias("value")
+    )
+    return told.withColumn("value", F.col("value").cast("double")).unionAll(left)
+
+
 @query("fill_median", "WITH " + GAPS + """
 SELECT c_custkey, c_name,
        coalesce(c_acctbal, (SELECT quantile_disc(c_acctbal, 0.5) FROM gaps)) AS c_acctbal,
