@@ -13,6 +13,7 @@ times is one row, and a group holding most of the table is spread over all bucke
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -20,7 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecraft.functions.cluster import local_table
+from tablecraft.functions.bitfilter import passing
+from tablecraft.functions.cluster import kept, local_table
 from tablecraft.functions.columns import dtype_of, ref
 from tablecraft.functions.texts import split_texts
 
@@ -43,14 +45,17 @@ def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list:
     """Ordered inner bucket borders of a column (one job, bounded result).
 
     They are estimated from a share of the rows, as for any range partitioning.
-    A small table may get few borders or none, and then needs none.
+    A small table may get few borders or none, and then needs none. A value that takes up
+    several of them gets a bucket of its own, so that counting a bucket says all about it.
     """
     if isinstance(dtype_of(df, value), T.NumericType):
         count = buckets or default_buckets(df)
         shares = [i / count for i in range(1, count)]
         seen = df.select(ref(value).alias("value")).sample(CUT_SHARE, seed=7)
         found = seen.approxQuantile("value", shares, 1.0 / (4 * count))
-        return sorted({c for c in found if math.isfinite(c)})
+        often = {c for c, n in Counter(found).items() if n > 1}
+        ends = {math.nextafter(c, math.inf) for c in often}
+        return sorted({c for c in ends.union(found) if math.isfinite(c)})
     raise TypeError(f"{value} has no numeric scale")
 
 
@@ -170,75 +175,72 @@ def _wanted_ranks(probabilities: Sequence[float], total: Column, discrete: bool)
     return ranks
 
 
-def quantiles(
-    df: DataFrame,
-    value: str,
-    probabilities: Sequence[float],
-    names: Sequence[str],
-    keys: Sequence[str] = (),
-    discrete: bool = False,
-) -> DataFrame:
-    """Exact quantiles of ``value`` per group: ``keys..., n, names...``.
+def holds(rank: Column) -> Column:
+    """Whether the rows of a bucket, or of a value in it, include the one of this rank."""
+    return (rank >= F.col("__before")) & (rank < F.col("__before") + F.col("__in"))
 
-    Linear interpolation between neighbours, or with ``discrete`` the lowest
-    value whose cumulative share reaches the probability, in its own type.
-    NULLs are ignored; NaN must have been turned into NULL.
 
-    Rows are first only counted per group and bucket. Those counts tell which
-    buckets hold the wanted ranks, and only these few are sorted. With more
-    groups than the driver may hold, the same is done by shuffled joins.
+def bucket_facts(df: DataFrame, value: str, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows with their buckets, and per group and bucket ``__in, __low, __high, __before, __total``.
+
+    These are the number of rows, the lowest and highest value, the rows of the group in lower buckets and
+    those in all. One scan finds the borders, another one counts when the facts are read.
     """
-    keys = list(keys)
     source = df.select(*keys, value).where(F.col(value).isNotNull())
     source = with_bucket(source, value, cut_points(source, value))
-
     group = Window.partitionBy(*keys)
-    before = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = source.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__in"))
-    buckets = buckets.withColumns(
+    lower = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    facts = source.groupBy(*keys, "__bucket").agg(
+        F.count(F.lit(1)).alias("__in"), F.min(value).alias("__low"), F.max(value).alias("__high")
+    )
+    return source, facts.withColumns(
         {
-            "__before": F.coalesce(F.sum("__in").over(before), F.lit(0)),
+            "__before": F.coalesce(F.sum("__in").over(lower), F.lit(0)),
             "__total": F.sum("__in").over(group),
         }
     )
-    ranks = F.array(*_wanted_ranks(probabilities, F.col("__total"), discrete))
-    wanted = buckets.withColumn(
-        "__want",
-        F.filter(
-            ranks,
-            lambda t: (t["rank"] >= F.col("__before"))
-            & (t["rank"] < F.col("__before") + F.col("__in")),
-        ),
-    )
-    wanted = wanted.where(F.size("__want") > 0).drop("__in")
-    held = hold(wanted)
-    bounded = held is not None
-    if held is not None:
-        wanted = held
-        source = join_buckets(source, wanted.select(*keys, "__bucket"), keys, bounded)
-    counted = source.groupBy(*keys, "__bucket", value).agg(F.count(F.lit(1)).alias("n"))
 
-    inside = (
-        Window.partitionBy(*keys, "__bucket")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    candidates = join_buckets(counted, wanted, keys, bounded).withColumn(
-        "__end", F.sum("n").over(inside) + F.col("__before")
+
+def opened(source: DataFrame, value: str, keys: Sequence[str], facts: DataFrame, bounded: bool) -> DataFrame:
+    """``facts`` per value instead of per bucket: ``__low`` and ``__high`` are the value.
+
+    ``bounded`` says that the facts have a known small size: they are broadcast, and rows are counted
+    where they lie. Otherwise rows that a bit filter of the buckets lets pass are shuffled once, by
+    group and bucket; all that follows keeps this partitioning. A value frequent enough to
+    make such a partition large has a bucket of its own and is never opened.
+    """
+    place = F.struct(*keys, "__bucket")
+    rest = [c for c in facts.columns if c not in (*keys, "__bucket", "__in", "__low", "__high")]
+    known = facts.select(place.alias("__place"), F.struct(*rest).alias("__facts"))
+    rows = source.select(place.alias("__place"), value)
+    if not bounded:
+        hashes = known.select(F.xxhash64("__place").alias("__hash"))
+        rows = passing(rows, F.xxhash64("__place"), hashes)
+    # NULL keys are equal inside a struct.
+    met = rows.join(F.broadcast(known) if bounded else known.hint("merge"), "__place")
+    counted = met.groupBy("__place", value).agg(
+        F.count(F.lit(1)).alias("__in"), F.any_value("__facts").alias("__facts")
     )
-    hits = candidates.select(
+    lower = Window.partitionBy("__place").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("__facts.__before") + F.coalesce(F.sum("__in").over(lower), F.lit(0))
+    found = {c: before if c == "__before" else F.col(f"__facts.{c}") for c in rest}
+    found |= {"__in": F.col("__in"), "__low": F.col(value), "__high": F.col(value)}
+    found |= {c: F.col("__place")[c] for c in (*keys, "__bucket")}
+    return counted.select(*[found[c].alias(c) for c in facts.columns])
+
+
+def interpolated(
+    pieces: DataFrame, keys: Sequence[str], probabilities: Sequence[float], names: Sequence[str], discrete: bool
+) -> DataFrame:
+    """``keys..., n, names...`` from pieces of one value each that hold the ranks in their ``__want``."""
+    hits = pieces.select(
         *keys,
-        value,
+        "__low",
         "__total",
-        F.explode(
-            F.filter(
-                "__want",
-                lambda t: (t["rank"] >= F.col("__end") - F.col("n")) & (t["rank"] < F.col("__end")),
-            )
-        ).alias("__hit"),
+        F.explode(F.filter("__want", lambda t: holds(t["rank"]))).alias("__hit"),
     )
     sides = [
-        F.max(F.when(F.col("__hit.side") == f"{side}{i}", F.col(value))).alias(f"__{side}{i}")
+        F.max(F.when(F.col("__hit.side") == f"{side}{i}", F.col("__low"))).alias(f"__{side}{i}")
         for i in range(len(probabilities))
         for side in ("lo", "hi")
     ]
@@ -253,3 +255,41 @@ def quantiles(
         low, high = low.cast("double"), F.col(f"__hi{i}").cast("double")
         results.append((low + (high - low) * (place - F.floor(place))).alias(name))
     return picked.select(*keys, "n", *results)
+
+
+def wanted_here(probabilities: Sequence[float], discrete: bool = False) -> Column:
+    """The ranks that these probabilities ask for and that a row of the facts holds."""
+    ranks = F.array(*_wanted_ranks(probabilities, F.col("__total"), discrete))
+    return F.filter(ranks, lambda t: holds(t["rank"]))
+
+
+def quantiles(
+    df: DataFrame,
+    value: str,
+    probabilities: Sequence[float],
+    names: Sequence[str],
+    keys: Sequence[str] = (),
+    discrete: bool = False,
+) -> DataFrame:
+    """Exact quantiles of ``value`` per group: ``keys..., n, names...``.
+
+    Linear interpolation between neighbours, or with ``discrete`` the lowest
+    value whose cumulative share reaches the probability, in its own type.
+    NULLs are ignored; NaN must have been turned into NULL.
+
+    Rows are first only counted per group and bucket. Those counts tell which
+    buckets hold the wanted ranks, and only these few are sorted, unless they have a single
+    value. Three scans, whatever the number of groups.
+    """
+    keys = list(keys)
+    source, facts = bucket_facts(df, value, keys)
+    facts = facts.withColumn("__want", wanted_here(probabilities, discrete)).where(F.size("__want") > 0)
+    facts.persist()
+    try:
+        held = hold(facts)
+        wanted = kept(facts, "ranks") if held is None else held
+    finally:
+        facts.unpersist()
+    several = F.col("__low") < F.col("__high")
+    inner = opened(source, value, keys, wanted.where(several), held is not None)
+    return interpolated(wanted.where(~several).unionAll(inner), keys, probabilities, names, discrete)

@@ -15,12 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablecraft.functions.bitfilter import ROOM, passing
 from tablecraft.functions.cluster import kept
 from tablecraft.functions.columns import ratio, ref, require_columns
 
-#: Repeated hashes that the filter has room for, with BITS_PER_HASH each; it is broadcast as 64-bit words.
-HELD_HASHES = 1_000_000
-BITS_PER_HASH = 16
+#: Repeated hashes that the filter has room for.
+HELD_HASHES = ROOM
 
 
 def _names(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
@@ -37,20 +37,9 @@ def _repeated_hashes(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return kept(counted.where("n > 1").select("__hash"), "repeated")
 
 
-def _place(hashed: Column) -> tuple[Column, Column]:
-    """Word and bit of a hash in the filter."""
-    bits = 1 << (BITS_PER_HASH * HELD_HASHES - 1).bit_length()
-    place = F.pmod(hashed, F.lit(bits))
-    return F.floor(place / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-
-
 def _passing(df: DataFrame, names: Sequence[str], hashes: DataFrame, pass_on: bool) -> DataFrame:
     """Rows that may repeat another one or, without ``pass_on``, those that do not."""
-    word, bit = _place(F.col("__hash"))
-    words = hashes.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
-    mine, my_bit = _place(_hash(names))
-    met = (mine == F.col("__word")) & (F.col("__bits").bitwiseAND(my_bit) != 0)
-    return df.join(F.broadcast(words), met, "left_semi" if pass_on else "left_anti")
+    return passing(df, _hash(names), hashes, pass_on, HELD_HASHES)
 
 
 def _extra(df: DataFrame, names: Sequence[str], hashes: DataFrame) -> DataFrame:

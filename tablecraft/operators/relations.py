@@ -8,11 +8,11 @@ from functools import reduce
 from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecraft.functions import moments
-from tablecraft.functions.cluster import local_table
+from tablecraft.functions.cluster import kept, local_table
 from tablecraft.functions.columns import (
     numeric_columns,
     present,
@@ -20,7 +20,18 @@ from tablecraft.functions.columns import (
     ref,
     require_columns,
 )
-from tablecraft.functions.ordered import cut_points, hold, join_buckets, quantiles, with_bucket
+from tablecraft.functions.ordered import (
+    bucket_facts,
+    cut_points,
+    hold,
+    holds,
+    interpolated,
+    join_buckets,
+    opened,
+    quantiles,
+    wanted_here,
+    with_bucket,
+)
 
 CORRELATION_SCHEMA = "x string, y string, n long, corr double"
 #: Normal quantile of a two-sided 95 % interval.
@@ -29,6 +40,9 @@ Z95 = 1.96
 POISSON = [math.exp(-1) / math.factorial(k) for k in range(9)]
 #: Whisker length in interquartile ranges.
 WHISKER = 1.5
+QUARTILES = [0.25, 0.5, 0.75]
+#: Relative room for the rounding of quartiles between two values.
+ROUNDING = 1e-9
 
 
 def counts_by_target(df: DataFrame, x: str, target: str, dropna: bool = True) -> DataFrame:
@@ -136,9 +150,8 @@ def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(present(df, x).alias("x"), present(df, y).cast("double").alias("y")).dropna()
 
 
-def _fenced(pairs: DataFrame) -> tuple[DataFrame, bool]:
-    """Quartiles and fences per ``x``, and whether that table is held and broadcast."""
-    found = quantiles(pairs, "y", [0.25, 0.5, 0.75], ["q1", "median", "q3"], keys=["x"])
+def _fences(found: DataFrame) -> tuple[DataFrame, bool]:
+    """Quartiles with their fences per ``x``, and whether that table is held and broadcast."""
     reach = F.lit(WHISKER) * (F.col("q3") - F.col("q1"))
     fenced = found.withColumns(
         {"fence_low": F.col("q1") - reach, "fence_high": F.col("q3") + reach}
@@ -163,24 +176,72 @@ def _against_fences(rows: DataFrame, pairs: DataFrame, fenced: DataFrame, held:
     return join_buckets(with_bucket(rows, "y", cuts), spread, ["x"], bounded=False)
 
 
+def _fence_ranges(facts: DataFrame) -> DataFrame:
+    """Add what the counts tell about the fences of each ``x``: the least and the most they can be."""
+    last = F.col("__total") - 1
+    group = Window.partitionBy("x")
+
+    def ends(p: float) -> tuple[Column, Column]:
+        place = F.lit(p) * last
+        low = F.min(F.when(holds(F.floor(place)), F.col("__low"))).over(group)
+        high = F.max(F.when(holds(F.ceil(place)), F.col("__high"))).over(group)
+        return low - ROUNDING * F.abs(low), high + ROUNDING * F.abs(high)
+
+    (q1_least, q1_most), (q3_least, q3_most) = ends(0.25), ends(0.75)
+    facts = facts.withColumns({"__a": q1_least, "__b": q1_most, "__c": q3_least, "__d": q3_most})
+    widest = F.lit(WHISKER) * (F.col("__d") - F.col("__a"))
+    narrowest = F.lit(WHISKER) * F.greatest(F.lit(0.0), F.col("__c") - F.col("__b"))
+    return facts.withColumns(
+        {
+            "__low_least": F.col("__a") - widest, "__low_most": F.col("__b") - narrowest,
+            "__high_least": F.col("__c") + narrowest, "__high_most": F.col("__d") + widest,
+        }
+    ).drop("__a", "__b", "__c", "__d")
+
+
+def _parted(least: Column, most: Column) -> Column:
+    """Whether a fence between these limits may have values of a bucket on either side."""
+    apart = (F.col("__high") < least) | (F.col("__low") > most)
+    return ~apart | F.isnan(least) | F.isnan(most)
+
+
 def box_stats(df: DataFrame, x: str, y: str) -> DataFrame:
     """Box plot numbers of ``y`` per ``x``: quartiles, whiskers, number of outliers.
 
-    Whiskers end at the outermost values within 1.5 interquartile ranges.
+    Whiskers end at the outermost values within 1.5 interquartile ranges. Three scans: borders
+    of buckets, rows per ``x`` and bucket, and the values of the buckets that hold a quartile or may hold
+    a fence. All other buckets lie within the fences or beyond, as a whole.
     """
-    pairs = _pairs(df, x, y)
-    fenced, held = _fenced(pairs)
-    inside = F.col("y").between(F.col("fence_low"), F.col("fence_high"))
-    ends = (
-        _against_fences(pairs, pairs, fenced, held)
-        .groupBy(F.col("x").alias("__x"))
-        .agg(
-            F.min(F.when(inside, F.col("y"))).alias("whisker_low"),
-            F.max(F.when(inside, F.col("y"))).alias("whisker_high"),
-            F.count_if(~inside).alias("n_outliers"),
-        )
+    source, facts = bucket_facts(_pairs(df, x, y), "y", ["x"])
+    facts = _fence_ranges(facts.withColumn("__want", wanted_here(QUARTILES)))
+    needed = (
+        (F.size("__want") > 0)
+        | _parted(F.col("__low_least"), F.col("__low_most"))
+        | _parted(F.col("__high_least"), F.col("__high_most"))
+    )
+    several = F.col("__low") < F.col("__high")
+    facts = facts.withColumn("__open", needed & several)
+    facts = kept(facts.drop("__low_least", "__low_most", "__high_least", "__high_most"), "boxes")
+    chosen = facts.where("__open")
+    held = hold(chosen)
+    inner = opened(source, "y", ["x"], chosen if held is None else held, held is not None)
+    pieces = kept(facts.where("NOT __open").unionAll(inner), "pieces")
+
+    fenced, bounded = _fences(interpolated(pieces, ["x"], QUARTILES, ["q1", "median", "q3"], False))
+    limits = fenced.select("x", "fence_low", "fence_high")
+    if bounded:
+        joined = pieces.join(F.broadcast(limits), "x")
+    else:
+        # Per bucket too, so that a hot x is spread.
+        used = pieces.select("x", "__bucket").distinct().join(limits, "x")
+        joined = join_buckets(pieces, used, ["x"], bounded=False)
+    inside = (F.col("__low") >= F.col("fence_low")) & (F.col("__high") <= F.col("fence_high"))
+    ends = joined.groupBy(F.col("x").alias("__x")).agg(
+        F.min(F.when(inside, F.col("__low"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("__high"))).alias("whisker_high"),
+        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("__in"))).alias("n_outliers"),
     )
-    return ends.join(F.broadcast(fenced) if held else fenced, F.col("x") == F.col("__x")).select(
+    return ends.join(F.broadcast(fenced) if bounded else fenced, F.col("x") == F.col("__x")).select(
         "x", F.col("n").alias("count"), "q1", "median", "q3",
         "whisker_low", "whisker_high", "n_outliers",
     )
@@ -189,7 +250,7 @@ def box_stats(df: DataFrame, x: str, y: str) -> DataFrame:
 def outliers(df: DataFrame, x: str, y: str) -> DataFrame:
     """The rows of ``df`` whose ``y`` lies beyond the whiskers of its ``x``."""
     pairs = _pairs(df, x, y)
-    fenced, held = _fenced(pairs)
+    fenced, held = _fences(quantiles(pairs, "y", QUARTILES, ["q1", "median", "q3"], keys=["x"]))
     rows = df.select(
         F.struct(*map(ref, df.columns)).alias("__row"),
         present(df, x).alias("x"),

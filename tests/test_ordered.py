@@ -98,3 +98,31 @@ def test_quantiles_with_a_hot_value_and_null_key(spark, monkeypatch, bounded):
     for key, part in [("k", data[data.k == "k"]), (None, data[data.k.isna()])]:
         want = part["v"].quantile([0.3, 0.77])
         assert got[key] == (len(part), pytest.approx(want.iloc[0]), pytest.approx(want.iloc[1]))
+
+
+def test_frequent_values_have_buckets_of_their_own(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.rand(3) * 100).alias("v"))
+    cuts = ordered.cut_points(df, "v")
+    assert 7.0 in cuts and cuts == sorted(set(cuts))
+    alone = ordered.with_bucket(df, "v", cuts).where(F.col("__bucket") == cuts.index(7.0) + 1)
+    assert alone.select("v").distinct().collect() == [(7.0,)]
+
+
+def test_quantiles_of_many_groups(spark, monkeypatch, tmp_path):
+    """More groups than are held, a hot group and NULL among them; distinct values are shuffled once."""
+    monkeypatch.setattr(ordered.hold, "__defaults__", (100,))
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 7 != 0, F.col("id") % 1500).alias("k"),
+        F.round(F.rand(11) * 500, 1).alias("v"),
+    )
+    df.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    found = ordered.quantiles(df, "v", [0.25, 0.5], ["a", "b"], keys=["k"])
+    got = {r.k: (r.n, r.a, r.b) for r in found.collect()}
+    data = df.toPandas()
+    want = data.groupby("k", dropna=False)["v"].quantile([0.25, 0.5]).unstack()
+    sizes = data.groupby("k", dropna=False)["v"].size()
+    assert len(got) == len(want) > 1000
+    for key, row in want.iterrows():
+        n, a, b = got[None if np.isnan(key) else int(key)]
+        assert (n, a, b) == (sizes[key], pytest.approx(row[0.25]), pytest.approx(row[0.5]))

@@ -307,3 +307,28 @@ def test_overview_equals_the_single_tables(spark):
             assert sorted(map(str, rows(distributions.histogram(frame, spans=seen.spans)))) == sorted(
                 map(str, rows(distributions.histogram(frame)))
             )
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_box_numbers_of_many_groups_match_pandas(spark, monkeypatch, held):
+    """Heavy tails, constant groups, groups of one row, a hot group, a frequent value."""
+    import tablecraft.functions.ordered as ordered
+
+    if not held:
+        monkeypatch.setattr(ordered.hold, "__defaults__", (20,))
+    rng = np.random.default_rng(8)
+    groups = np.concatenate([rng.integers(0, 400, 6000), np.full(3000, 1000), np.arange(2000, 2050)])
+    values = np.round(rng.standard_t(2, len(groups)) * 10, 3)
+    values[rng.random(len(groups)) < 0.3] = 2.5
+    values[groups < 20] = 4.0
+    data = pd.DataFrame({"x": groups, "y": values})
+    df = spark.createDataFrame(data).repartition(4)
+    got = {r.x: r for r in relations.box_stats(df, "x", "y").collect()}
+    assert set(got) == set(data.x)
+    for key, part in data.groupby("x")["y"]:
+        q1, median, q3 = part.quantile([0.25, 0.5, 0.75])
+        row = got[key]
+        assert (row["count"], row.q1, row.median, row.q3) == pytest.approx((len(part), q1, median, q3))
+        inside = part[(part >= row.q1 - 1.5 * (row.q3 - row.q1)) & (part <= row.q3 + 1.5 * (row.q3 - row.q1))]
+        assert (row.whisker_low, row.whisker_high) == (inside.min(), inside.max())
+        assert row.n_outliers == len(part) - len(inside)
