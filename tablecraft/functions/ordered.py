@@ -209,8 +209,10 @@ def opened(source: DataFrame, value: str, keys: Sequence[str], facts: DataFrame,
     group and bucket; all that follows keeps this partitioning. A value frequent enough to
     make such a partition large has a bucket of its own and is never opened.
     """
-    place = F.struct(*keys, "__bucket")
-    rest = [c for c in facts.columns if c not in (*keys, "__bucket", "__in", "__low", "__high")]
+    # The same type on both sides, or Spark casts one and loses the partitioning.
+    names = [*keys, "__bucket"]
+    place = F.struct(*names).cast(T.StructType([T.StructField(c, facts.schema[c].dataType) for c in names]))
+    rest = [c for c in facts.columns if c not in (*names, "__in", "__low", "__high")]
     known = facts.select(place.alias("__place"), F.struct(*rest).alias("__facts"))
     rows = source.select(place.alias("__place"), value)
     if not bounded:
@@ -225,7 +227,7 @@ def opened(source: DataFrame, value: str, keys: Sequence[str], facts: DataFrame,
     before = F.col("__facts.__before") + F.coalesce(F.sum("__in").over(lower), F.lit(0))
     found = {c: before if c == "__before" else F.col(f"__facts.{c}") for c in rest}
     found |= {"__in": F.col("__in"), "__low": F.col(value), "__high": F.col(value)}
-    found |= {c: F.col("__place")[c] for c in (*keys, "__bucket")}
+    found |= {c: F.col("__place")[c] for c in names}
     return counted.select(*[found[c].alias(c) for c in facts.columns])
 
 
