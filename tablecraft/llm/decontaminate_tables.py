@@ -1,9 +1,9 @@
 """The search for benchmark passages over tables.
 
-The benchmark is a side input: it is cut into blocks of rows by a hash of their
-place, each of a checked number of bytes, and every block is sent to the tasks and
-searched in all documents. One block, the usual case, takes one pass. More blocks
-pass the documents' findings on from one to the next, in the same stage.
+The benchmark is a side input: it is cut into blocks of rows by their hash, each of a
+checked number of bytes, and every block is sent to the tasks and searched in all documents.
+One block, the usual case, takes one pass. Of more blocks, one at a time is at the driver and in
+the workers: the documents with their findings are written before the next one is taken.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ import hashlib
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablecraft.llm.common import Workspace
 from tablecraft.llm.decontaminate import Benchmark, covered, words
 
 BLOCK_BYTES = 16 << 20
@@ -37,19 +39,32 @@ def _tables(block: tuple[tuple[str | None, str | None], ...]) -> Benchmark:
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
-    """The items (item_id as text, text), without NULL texts, in parts of about ``block_bytes``."""
+    """The distinct items (item_id as text, text), without NULL texts, in parts of ``block_bytes`` at the most.
+
+    Only an item that is larger by itself makes its part larger.
+    """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
-    size = items.select(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0
+    items = items.distinct()
+    weight = F.octet_length("text") + F.coalesce(F.octet_length("item_id"), F.lit(0)) + 64
+    size = items.select(F.sum(weight).alias("n")).first()["n"] or 0
     n = -(-size // block_bytes)
     if n <= 1:
         return [items] if n else []
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [items.where(part == i) for i in range(n)]
+    while True:
+        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+        parts = items.groupBy(part.alias("part")).agg(F.sum(weight).alias("size"), F.count("*").alias("items"))
+        # Hashes spread items evenly enough for this to end after a few rounds.
+        if parts.where((F.col("size") > block_bytes) & (F.col("items") > 1)).isEmpty():
+            return [items.where(part == i) for i in range(n)]
+        n *= 2
+
 
+def _collected(block: DataFrame) -> list[tuple[str | None, str]]:
+    return sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda r: (r[0] or "", r[1]))
 
-def _search_in(rows: DataFrame, items: list[tuple[str | None, str]]) -> DataFrame:
-    """One pass: the occurrences of ``items`` are added to the column ``found``."""
-    shared = rows.sparkSession.sparkContext.broadcast(items)
+
+def _search_in(rows: DataFrame, shared: Broadcast[list[tuple[str | None, str]]]) -> DataFrame:
+    """One pass: the occurrences of the shared items are added to the column ``found``."""
 
     @F.pandas_udf(FOUND)
     def search(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
@@ -78,12 +93,17 @@ def searched(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYT
     without words have no windows; items of a NULL id mark words but are not named.
     """
     rows = docs.withColumn("found", F.lit(None).cast(FOUND))
-    parts = [
-        sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda r: (r[0] or "", r[1]))
-        for block in blocks(benchmark, block_bytes)
-    ]
-    for items in parts or [[]]:
-        rows = _search_in(rows, items)
+    context = docs.sparkSession.sparkContext
+    parts = blocks(benchmark, block_bytes)
+    if len(parts) <= 1:
+        return _search_in(rows, context.broadcast(_collected(parts[0]) if parts else []))
+    workspace = Workspace(docs.sparkSession, "passages")
+    for place, part in enumerate(parts):
+        shared = context.broadcast(_collected(part))
+        rows = workspace.keep(_search_in(rows, shared), f"block{place}")
+        shared.destroy()
+        if place:
+            workspace.drop(f"block{place - 1}")
     return rows
 
 
@@ -119,6 +139,8 @@ def report(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
 def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` without any occurrence, with their columns as they are."""
     names = docs.columns
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"))
-    kept = searched(marked, benchmark, block_bytes).where(F.size("found.starts") == 0)
-    return kept.select("row.*")
+    # Numbered, as names that differ in case only could not be written.
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    kept = searched(docs.select(row.alias("row"), F.col("text")), benchmark, block_bytes)
+    kept = kept.where(F.size("found.starts") == 0)
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])

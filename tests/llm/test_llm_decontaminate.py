@@ -54,6 +54,28 @@ def test_clean_keeps_rows_without_hits_whole(spark):
     assert edges.in_order(edges.texts_of(got)) == edges.in_order(want)
 
 
+def test_blocks_are_bounded_and_one_is_held_at_a_time(spark, monkeypatch):
+    benchmark, docs, items = tables_of(spark)
+    repeated = benchmark.crossJoin(spark.range(30)).select("item_id", "text")
+    parts = [p.collect() for p in tables.blocks(repeated, block_bytes=300)]
+    assert edges.in_order((r["item_id"], r["text"]) for p in parts for r in p) == edges.in_order(
+        {(None if i is None else str(i), t) for i, t in items if t is not None}
+    )
+    for part in parts:
+        assert len(part) <= 1 or sum(len(r["text"].encode()) + len(r["item_id"] or "") + 64 for r in part) <= 300
+    alive, most = [], []
+    broadcast, destroy = spark.sparkContext.broadcast, tables.Broadcast.destroy
+    monkeypatch.setattr(
+        spark.sparkContext, "broadcast", lambda value: (alive.append(1), most.append(len(alive)), broadcast(value))[-1]
+    )
+    monkeypatch.setattr(tables.Broadcast, "destroy", lambda self: (alive.pop(), destroy(self))[-1])
+    got = tables.clean(docs, repeated, block_bytes=300)
+    assert len(most) == len(parts) > 2 and max(most) == 1
+    want = [(i, t) for i, t in edges.texts_of(docs) if not brute(t, items)[-1]]
+    assert got.columns == docs.columns
+    assert edges.in_order(edges.texts_of(got)) == edges.in_order(want)
+
+
 def test_empty(spark):
     benchmark, docs, _ = tables_of(spark)
     assert tables.report(edges.empty(spark), benchmark).count() == 0
