@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -14,11 +15,13 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import SQLTransformer, StringIndexerModel
+from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablecraft.functions.cluster import enable_checkpoints, local_table
+from tablecraft.functions.columns import quoted, ref
 from tablecraft.operators.encode import MAX_LABELS
 from tablecraft.operators.evaluate import positive_score
 from tablecraft.operators.features import TEXT_PREFIX, fit_indexers, stages
@@ -48,6 +51,14 @@ DEFAULTS: dict[str, dict[str, Any]] = {
 }
 SCORE_COLUMN = {"linear_svm": "rawPrediction"}
 TREES = ("random_forest", "gbt")
+#: Boosted trees are fitted to rows as they are up to here, beyond to rows that share all bins.
+ROWS_AS_THEY_ARE = 100_000
+#: Weighted rows of one task.
+WEIGHTED_ROWS = 200_000
+#: Columns with the bins of numbers.
+BIN_PREFIX = "__bin_"
+#: Relative error in rank of the borders of bins.
+BORDER_ERROR = 0.001
 
 
 def make_learner(learner: str, **params: Any):
@@ -81,6 +92,9 @@ def fit(
     as many bins as the largest listed category needs. With ``hash_width`` categories are
     hashed to that many slots, which trees split like numbers, so that any number of
     categories goes with the bins asked for. Rows missing a feature or the label are left out.
+
+    Boosted trees see numbers by their bins only, so
+    of many rows those with the same bins and label are fitted as one with their number as weight.
     """
     scale = learner == "linear_svm" if scale is None else scale
     needed = [*numeric, *categorical, "label"]
@@ -88,13 +102,79 @@ def fit(
     if learner in TREES:
         enable_checkpoints(train.sparkSession)
     indexers = fit_indexers(rows, categorical, encoding, max_labels, hash_width)
-    built = stages(numeric, categorical, encoding, scale, indexers=indexers, hash_width=hash_width)
-    prepared = Pipeline(stages=built).fit(rows)
     if learner in TREES and encoding == "index":
         asked = params.get("maxBins", DEFAULTS[learner].get("maxBins", 32))
-        params = {**params, "maxBins": max(asked, _largest_category(prepared))}
-    data = _spread(prepared.transform(rows).select("features", "label"))
-    return PipelineModel(stages=[*prepared.stages, make_learner(learner, **params).fit(data)])
+        params = {**params, "maxBins": max(asked, _largest_category(indexers))}
+    binned = learner == "gbt" and not scale and rows.count() > ROWS_AS_THEY_ARE and _by_weight(params)
+    names, first = _bins(rows, numeric, params.get("maxBins", 32)) if binned else (list(numeric), [])
+    built = stages(names, categorical, encoding, scale, indexers=indexers, hash_width=hash_width)
+    prepared = Pipeline(stages=[*first, *built]).fit(rows)
+    data = prepared.transform(rows).select("features", "label")
+    if binned:
+        fitted = _fit_weighted(data, make_learner(learner, **params))
+    else:
+        fitted = make_learner(learner, **params).fit(_spread(data))
+    return PipelineModel(stages=[*prepared.stages, fitted])
+
+
+def _by_weight(params: Mapping[str, Any]) -> bool:
+    """Whether a row of weight n is fitted like n rows: nothing is drawn from rows and none are counted."""
+    return params.get("subsamplingRate", 1.0) == 1.0 and params.get("minInstancesPerNode", 1) == 1
+
+
+def _fit_weighted(data: DataFrame, learner):
+    """Fit to one row per features and label, as heavy as there are rows of them."""
+    counted = data.groupBy("features", "label").agg(F.count("*").cast("double").alias("weight"))
+    counted.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # Every tree takes a job per level: few rows are best read by few tasks.
+        cores = data.sparkSession.sparkContext.defaultParallelism
+        parts = max(cores, counted.count() // WEIGHTED_ROWS)
+        return learner.setWeightCol("weight").fit(_spread(counted.coalesce(parts)))
+    finally:
+        counted.unpersist()
+
+
+def _bins(rows: DataFrame, numeric: Sequence[str], max_bins: int) -> tuple[list[str], list]:
+    """Names of the binned columns, and the stage that makes them, if any.
+
+    A column of at most ``max_bins`` values is cut between all of them, others at quantiles of all rows.
+    """
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    cols = [c for c in numeric if isinstance(kinds.get(c), T.NumericType)]
+    if not cols:
+        return list(numeric), []
+    values = rows.select(*(ref(c).cast("double").alias(str(i)) for i, c in enumerate(cols)))
+    order = [str(i) for i in range(len(cols))]
+    about = values.agg(*(F.approx_count_distinct(i, 0.02).alias(i) for i in order)).first()
+    short = [i for i in order if about[i] <= 2 * max_bins]
+    found = values.agg(F.lit(0).alias("none"), *(F.collect_set(i).alias(i) for i in short)).first()
+    exact = {i: sorted(found[i]) for i in short if len(found[i]) <= max_bins}
+    rest = [i for i in order if i not in exact]
+    ranks = [k / max_bins for k in range(1, max_bins)]
+    quantiles = values.approxQuantile(rest, ranks, BORDER_ERROR) if rest else []
+    borders = {i: _between(exact[i]) for i in exact} | {i: sorted(set(q)) for i, q in zip(rest, quantiles)}
+    named = {c: borders[i] for i, c in zip(order, cols) if borders[i]}
+    if not named:
+        return list(numeric), []
+    made = ", ".join(f"{_bin(c, cuts)} AS {quoted(BIN_PREFIX + c)}" for c, cuts in named.items())
+    return (
+        [BIN_PREFIX + c if c in named else c for c in numeric],
+        [SQLTransformer(statement=f"SELECT *, {made} FROM __THIS__")],
+    )
+
+
+def _between(values: Sequence[float]) -> list[float]:
+    """Borders between neighbours; the upper one where no number lies between them."""
+    pairs = [(low, low / 2 + high / 2, high) for low, high in zip(values, values[1:])]
+    return [middle if low < middle < high else high for low, middle, high in pairs]
+
+
+def _bin(name: str, borders: Sequence[float]) -> str:
+    """The number of borders up to a value, NULL where it is missing."""
+    value = f"CAST({quoted(name)} AS DOUBLE)"
+    cases = " ".join(f"WHEN {value} < DOUBLE('{cut!r}') THEN {i}D" for i, cut in enumerate(borders))
+    return f"CASE WHEN {value} IS NULL OR isnan({value}) THEN NULL {cases} ELSE {len(borders)}D END"
 
 
 def _spread(data: DataFrame) -> DataFrame:
@@ -103,10 +183,10 @@ def _spread(data: DataFrame) -> DataFrame:
     return data.repartition(cores) if data.rdd.getNumPartitions() < cores else data
 
 
-def _largest_category(prepared: PipelineModel) -> int:
+def _largest_category(indexers: Sequence) -> int:
     sizes = [
         len(labels) + 1
-        for stage in prepared.stages
+        for stage in indexers
         if isinstance(stage, StringIndexerModel)
         for labels in stage.labelsArray
     ]
@@ -126,9 +206,10 @@ def score(model: PipelineModel, df: DataFrame, learner: str | None = None) -> Da
 
 
 def _texts(model: PipelineModel) -> list[str]:
-    """Columns with the texts of categories, which only the stages themselves need."""
+    """Columns with the texts of categories and bins of numbers, which only the stages themselves need."""
     inputs = [s.getOrDefault("inputCol") for s in model.stages if isinstance(s, StringIndexerModel) and s.isDefined("inputCol")]
-    return [name for name in inputs if name.startswith(TEXT_PREFIX)]
+    inputs += [name for s in model.stages if isinstance(s, VectorAssembler) for name in s.getInputCols()]
+    return [name for name in inputs if name.startswith((TEXT_PREFIX, BIN_PREFIX))]
 
 
 def _outputs(model: PipelineModel, df: DataFrame) -> list[str]:
@@ -156,7 +237,7 @@ def feature_names(model: PipelineModel, df: DataFrame) -> list[str]:
         field = next((f for f in prepared.schema.fields if f.name == "raw_features"), field)
         groups = field.metadata.get("ml_attr", {}).get("attrs", {})
     parts = sorted((a["idx"], a["name"]) for attrs in groups.values() for a in attrs)
-    return [name for _, name in parts]
+    return [name.removeprefix(BIN_PREFIX) for _, name in parts]
 
 
 def _importances(learner_model) -> np.ndarray:

@@ -195,3 +195,49 @@ def test_written_paths_lie_in_the_named_folder(spark):
     assert path != fresh_path(spark, "x")
     if named:
         assert path.startswith(named.rstrip("/") + "/")
+
+
+def _few_values(spark, n):
+    """Rows of features with few values each, so that bins are the same however rows are drawn."""
+    digits = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long")
+    made = spark.range(n).select("id", digits.alias("d"))
+    return made.select(
+        (F.col("d") % 7).cast("int").alias("a"), ((F.col("d") / 7).cast("long") % 11 / 4.0).alias("b"),
+        F.concat(F.lit("c"), (F.col("d") / 77).cast("long") % 3).alias("c"),
+        ((F.col("d") % 7) * 3 + (F.col("d") / 77).cast("long") % 3 * 4 + F.col("id") % 13 > 20).cast("double").alias("label"),
+    )
+
+
+def test_boosted_trees_of_many_rows_are_those_of_all_rows(spark, monkeypatch):
+    train = _few_values(spark, 4000).persist()
+    plain = classify.fit(train, "gbt", ["a", "b"], ["c"], maxDepth=4, maxIter=6)
+    sizes = []
+    fit = classify.GBTClassifier.fit
+    monkeypatch.setattr(classify.GBTClassifier, "fit", lambda self, df: (sizes.append(df.count()), fit(self, df))[1])
+    monkeypatch.setattr(classify, "ROWS_AS_THEY_ARE", 1000)
+    made = classify.fit(train, "gbt", ["a", "b"], ["c"], maxDepth=4, maxIter=6)
+    assert sizes[0] == train.distinct().count() < 500
+    again, before = classify.score(made, train), classify.score(plain, train)
+    assert again.columns == before.columns
+    key = ["a", "b", "c", "prediction", F.round("score", 9).alias("score")]
+    assert sorted(rows(again.select(key).distinct())) == sorted(rows(before.select(key).distinct()))
+    weights = [{r.feature: round(r.importance, 9) for r in classify.feature_importance(m, train).collect()} for m in (made, plain)]
+    assert weights[0] == weights[1] and set(weights[0]) == {"a", "b", "c_encoded"}
+    # What depends on the number of rows, or is drawn from them, sees all rows.
+    classify.fit(train, "gbt", ["a", "b"], ["c"], maxDepth=2, maxIter=1, minInstancesPerNode=5)
+    assert sizes[1] == 4000
+    train.unpersist()
+
+
+def test_bins_cut_all_rows_and_leave_missing_ones_out(spark, monkeypatch):
+    values = [float(i) for i in range(1000)] + [float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(v, 1, i % 3) for i, v in enumerate(values)], "`x y` double, one int, few int")
+    names, (stage,) = classify._bins(df.na.drop(), ["x y", "one", "few"], 10)
+    assert names == ["__bin_x y", "one", "__bin_few"]
+    got = stage.transform(df).groupBy("__bin_x y").agg(F.count("*").alias("n"), F.max("x y").alias("m")).collect()
+    counts = {r[0]: r["n"] for r in got}
+    assert counts.pop(None) == 2 and sorted(counts) == [float(i) for i in range(10)]
+    assert all(90 <= n <= 112 for n in counts.values())
+    assert stage.transform(df).where(F.col("few") != F.col("__bin_few")).count() == 0
+    assert classify._between([0.0, 1.0, float("inf")]) == [0.5, float("inf")]
+    assert classify._between([1.0, 1.0000000000000002]) == [1.0000000000000002]
