@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Mapping, Sequence
 from typing import Any
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
     OneVsRest,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembler
@@ -51,6 +53,10 @@ DEFAULTS: dict[str, dict[str, Any]] = {
 }
 SCORE_COLUMN = {"linear_svm": "rawPrediction"}
 TREES = ("random_forest", "gbt")
+#: Rows times trees of one forest fit: Spark keeps a counter and a node for each of them.
+FOREST_COUNTERS = 400_000_000
+#: Trees that are always fitted together, so that reading the rows is not most of the work.
+FOREST_TREES = 16
 #: Boosted trees are fitted to rows as they are up to here, beyond to rows that share all bins.
 ROWS_AS_THEY_ARE = 100_000
 #: Weighted rows of one task.
@@ -93,7 +99,7 @@ def fit(
     hashed to that many slots, which trees split like numbers, so that any number of
     categories goes with the bins asked for. Rows missing a feature or the label are left out.
 
-    Boosted trees see numbers by their bins only, so
+    Large forests are fitted some trees at a time. Boosted trees see numbers by their bins only, so
     of many rows those with the same bins and label are fitted as one with their number as weight.
     """
     scale = learner == "linear_svm" if scale is None else scale
@@ -105,13 +111,16 @@ def fit(
     if learner in TREES and encoding == "index":
         asked = params.get("maxBins", DEFAULTS[learner].get("maxBins", 32))
         params = {**params, "maxBins": max(asked, _largest_category(indexers))}
-    binned = learner == "gbt" and not scale and rows.count() > ROWS_AS_THEY_ARE and _by_weight(params)
+    count = rows.count() if learner in TREES else 0
+    binned = learner == "gbt" and not scale and count > ROWS_AS_THEY_ARE and _by_weight(params)
     names, first = _bins(rows, numeric, params.get("maxBins", 32)) if binned else (list(numeric), [])
     built = stages(names, categorical, encoding, scale, indexers=indexers, hash_width=hash_width)
     prepared = Pipeline(stages=[*first, *built]).fit(rows)
     data = prepared.transform(rows).select("features", "label")
     if binned:
         fitted = _fit_weighted(data, make_learner(learner, **params))
+    elif learner == "random_forest":
+        fitted = _fit_forest(_spread(data), count, params)
     else:
         fitted = make_learner(learner, **params).fit(_spread(data))
     return PipelineModel(stages=[*prepared.stages, fitted])
@@ -177,6 +186,37 @@ def _bin(name: str, borders: Sequence[float]) -> str:
     return f"CASE WHEN {value} IS NULL OR isnan({value}) THEN NULL {cases} ELSE {len(borders)}D END"
 
 
+def _fit_forest(data: DataFrame, count: int, params: Mapping[str, Any]):
+    """Fit a forest, of many rows some trees at a time with seeds of their own.
+
+    What Spark keeps per row and tree is bounded by that; the forest has all the trees asked for.
+    """
+    settings = {**DEFAULTS["random_forest"], **params}
+    trees = settings["numTrees"]
+    parts = -(-trees // max(FOREST_TREES, FOREST_COUNTERS // max(count, 1)))
+    seeds = [settings["seed"], *random.Random(settings["seed"]).sample(range(2**31), parts - 1)]
+    sizes = [trees // parts + (i < trees % parts) for i in range(parts)]
+    fitted = [
+        make_learner("random_forest", **{**settings, "numTrees": size, "seed": seed}).fit(data)
+        for size, seed in zip(sizes, seeds)
+    ]
+    return fitted[0] if parts == 1 else _joined(fitted, trees)
+
+
+def _joined(forests: Sequence[RandomForestClassificationModel], n_trees: int) -> RandomForestClassificationModel:
+    """One forest of the trees of all; Python has no way to make one of given trees, so the JVM's is used."""
+    first = forests[0]
+    context = SparkContext._active_spark_context
+    classes = context._jvm.org.apache.spark.ml.classification
+    trees = [tree for forest in forests for tree in forest._java_obj.trees()]
+    array = context._gateway.new_array(classes.DecisionTreeClassificationModel, len(trees))
+    for i, tree in enumerate(trees):
+        array[i] = tree
+    java = classes.RandomForestClassificationModel(first.uid, array, first.numFeatures, first.numClasses)
+    joined = first._copyValues(RandomForestClassificationModel(java))
+    return joined._set(numTrees=n_trees)
+
+
 def _spread(data: DataFrame) -> DataFrame:
     """Training rows in at least one part per core; learners read them again and again."""
     cores = data.sparkSession.sparkContext.defaultParallelism

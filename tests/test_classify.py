@@ -241,3 +241,29 @@ def test_bins_cut_all_rows_and_leave_missing_ones_out(spark, monkeypatch):
     assert stage.transform(df).where(F.col("few") != F.col("__bin_few")).count() == 0
     assert classify._between([0.0, 1.0, float("inf")]) == [0.5, float("inf")]
     assert classify._between([1.0, 1.0000000000000002]) == [1.0000000000000002]
+
+
+def test_large_forests_are_fitted_some_trees_at_a_time(spark, monkeypatch, tmp_path):
+    train = _few_values(spark, 2000).persist()
+    sizes = []
+    fit = classify.RandomForestClassifier.fit
+    monkeypatch.setattr(
+        classify.RandomForestClassifier, "fit", lambda self, df: (sizes.append(self.getNumTrees()), fit(self, df))[1]
+    )
+    whole = classify.fit(train, "random_forest", ["a", "b"], ["c"], numTrees=20, maxDepth=4)
+    assert sizes == [20]
+    monkeypatch.setattr(classify, "FOREST_COUNTERS", 2000 * 6)
+    monkeypatch.setattr(classify, "FOREST_TREES", 4)
+    model = classify.fit(train, "random_forest", ["a", "b"], ["c"], numTrees=20, maxDepth=4)
+    assert sizes[1:] == [5, 5, 5, 5]
+    forest = model.stages[-1]
+    assert forest.getNumTrees == 20 == len(forest.trees) and forest.getOrDefault("numTrees") == 20
+    assert len({t.toDebugString.split("\n", 1)[1] for t in forest.trees}) > 5
+    assert sum(forest.featureImportances.toArray()) == pytest.approx(1.0)
+    areas = [values(evaluate.report(classify.score(m, train)))["auc"] for m in (whole, model)]
+    assert areas[0] == pytest.approx(areas[1], abs=0.02)
+    models.save(model, str(tmp_path / "forest"))
+    key = ["a", "b", "c", "prediction", F.round("score", 9)]
+    again = classify.score(models.load(str(tmp_path / "forest")), train).select(key).distinct()
+    assert sorted(rows(again)) == sorted(rows(classify.score(model, train).select(key).distinct()))
+    train.unpersist()
