@@ -12,12 +12,16 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
+    LinearSVCModel,
     LogisticRegression,
     OneVsRest,
+    OneVsRestModel,
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,6 +125,8 @@ def fit(
         fitted = _fit_weighted(data, make_learner(learner, **params))
     elif learner == "random_forest":
         fitted = _fit_forest(_spread(data), count, params)
+    elif learner == "linear_svm":
+        fitted = _fit_rest(_spread(data), make_learner(learner, **params))
     else:
         fitted = make_learner(learner, **params).fit(_spread(data))
     return PipelineModel(stages=[*prepared.stages, fitted])
@@ -186,6 +192,25 @@ def _bin(name: str, borders: Sequence[float]) -> str:
     return f"CASE WHEN {value} IS NULL OR isnan({value}) THEN NULL {cases} ELSE {len(borders)}D END"
 
 
+def _fit_rest(data: DataFrame, learner: OneVsRest) -> OneVsRestModel:
+    """One class against the rest, both classes of two by one fit.
+
+    The loss of the first class at some weights is that of the second at the negated ones, so its
+    model is the other one negated, and rows are kept once instead of once a class and as a whole.
+    """
+    label = F.col("label")
+    seen = data.agg(F.max(label).alias("top"), F.count_if(~label.isin(0.0, 1.0)).alias("others")).first()
+    if seen["top"] != 1.0 or seen["others"]:
+        return learner.fit(data)
+    second = learner.getClassifier().fit(data)
+    context = SparkContext._active_spark_context
+    weights = _py2java(context, Vectors.dense(-second.coefficients.toArray()))
+    made = context._jvm.org.apache.spark.ml.classification.LinearSVCModel(
+        f"{second.uid}_negated", weights, -second.intercept
+    )
+    return learner._copyValues(OneVsRestModel([second._copyValues(LinearSVCModel(made)), second]))
+
+
 def _fit_forest(data: DataFrame, count: int, params: Mapping[str, Any]):
     """Fit a forest, of many rows some trees at a time with seeds of their own.
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -267,3 +268,22 @@ def test_large_forests_are_fitted_some_trees_at_a_time(spark, monkeypatch, tmp_p
     again = classify.score(models.load(str(tmp_path / "forest")), train).select(key).distinct()
     assert sorted(rows(again)) == sorted(rows(classify.score(model, train).select(key).distinct()))
     train.unpersist()
+
+
+@pytest.mark.parametrize("classes, fits", [(2, 1), (3, 3)])
+def test_two_classes_of_the_svm_are_one_fit(spark, monkeypatch, classes, fits):
+    df = _few_values(spark, 600).withColumn("label", (F.col("a") % classes).cast("double")).persist()
+    learner = classify.make_learner("linear_svm", maxIter=10)
+    whole = learner.fit(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df))
+    done = []
+    fit = classify.LinearSVC._fit
+    monkeypatch.setattr(classify.LinearSVC, "_fit", lambda self, data: (done.append(1), fit(self, data))[1])
+    model = classify.fit(df, "linear_svm", ["a", "b"], scale=False, maxIter=10)
+    assert len(done) == fits and len(model.stages[-1].models) == classes
+    for ours, theirs in zip(model.stages[-1].models, whole.models):
+        assert ours.coefficients.toArray() == pytest.approx(theirs.coefficients.toArray(), abs=1e-9)
+        assert ours.intercept == pytest.approx(theirs.intercept, abs=1e-9)
+    got = [rows(m.select("prediction", "rawPrediction")) for m in (
+        model.transform(df), whole.transform(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)))]
+    assert [p for p, _ in got[0]] == [p for p, _ in got[1]]
+    df.unpersist()
