@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from tablecraft.functions.cluster import enable_checkpoints, local_table
 from tablecraft.functions.columns import quoted, ref
+from tablecraft.operators import forest
 from tablecraft.operators.encode import MAX_LABELS
 from tablecraft.operators.evaluate import positive_score
 from tablecraft.operators.features import TEXT_PREFIX, fit_indexers, stages
@@ -61,8 +62,12 @@ TREES = ("random_forest", "gbt")
 FOREST_COUNTERS = 400_000_000
 #: Trees that are always fitted together, so that reading the rows is not most of the work.
 FOREST_TREES = 16
-#: Boosted trees are fitted to rows as they are up to here, beyond to rows that share all bins.
+#: Boosted trees are fitted to rows as they are up to here, beyond to rows that share all bins;
+#: so are forests of more counters than those above.
 ROWS_AS_THEY_ARE = 100_000
+#: Settings of a forest fitted to counted rows, and most bins of it.
+COUNTED_FOREST = {*DEFAULTS["random_forest"], "maxMemoryInMB", "checkpointInterval"}
+COUNTED_BINS = 256
 #: Weighted rows of one task.
 WEIGHTED_ROWS = 200_000
 #: Columns with the bins of numbers.
@@ -103,8 +108,9 @@ def fit(
     hashed to that many slots, which trees split like numbers, so that any number of
     categories goes with the bins asked for. Rows missing a feature or the label are left out.
 
-    Large forests are fitted some trees at a time. Boosted trees see numbers by their bins only, so
-    of many rows those with the same bins and label are fitted as one with their number as weight.
+    Trees see numbers by their bins only, so of many rows those with the same bins and label are
+    fitted as one with their number as weight, or by forests with as many draws. Large forests that
+    cannot be fitted so are fitted some trees at a time.
     """
     scale = learner == "linear_svm" if scale is None else scale
     needed = [*numeric, *categorical, "label"]
@@ -116,10 +122,18 @@ def fit(
         asked = params.get("maxBins", DEFAULTS[learner].get("maxBins", 32))
         params = {**params, "maxBins": max(asked, _largest_category(indexers))}
     count = rows.count() if learner in TREES else 0
-    binned = learner == "gbt" and not scale and count > ROWS_AS_THEY_ARE and _by_weight(params)
+    many = learner in TREES and not scale and count > ROWS_AS_THEY_ARE
+    listed = encoding == "index" and hash_width is None
+    counted = many and learner == "random_forest" and listed and _by_count(rows, count, params)
+    binned = counted or (many and learner == "gbt" and _by_weight(params))
     names, first = _bins(rows, numeric, params.get("maxBins", 32)) if binned else (list(numeric), [])
     built = stages(names, categorical, encoding, scale, indexers=indexers, hash_width=hash_width)
     prepared = Pipeline(stages=[*first, *built]).fit(rows)
+    if counted:
+        # All but the vector itself.
+        parts = PipelineModel(stages=prepared.stages[:-1]).transform(rows)
+        seen = _numbers(parts, names, indexers)
+        return PipelineModel(stages=[*prepared.stages, forest.fit(parts, seen, make_learner(learner, **params))])
     data = prepared.transform(rows).select("features", "label")
     if binned:
         fitted = _fit_weighted(data, make_learner(learner, **params))
@@ -137,6 +151,37 @@ def _by_weight(params: Mapping[str, Any]) -> bool:
     return params.get("subsamplingRate", 1.0) == 1.0 and params.get("minInstancesPerNode", 1) == 1
 
 
+def _by_count(rows: DataFrame, count: int, params: Mapping[str, Any]) -> bool:
+    """Whether a forest is large, of two classes, and of settings that counted rows can be fitted with.
+
+    Without a least gain there may be far more nodes than are made one by one.
+    """
+    settings = {**DEFAULTS["random_forest"], **params}
+    if count * settings["numTrees"] <= FOREST_COUNTERS or not set(settings) <= COUNTED_FOREST:
+        return False
+    if settings["impurity"] != "gini" or settings["minInfoGain"] <= 0 or settings["maxBins"] > COUNTED_BINS:
+        return False
+    label = F.col("label")
+    seen = rows.agg(F.max(label).alias("top"), F.count_if(~label.isin(0.0, 1.0)).alias("others")).first()
+    return seen["top"] == 1.0 and not seen["others"]
+
+
+def _numbers(parts: DataFrame, names: Sequence[str], indexers: Sequence) -> list[forest.Feature]:
+    """What a tree may see of a row, in vector order: bins, yes or no, and categories."""
+    kinds = {f.name: f.dataType for f in parts.schema.fields}
+    found = []
+    for name in names:
+        # A number without bins has one value.
+        whole = name.startswith(BIN_PREFIX) or not isinstance(kinds.get(name), T.NumericType)
+        found.append(forest.Feature(ref(name) if whole else F.lit(0), None, False))
+    for stage in indexers:
+        if isinstance(stage, StringIndexerModel):
+            sizes = [len(labels) + 1 for labels in stage.labelsArray]
+            outs = stage.getOutputCols() if stage.isDefined("outputCols") else [stage.getOutputCol()]
+            found += [forest.Feature(ref(out), size, True) for out, size in zip(outs, sizes)]
+    return found
+
+
 def _fit_weighted(data: DataFrame, learner):
     """Fit to one row per features and label, as heavy as there are rows of them."""
     counted = data.groupBy("features", "label").agg(F.count("*").cast("double").alias("weight"))
@@ -239,7 +284,8 @@ def _joined(forests: Sequence[RandomForestClassificationModel], n_trees: int) ->
         array[i] = tree
     java = classes.RandomForestClassificationModel(first.uid, array, first.numFeatures, first.numClasses)
     joined = first._copyValues(RandomForestClassificationModel(java))
-    return joined._set(numTrees=n_trees)
+    joined._set(numTrees=n_trees)._transfer_params_to_java()
+    return joined
 
 
 def _spread(data: DataFrame) -> DataFrame:

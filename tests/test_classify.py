@@ -1,13 +1,14 @@
 import numpy as np
 import pytest
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from registry.fixtures import lines
 from tablecraft.functions.cluster import fresh_path
-from tablecraft.operators import classify, curves, evaluate, split
+from tablecraft.operators import classify, curves, evaluate, forest, split
 from tablecraft.plans import training
 from tablecraft.sources import models
 
@@ -270,6 +271,76 @@ def test_large_forests_are_fitted_some_trees_at_a_time(spark, monkeypatch, tmp_p
     train.unpersist()
 
 
+def _as_counted(monkeypatch, rows_kept, blocks=3):
+    """Forests of more rows than these are fitted to counted rows, which fill more than one block."""
+    monkeypatch.setattr(classify, "ROWS_AS_THEY_ARE", rows_kept)
+    monkeypatch.setattr(classify, "FOREST_COUNTERS", rows_kept)
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(forest, "MOST_BLOCKS", blocks)
+
+
+def test_large_forests_are_fitted_to_counted_rows(spark, monkeypatch, tmp_path):
+    train = _few_values(spark, 4000).withColumn("one", F.lit(1e12)).withColumn("yes", F.col("a") > 3).persist()
+    given = (["a", "b", "one", "yes"], ["c"])
+    plain = classify.fit(train, "random_forest", *given, numTrees=10, maxDepth=4, minInfoGain=0.001)
+    _as_counted(monkeypatch, 1000)
+    with monkeypatch.context() as only:
+        only.setattr(classify.RandomForestClassifier, "fit", lambda *_: pytest.fail("rows are read one by one"))
+        model = classify.fit(train, "random_forest", *given, numTrees=10, maxDepth=4, minInfoGain=0.001)
+        again = classify.fit(train.repartition(5), "random_forest", *given, numTrees=10, maxDepth=4, minInfoGain=0.001)
+    fitted = model.stages[-1]
+    assert fitted.getNumTrees == 10 == len(fitted.trees) and fitted.getOrDefault("maxDepth") == 4
+    texts = [[t.toDebugString.split("\n", 1)[1] for t in m.stages[-1].trees] for m in (model, again)]
+    assert texts[0] == texts[1] and len(set(texts[0])) > 5 and max(t.depth for t in fitted.trees) == 4
+    areas = [values(evaluate.report(classify.score(m, train)))["auc"] for m in (plain, model)]
+    assert areas[0] == pytest.approx(areas[1], abs=0.03)
+    weights = [{r.feature: r.importance for r in classify.feature_importance(m, train).collect()} for m in (model, plain)]
+    assert weights[0].keys() == weights[1].keys() == {"a", "b", "one", "yes", "c_encoded"}
+    assert sum(weights[0].values()) == pytest.approx(1.0)
+    # What one of the first two tells of the label the other does too, so trees take turns.
+    assert weights[0]["one"] == 0 and min(weights[0]["a"], weights[0]["yes"]) > weights[0]["b"]
+    assert weights[0]["c_encoded"] == pytest.approx(weights[1]["c_encoded"], abs=0.1)
+    drawn = [sum(n for n in t._call_java("rootNode").impurityStats().stats()) for t in fitted.trees]
+    assert np.mean(drawn) == pytest.approx(0.8 * 4000, rel=0.02) and np.std(drawn) == pytest.approx(3200**0.5, rel=0.9)
+    models.save(model, str(tmp_path / "counted"))
+    key = ["a", "b", "c", "prediction", F.round("score", 9)]
+    loaded = classify.score(models.load(str(tmp_path / "counted")), train).select(key).distinct()
+    assert sorted(rows(loaded)) == sorted(rows(classify.score(model, train).select(key).distinct()))
+    train.unpersist()
+
+
+@pytest.mark.parametrize("change", [{"minInfoGain": 0.0}, {"impurity": "entropy"}, {"maxBins": 300}, {"bootstrap": False}])
+def test_forests_that_counted_rows_cannot_give_are_sparks(spark, monkeypatch, change):
+    train = _few_values(spark, 600).persist()
+    _as_counted(monkeypatch, 100)
+    monkeypatch.setattr(forest, "fit", lambda *_: pytest.fail("not the same forest"))
+    assert classify.fit(train, "random_forest", ["a"], ["c"], numTrees=3, maxDepth=2, **change).stages[-1].getNumTrees == 3
+    three = train.withColumn("label", (F.col("a") % 3).cast("double"))
+    assert classify.fit(three, "random_forest", ["a"], numTrees=3, maxDepth=2).stages[-1].numClasses == 3
+    train.unpersist()
+
+
+@pytest.mark.parametrize("settings", [{"maxDepth": 8}, {"maxDepth": 2}, {"maxDepth": 8, "minInstancesPerNode": 200}])
+def test_trees_of_counted_rows_are_those_of_the_drawn_rows(spark, monkeypatch, settings):
+    settings = {"minInfoGain": 0.0005, "minInstancesPerNode": 10, **settings}
+    df = _few_values(spark, 6000).select("a", (F.col("b") * 4).alias("b"), F.substring("c", 2, 1).cast("int").alias("c"), "label")
+    features = [forest.Feature(F.col("a"), None, False), forest.Feature(F.col("b"), None, False), forest.Feature(F.col("c"), 4, True)]
+    monkeypatch.setattr(forest, "COUNTS_AT_ONCE", 1)
+    monkeypatch.setattr(forest, "PIECE", 3)
+    model = forest.fit(df, features, classify.make_learner("random_forest", numTrees=1, **settings))
+    cells = np.array(sorted(tuple(map(int, r)) for r in df.groupBy("a", "b", "c", "label").count().collect())).T
+    cells = cells[:, np.lexsort(cells)]
+    drawn = np.repeat(cells[:4], np.random.default_rng([42, 0, 0]).poisson(0.8 * cells[4]), axis=1).astype(float)
+    listed = spark.createDataFrame(drawn.T.tolist(), "a double, b double, c double, label double")
+    index = StringIndexerModel.from_labels(["0.0", "1.0", "2.0"], inputCol="c", outputCol="i", handleInvalid="keep")
+    data = VectorAssembler(inputCols=["a", "b", "i"], outputCol="features").transform(index.transform(listed))
+    tree = DecisionTreeClassifier(**settings).fit(data)
+    assert model.trees[0].toDebugString.split("\n", 1)[1] == tree.toDebugString.split("\n", 1)[1]
+    assert tree.numNodes >= 3 and model.featureImportances.toArray() == pytest.approx(tree.featureImportances.toArray())
+    got, wanted = (rows(m.transform(data).select("prediction", "probability")) for m in (model, tree))
+    assert got == wanted
+
+
 @pytest.mark.parametrize("classes, fits", [(2, 1), (3, 3)])
 def test_two_classes_of_the_svm_are_one_fit(spark, monkeypatch, classes, fits):
     df = _few_values(spark, 600).withColumn("label", (F.col("a") % classes).cast("double")).persist()
