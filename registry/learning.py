@@ -134,8 +134,8 @@ def train_and_evaluate_confusion(spark, sf):
 
 @query("compare_learners")
 def compare_learners(spark, sf):
-    scored = {name: _trained(spark, sf, name).scored for name in LEARNERS}
-    return rounded(evaluate.compare(scored), ["value"])
+    found = training.run_each(lines(spark, sf), LINE_FEATURES, LINE_CATEGORIES, "label", LEARNERS, key=KEY)
+    return rounded(evaluate.compare({name: trained.scored for name, trained in found.items()}), ["value"])
 
 
 @query("score_saved_model")

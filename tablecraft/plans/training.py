@@ -37,6 +37,30 @@ def _kept(df: DataFrame):
         df.unpersist()
 
 
+def _divided(df: DataFrame, numeric, categorical, label_col, key, ratio, seed) -> tuple[list[str], DataFrame, DataFrame]:
+    """Names of the key, training rows and test rows, complete and with the columns needed only."""
+    keys = [] if key is None else [key] if isinstance(key, str) else list(key)
+    needed = list(dict.fromkeys([*keys, *numeric, *categorical, label_col]))
+    rows = complete_rows(df.select(*needed), [*numeric, *categorical], label_col)
+    if keys:
+        return keys, *split.hash_split(rows, keys, ratio, seed)
+    return keys, *split.random_split(rows, ratio, seed)
+
+
+def _evaluated(model: PipelineModel, test: DataFrame, learner: str, keys: Sequence[str]) -> Trained:
+    scored = classify.score(model, test, learner).select(*keys, "label", "prediction", "score")
+    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+    return Trained(
+        model,
+        scored,
+        evaluate.report(scored),
+        evaluate.confusion(scored),
+        curves.roc(scored),
+        curves.pr(scored),
+        classify.feature_importance(model, test),
+    )
+
+
 def run(
     df: DataFrame,
     numeric: Sequence[str],
@@ -60,27 +84,33 @@ def run(
     kept while fitting. ``scored`` is persisted because every table reads it:
     unpersist it when done.
     """
-    keys = [] if key is None else [key] if isinstance(key, str) else list(key)
-    needed = list(dict.fromkeys([*keys, *numeric, *categorical, label_col]))
-    rows = complete_rows(df.select(*needed), [*numeric, *categorical], label_col)
-    if keys:
-        train, test = split.hash_split(rows, keys, ratio, seed)
-    else:
-        train, test = split.random_split(rows, ratio, seed)
+    keys, train, test = _divided(df, numeric, categorical, label_col, key, ratio, seed)
     with _kept(train):
         model = classify.fit(
             train, learner, numeric, categorical, encoding, max_labels=max_labels, hash_width=hash_width, **params
         )
     if save_to is not None:
         models.save(model, save_to, overwrite)
-    scored = classify.score(model, test, learner).select(*keys, "label", "prediction", "score")
-    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-    return Trained(
-        model,
-        scored,
-        evaluate.report(scored),
-        evaluate.confusion(scored),
-        curves.roc(scored),
-        curves.pr(scored),
-        classify.feature_importance(model, test),
-    )
+    return _evaluated(model, test, learner, keys)
+
+
+def run_each(
+    df: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    label_col: str,
+    learners: Sequence[str],
+    key: str | Sequence[str] | None = None,
+    ratio: float = split.RATIO,
+    seed: int = split.SEED,
+) -> dict[str, Trained]:
+    """:func:`run` for several learners by their defaults, on rows read and divided once.
+
+    Training and test rows are kept until all have scored them.
+    """
+    keys, train, test = _divided(df, numeric, categorical, label_col, key, ratio, seed)
+    with _kept(train), _kept(test):
+        return {
+            learner: _evaluated(classify.fit(train, learner, numeric, categorical), test, learner, keys)
+            for learner in learners
+        }

@@ -6,6 +6,7 @@ from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from registry import learning
 from registry.fixtures import lines
 from tablecraft.functions.cluster import fresh_path
 from tablecraft.operators import classify, curves, evaluate, forest, split
@@ -131,6 +132,18 @@ def test_learners_find_the_signal(spark, learner, encoding, params):
     found.scored.unpersist()
 
 
+def test_learners_are_compared_on_rows_divided_once(spark, monkeypatch):
+    wanted = {name: values(learning._trained(spark, SF_DIR, name).metrics) for name in ("logistic", "linear_svm")}
+    calls = []
+    divide = split.hash_split
+    monkeypatch.setattr(split, "hash_split", lambda *given: (calls.append(1), divide(*given))[1])
+    monkeypatch.setattr(learning, "LEARNERS", tuple(wanted))
+    got = learning.compare_learners(spark, SF_DIR).collect()
+    assert len(calls) == 1 and len(got) == 14
+    assert all(r.value == pytest.approx(wanted[r.model][r.metric], abs=1e-4) for r in got)
+    spark.catalog.clearCache()
+
+
 def test_names_follow_vector_order_when_a_category_comes_first(spark):
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StringIndexer, VectorAssembler
